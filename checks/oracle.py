@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from checks.sql_panel import item_number, panel
+from stockloom.functions.quantiles import quantile_column
+from stockloom.settings import CostSpec, ForecastSpec, ReplaySpec
+
+COSTS, REPLAY = CostSpec(), ReplaySpec()
+FRACTILE = COSTS.critical_fractile
+LEVELS = ForecastSpec().trained_quantiles(COSTS)
+UNDER, OVER = COSTS.understock_ratio, COSTS.overstock_ratio
 
 _SERIES_DATE = "store_id, sku_id, date"
 
@@ -141,3 +150,393 @@ ORACLES: dict[str, str] = {
     "rolling_features": panel(_history(_rolling(_FIVE))),
     "rolling_features_in_blocks": panel(_history(_rolling(_FIVE))),
 }
+
+
+# --- assembly and splits -------------------------------------------------------------------
+
+_ROWS = """
+SELECT o.store_id, o.sku_id, o.date AS origin_date, t.date AS target_date,
+       t.date - o.date AS horizon, t.sell_price, t.units_sold AS target
+FROM sales o JOIN sales t ON o.store_id = t.store_id AND o.sku_id = t.sku_id
+"""
+LEAD_ROWS = f"rows AS ({_ROWS} AND t.date = o.date + 7)"
+MULTI_ROWS = f"""
+rows AS ({_ROWS} AND t.date BETWEEN o.date + 1 AND o.date + 28
+         WHERE (o.date - DATE '1970-01-01') % 7 = 0)
+"""
+BOUNDS = """
+bounds AS (
+  SELECT max(CASE WHEN rn = 28 THEN origin_date END) AS test_start,
+         max(CASE WHEN rn = 56 THEN origin_date END) AS validation_start
+  FROM (SELECT origin_date, row_number() OVER (ORDER BY origin_date DESC) AS rn
+        FROM (SELECT DISTINCT origin_date FROM rows))
+)
+"""
+TRAIN = "train AS (SELECT rows.* FROM rows, bounds WHERE origin_date < validation_start)"
+TEST = "test AS (SELECT rows.* FROM rows, bounds WHERE origin_date >= test_start)"
+KNOWN = "known AS (SELECT rows.* FROM rows, bounds WHERE origin_date < test_start)"
+
+
+def _assembled(on, where=""):
+    origin = ", ".join(f"o.{c.split(' AS ')[-1]}" for c in DEFAULT_HISTORY)
+    return f"""
+    SELECT o.store_id, o.sku_id, o.date AS origin_date, t.date AS target_date,
+           CAST(t.date - o.date AS INTEGER) AS horizon, {origin},
+           t.day_of_week, t.week_of_year, t.month, t.is_weekend, t.is_event, t.is_holiday,
+           t.snap_flag, t.sell_price, t.dept_id, t.cat_id, t.state_id, t.units_sold AS target
+    FROM store o JOIN store t ON o.store_id = t.store_id AND o.sku_id = t.sku_id AND {on} {where}
+    """
+
+
+# --- seasonal model: exact percentiles per series and target day of week ---------------------
+
+
+def _levels(levels):
+    return ", ".join(
+        f"quantile_cont(CAST(target AS DOUBLE), {q!r}::DOUBLE) AS {quantile_column(q)}"
+        for q in levels
+    )
+
+
+def _model(levels, source="train"):
+    return f"""
+    by_day AS (SELECT store_id, sku_id, dayofweek(target_date) AS dow, {_levels(levels)}
+               FROM {source} GROUP BY ALL),
+    by_series AS (SELECT store_id, sku_id, {_levels(levels)} FROM {source} GROUP BY ALL),
+    overall AS (SELECT {_levels(levels)} FROM {source})
+    """
+
+
+def _scored(levels, source="test", name="scored"):
+    raw = ", ".join(f"coalesce(d.{c}, s.{c}, a.{c})" for c in map(quantile_column, levels))
+    out = ", ".join(f"lv[{i + 1}] AS {quantile_column(q)}" for i, q in enumerate(levels))
+    return f"""
+    {name} AS (
+      SELECT * EXCLUDE (lv), {out} FROM (
+        SELECT r.*, list_sort([{raw}]) AS lv
+        FROM {source} r CROSS JOIN overall a
+             LEFT JOIN by_day d ON d.store_id = r.store_id AND d.sku_id = r.sku_id
+                                AND d.dow = dayofweek(r.target_date)
+             LEFT JOIN by_series s ON s.store_id = r.store_id AND s.sku_id = r.sku_id)
+    )
+    """
+
+
+def _accuracy():
+    parts = []
+    for q in LEVELS:
+        c, tag = quantile_column(q), quantile_column(q)[2:]
+        parts.append(
+            f"SELECT 'pinball_q{tag}' AS name, round(avg(greatest((target - {c}) * {q!r}::DOUBLE, "
+            f"(target - {c}) * {q - 1!r}::DOUBLE)), 6) AS value FROM scored"
+        )
+        parts.append(
+            f"SELECT 'coverage_q{tag}', round(avg(CASE WHEN target <= {c} THEN 1.0::DOUBLE "
+            "ELSE 0.0::DOUBLE END), 6) FROM scored"
+        )
+    parts.append(
+        "SELECT 'wape', round(CASE WHEN sum(abs(target)) = 0 THEN 'NaN'::DOUBLE ELSE "
+        "sum(abs(target - q_0_5)) / sum(abs(target)) END, 6) FROM scored"
+    )
+    parts.append("SELECT 'bias', round(avg(q_0_5 - target), 6) FROM scored")
+    parts.append(
+        "SELECT 'rmse', round(sqrt(avg((target - q_0_5) * (target - q_0_5))), 6) FROM scored"
+    )
+    return " UNION ALL ".join(parts)
+
+
+_BACKTEST = (MULTI_ROWS, BOUNDS, TRAIN, TEST, _model(LEVELS), _scored(LEVELS))
+_rounded_levels = ", ".join(
+    f"round({quantile_column(q)}, 6) AS {quantile_column(q)}" for q in LEVELS
+)
+
+ORACLES |= {
+    "series_history": panel(
+        """
+        SELECT store_id, sku_id,
+               string_agg(CAST(target AS VARCHAR), ',' ORDER BY origin_date) AS days
+        FROM known GROUP BY ALL
+        """,
+        LEAD_ROWS, BOUNDS, KNOWN,
+    ),
+    "origin_stride": panel("SELECT * FROM sales WHERE (date - DATE '1970-01-01') % 7 = 0"),
+    "lead_time_dataset": panel(_assembled("t.date = o.date + 7"), STORE),
+    "horizon_dataset": panel(
+        _assembled("t.date BETWEEN o.date + 1 AND o.date + 9",
+                   "WHERE (o.date - DATE '1970-01-01') % 7 = 0"),
+        STORE,
+    ),
+    "origin_dates": panel("SELECT DISTINCT origin_date FROM rows", LEAD_ROWS),
+    "split_counts": panel(
+        """
+        SELECT CASE WHEN origin_date < validation_start THEN 'train'
+                    WHEN origin_date < test_start THEN 'validation' ELSE 'test' END AS split,
+               count(*) AS n_rows, count(DISTINCT origin_date) AS n_origin_dates
+        FROM rows, bounds GROUP BY ALL
+        """,
+        MULTI_ROWS, BOUNDS,
+    ),
+    "two_way_split": panel(
+        """
+        SELECT CASE WHEN origin_date < test_start THEN 'train' ELSE 'validation' END AS split,
+               count(*) AS n_rows, count(DISTINCT origin_date) AS n_origin_dates
+        FROM rows, bounds GROUP BY ALL
+        """,
+        LEAD_ROWS, BOUNDS,
+    ),
+    "seasonal_quantiles": panel(
+        f"SELECT store_id, sku_id, CAST(dow AS INTEGER) AS day_of_week, {_rounded_levels} "
+        "FROM by_day",
+        LEAD_ROWS, BOUNDS, TRAIN, _model(LEVELS),
+    ),
+    "seasonal_predictions": panel(
+        f"SELECT store_id, sku_id, origin_date, target_date, target, {_rounded_levels} FROM scored",
+        LEAD_ROWS, BOUNDS, TRAIN, TEST, _model(LEVELS), _scored(LEVELS),
+    ),
+    "monotone_rearrange": panel(
+        """
+        SELECT store_id, sku_id, date, lv[1] AS q_0_1, lv[2] AS q_0_5, lv[3] AS q_0_9 FROM (
+          SELECT store_id, sku_id, date,
+                 list_sort([coalesce(lag(units_sold, 1) OVER w, 0),
+                            coalesce(lag(units_sold, 7) OVER w, 0),
+                            coalesce(lag(units_sold, 14) OVER w, 0)]) AS lv
+          FROM sales WINDOW w AS (PARTITION BY store_id, sku_id ORDER BY date))
+        """
+    ),
+    "backtest_metrics": panel(
+        _accuracy() + " UNION ALL SELECT 'n_train_rows', count(*)::DOUBLE FROM train"
+        " UNION ALL SELECT 'n_validation_rows', count(*)::DOUBLE FROM rows, bounds"
+        " WHERE origin_date >= validation_start AND origin_date < test_start"
+        " UNION ALL SELECT 'n_test_rows', count(*)::DOUBLE FROM test",
+        *_BACKTEST,
+    ),
+    "quantile_accuracy": panel(
+        " UNION ALL ".join(
+            f"SELECT round({q!r}::DOUBLE, 6) AS quantile, round(avg(greatest((target - {c}) * {q!r}::DOUBLE, "
+            f"(target - {c}) * {q - 1!r}::DOUBLE)), 6) AS pinball, "
+            f"round(avg(CASE WHEN target <= {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) "
+            "AS coverage FROM scored"
+            for q, c in ((q, quantile_column(q)) for q in LEVELS)
+        ),
+        *_BACKTEST,
+    ),
+    "run_metrics": panel(_accuracy(), *_BACKTEST),
+    "cost_assumptions": panel(
+        f"""
+        SELECT cat_id, round(p, 6) AS mean_price, round(p * {UNDER!r}::DOUBLE, 6) AS understock_cost,
+               round(p * {OVER!r}::DOUBLE, 6) AS overstock_cost,
+               round({FRACTILE!r}::DOUBLE, 6) AS critical_fractile
+        FROM (SELECT cat_id, avg(sell_price) AS p FROM prices JOIN skus USING (sku_id)
+              GROUP BY cat_id)
+        """
+    ),
+}
+
+# --- baselines and decisions ------------------------------------------------------------------
+
+
+def _normal(days, level):
+    z = NormalDist().inv_cdf(level)
+    return f"""
+    baseline AS (
+      SELECT store_id, sku_id,
+             avg(target) * {days} + {z!r}::DOUBLE * stddev_pop(target) * sqrt({days})
+               AS order_up_to
+      FROM known GROUP BY ALL
+    )
+    """
+
+
+def _poisson(days, level, source="known"):
+    return f"""
+    means AS (SELECT store_id, sku_id, avg(target) * {days} AS mu FROM {source} GROUP BY ALL),
+    terms AS (
+      SELECT store_id, sku_id, k, sum(exp(k * ln(mu) - mu - lgamma(k + 1)))
+               OVER (PARTITION BY store_id, sku_id ORDER BY k) AS cdf
+      FROM (SELECT store_id, sku_id, mu,
+                   unnest(range(0, CAST(ceil(mu + 10 * sqrt(mu) + 20) AS BIGINT) + 1)) AS k
+            FROM means WHERE mu > 0)
+    ),
+    baseline AS (
+      SELECT store_id, sku_id, CAST(coalesce(min(k), 0) AS DOUBLE) AS order_up_to
+      FROM means LEFT JOIN (SELECT * FROM terms WHERE cdf >= {level}) USING (store_id, sku_id)
+      GROUP BY ALL
+    )
+    """
+
+
+def _bootstrap(days, level, draws=1000, seed=42):
+    return f"""
+    ranked AS (
+      SELECT store_id, sku_id, target,
+             row_number() OVER (PARTITION BY store_id, sku_id ORDER BY target) - 1 AS position,
+             count(*) OVER (PARTITION BY store_id, sku_id) AS n
+      FROM known
+    ),
+    sizes AS (SELECT DISTINCT store_id, sku_id, n FROM ranked),
+    numbers AS (
+      SELECT draw, CAST('0x' || substr(md5('{seed}|' || draw || '|' || day), 1, 8) AS BIGINT) AS h
+      FROM range({draws}) a(draw), range({days}) b(day)
+    ),
+    totals AS (
+      SELECT store_id, sku_id, draw, sum(target) AS total
+      FROM sizes CROSS JOIN numbers
+           JOIN ranked USING (store_id, sku_id, n) WHERE position = h % n
+      GROUP BY ALL
+    ),
+    baseline AS (
+      SELECT store_id, sku_id, quantile_cont(CAST(total AS DOUBLE), {level}::DOUBLE) AS order_up_to
+      FROM totals GROUP BY ALL
+    )
+    """
+
+
+_BASELINE = "SELECT store_id, sku_id, round(order_up_to, 6) AS order_up_to FROM baseline"
+_L, _SL = REPLAY.lead_time_days, REPLAY.service_level
+_CF = quantile_column(FRACTILE)
+
+
+def _replay(baseline, every=1, known=KNOWN):
+    """CTEs ending in ``results``, one row per policy and decision."""
+    return (
+        LEAD_ROWS, BOUNDS, TRAIN, TEST, known, _model([FRACTILE]), _scored([FRACTILE]), baseline,
+        f"""
+        quantities AS (
+          SELECT 'ml_quantile' AS policy, s.*, {_CF} AS q
+          FROM scored s JOIN baseline USING (store_id, sku_id)
+          UNION ALL
+          SELECT 'classical_baseline', s.*, order_up_to
+          FROM scored s JOIN baseline USING (store_id, sku_id)
+        ),
+        results AS (
+          SELECT policy, store_id, sku_id, origin_date, target_date, round(q, 6) AS order_quantity,
+                 CAST(target AS DOUBLE) AS actual_demand, round(sell_price, 6) AS sell_price,
+                 round(sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0), 6)
+                   AS understock_cost,
+                 round(sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0), 6)
+                   AS overstock_cost,
+                 round(sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0)
+                       + sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0), 6) AS cost
+          FROM quantities WHERE (origin_date - DATE '1970-01-01') % {every} = 0
+        )
+        """,
+    )
+
+
+_EMBARGO = f"known AS (SELECT rows.* FROM rows, bounds WHERE origin_date < test_start - {_L - 1})"
+
+_ADVICE_CTES = f"""
+current_day AS (SELECT max(origin_date) AS day FROM rows),
+train AS (
+  SELECT rows.* FROM rows WHERE origin_date < (
+    SELECT min(origin_date) FROM (
+      SELECT DISTINCT origin_date FROM rows, current_day WHERE origin_date < day
+      ORDER BY origin_date DESC LIMIT 28))
+),
+test AS (SELECT rows.* FROM rows, current_day WHERE origin_date = day)
+"""
+_ADVICE_ROWS = f"""
+advice AS (
+  SELECT store_id, sku_id, origin_date, target_date, 7 AS lead_time_days,
+         round({_CF}, 6) AS order_quantity, round(q_0_5, 6) AS median_forecast,
+         round({_CF} - q_0_5, 6) AS safety_stock, round({FRACTILE!r}::DOUBLE, 6)
+           AS critical_fractile,
+         round({UNDER!r}::DOUBLE, 6) AS understock_cost_ratio,
+         round({OVER!r}::DOUBLE, 6) AS overstock_cost_ratio,
+         CAST(target AS DOUBLE) AS actual_demand, 'feature_store_v1' AS snapshot_table
+  FROM scored
+)
+"""
+_PAIR = [0.5, FRACTILE]
+_ADVICE = (LEAD_ROWS, _ADVICE_CTES, _model(_PAIR), _scored(_PAIR), _ADVICE_ROWS)
+
+_SAVINGS = """
+SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END), 6) AS baseline_cost,
+       round(sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 6) AS ml_cost,
+       round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END)
+             - sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 6) AS savings
+FROM results
+"""
+
+ORACLES |= {
+    "baseline_normal": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _normal(_L, _SL)),
+    "baseline_poisson": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _poisson(_L, _SL)),
+    "baseline_bootstrap": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _bootstrap(_L, _SL)),
+    "recommendations": panel("SELECT * FROM advice", *_ADVICE),
+    "recommendation_summary": panel(
+        """
+        SELECT count(*) AS n_recommendations, min(origin_date) AS recommendation_date,
+               max(lead_time_days) AS lead_time_days,
+               round(sum(order_quantity), 6) AS total_order_quantity,
+               round(sum(safety_stock), 6) AS total_safety_stock,
+               min(critical_fractile) AS critical_fractile, max(snapshot_table) AS snapshot_table
+        FROM advice
+        """,
+        *_ADVICE,
+    ),
+    "top_misses": panel(
+        """
+        SELECT store_id, sku_id, origin_date, target_date, order_quantity, median_forecast,
+               safety_stock, actual_demand,
+               round(abs(order_quantity - actual_demand), 6) AS absolute_miss
+        FROM advice
+        ORDER BY abs(order_quantity - actual_demand) DESC, store_id, sku_id, target_date LIMIT 20
+        """,
+        *_ADVICE,
+    ),
+    "policy_replay": panel("SELECT * FROM results", *_replay(_bootstrap(_L, _SL))),
+    "policy_replay_normal": panel("SELECT * FROM results", *_replay(_normal(_L, _SL), every=7)),
+    "policy_replay_poisson": panel(
+        "SELECT * FROM results", *_replay(_poisson(1, _SL), known=_EMBARGO)
+    ),
+    "policy_summary": panel(
+        """
+        SELECT policy, count(*) AS n_decisions, round(sum(cost), 6) AS total_cost,
+               round(sum(understock_cost), 6) AS total_understock_cost,
+               round(sum(overstock_cost), 6) AS total_overstock_cost,
+               round(avg(cost), 6) AS mean_cost
+        FROM results GROUP BY policy
+        """,
+        *_replay(_bootstrap(_L, _SL)),
+    ),
+    "policy_savings": panel(_SAVINGS, *_replay(_bootstrap(_L, _SL))),
+    "snapshot_lineage": panel(
+        """
+        SELECT 2 AS version, 'feature_store_v2' AS table_name, 'second' AS git_commit,
+               count(*) AS row_count, min(date) AS min_date, max(date) AS max_date
+        FROM store
+        """,
+        STORE,
+    ),
+    "ingest_csv": panel("SELECT * FROM sales"),
+}
+
+
+def _kpi():
+    advice = ", ".join(
+        c.strip() for c in (
+            _ADVICE_CTES.replace("train AS", "a_train AS").replace("test AS", "a_test AS"),
+            _model(_PAIR, "a_train").replace("by_day AS", "a_by_day AS")
+            .replace("by_series AS", "a_by_series AS").replace("overall AS", "a_overall AS"),
+            _scored(_PAIR, "a_test", "a_scored").replace("overall a", "a_overall a")
+            .replace("by_day d", "a_by_day d").replace("by_series s", "a_by_series s"),
+            _ADVICE_ROWS.replace("FROM scored", "FROM a_scored"),
+        )
+    )
+    errors = _model([0.5]).replace("by_day AS", "e_by_day AS").replace(
+        "by_series AS", "e_by_series AS").replace("overall AS", "e_overall AS")
+    scored = _scored([0.5], "test", "e_scored").replace("overall a", "e_overall a").replace(
+        "by_day d", "e_by_day d").replace("by_series s", "e_by_series s")
+    return panel(
+        """
+        SELECT (SELECT round(sum(order_quantity), 6) FROM advice) AS total_order_quantity,
+               (SELECT round(sum(safety_stock), 6) FROM advice) AS total_safety_stock,
+               (SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost ELSE -cost END),
+                             6) FROM results) AS savings,
+               (SELECT round(sum(abs(target - q_0_5)) / sum(abs(target)), 6) FROM e_scored) AS wape
+        """,
+        *_replay(_bootstrap(_L, _SL)), advice, errors, scored,
+    )
+
+
+ORACLES["kpi_tiles"] = _kpi()

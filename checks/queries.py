@@ -3,15 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.operators import features, ingest, quality, summaries
-from stockloom.settings import FeatureSpec
-from stockloom.sources import order_lines
+from stockloom.functions import newsvendor
+from stockloom.functions.quantiles import quantile_column, rearrange_quantiles
+from stockloom.operators import (
+    backtest,
+    decisions,
+    features,
+    horizon,
+    ingest,
+    inventory,
+    quality,
+    reports,
+    split,
+    summaries,
+)
+from stockloom.operators.forest import ForestQuantiles
+from stockloom.operators.seasonal import SeasonalQuantiles
+from stockloom.plans import jobs
+from stockloom.session import fresh_folder, write_and_read
+from stockloom.settings import CostSpec, FeatureSpec, ForecastSpec, ReplaySpec
+from stockloom.sources import order_lines, raw_csv, run_log, snapshots
+from stockloom.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +51,11 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+SPEC, FORECAST, COSTS, REPLAY = FeatureSpec(), ForecastSpec(), CostSpec(), ReplaySpec()
+LEVELS = FORECAST.trained_quantiles(COSTS)
+LEAD = REPLAY.lead_time_days
+
+
 def star(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     series = order_lines.raw_series(spark, sf)
     return {
@@ -214,3 +236,333 @@ def rolling_features_in_blocks(spark, sf):
         order_lines.daily_sales(spark, sf), spec, block_rows=365, slice_days=200
     )
     return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
+
+
+# Columns that the seasonal forecaster, the baseline and the grading need.
+DECISION_COLUMNS = ("store_id", "sku_id", "origin_date", "target_date", "sell_price", "target")
+
+
+def stored_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature store over a stored sales fact, for plans that read the panel twice."""
+    tables = star(spark, sf)
+    sales = write_and_read(tables["sales"], "sales")
+    return features.feature_store(
+        sales,
+        tables["skus"],
+        tables["stores"],
+        tables["calendar"],
+        SPEC,
+        order_lines.MAX_SERIES_ROWS,
+    )
+
+
+def lead_time_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The lead-time dataset, stored: several jobs read it."""
+    assembled = horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
+    return write_and_read(assembled.select(*DECISION_COLUMNS), "lead-time")
+
+
+def multi_horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
+    assembled = horizon.assemble_horizons(
+        stored_store(spark, sf), SPEC, FORECAST.horizon_days, FORECAST.origin_stride_days
+    )
+    columns = ("store_id", "sku_id", "origin_date", "target_date", "horizon", "target")
+    return write_and_read(assembled.select(*columns), "multi-horizon")
+
+
+def bounds_of(dataset: DataFrame) -> split.Bounds:
+    return split.chronological_bounds(
+        dataset, FORECAST.test_size_days, FORECAST.validation_size_days
+    )
+
+
+@query
+def series_history(spark, sf):
+    rows = lead_time_rows(spark, sf)
+    known = inventory.series_history(rows.where(~bounds_of(rows).is_test))
+    return known.select(
+        "store_id", "sku_id", F.array_join(F.col("demand").cast("array<string>"), ",").alias("days")
+    )
+
+
+@query
+def origin_stride(spark, sf):
+    """Sales on the sampled origin days."""
+    return order_lines.daily_sales(spark, sf).where(
+        horizon.on_cadence("date", FORECAST.origin_stride_days)
+    )
+
+
+@query
+def lead_time_dataset(spark, sf):
+    return rounded(horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD))
+
+
+@query
+def horizon_dataset(spark, sf):
+    """Horizons 1..9 from origins sampled every 7 days, all features."""
+    return rounded(horizon.assemble_horizons(stored_store(spark, sf), SPEC, 9, 7))
+
+
+@query
+def origin_dates(spark, sf):
+    return split.origin_dates(
+        horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
+    ).orderBy("origin_date")
+
+
+@query
+def split_counts(spark, sf):
+    rows = multi_horizon_rows(spark, sf)
+    return backtest.split_counts(rows, bounds_of(rows))
+
+
+@query
+def two_way_split(spark, sf):
+    rows = lead_time_rows(spark, sf)
+    bounds = split.two_way_bounds(rows, FORECAST.validation_size_days)
+    return backtest.split_counts(rows, bounds).where("split != 'test'")
+
+
+@query
+def seasonal_quantiles(spark, sf):
+    rows = lead_time_rows(spark, sf)
+    model = SeasonalQuantiles(LEVELS).fit(rows.where(bounds_of(rows).is_train))
+    return rounded(model.table())
+
+
+@query
+def seasonal_predictions(spark, sf):
+    rows = lead_time_rows(spark, sf)
+    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
+    return rounded(scored.drop("sell_price"))
+
+
+@query
+def monotone_rearrange(spark, sf):
+    """Three values per row that do cross: demand 1, 7 and 14 days ago."""
+    lags = history(spark, sf, SPEC)
+    names = {0.1: "units_sold_lag_1", 0.5: "units_sold_lag_7", 0.9: "units_sold_lag_14"}
+    raw = lags.select(
+        "store_id",
+        "sku_id",
+        "date",
+        *[F.coalesce(F.col(c), F.lit(0)).alias(quantile_column(q)) for q, c in names.items()],
+    )
+    return rearrange_quantiles(raw, list(names))
+
+
+@query
+def backtest_metrics(spark, sf):
+    rows = multi_horizon_rows(spark, sf)
+    return rounded(backtest.backtest_metrics(rows, bounds_of(rows), LEVELS, SeasonalQuantiles))
+
+
+@query
+def quantile_accuracy(spark, sf):
+    rows = multi_horizon_rows(spark, sf)
+    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
+    return rounded(backtest.quantile_accuracy(backtest.accuracy(scored, LEVELS)))
+
+
+@query
+def run_metrics(spark, sf):
+    """Two logged runs; the metrics of the later one, by its start time."""
+    rows = multi_horizon_rows(spark, sf)
+    tables = Tables(spark, fresh_folder(spark, "runs"))
+    first = backtest.split_counts(rows, bounds_of(rows)).select(
+        F.col("split").alias("name"), F.col("n_rows").cast("double").alias("value")
+    )
+    run_log.log_run(tables, run_log.run_rows(spark, first, {"step": "split"}, "forecast"))
+    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
+    metrics = backtest.accuracy(scored, LEVELS)
+    params = {"horizon_days": FORECAST.horizon_days, "quantiles": LEVELS}
+    run_log.log_run(tables, run_log.run_rows(spark, metrics, params, "forecast"))
+    latest = run_log.latest_run(run_log.runs(tables), "forecast")
+    return rounded(run_log.run_metrics(latest))
+
+
+@query
+def forest_quantiles(spark, sf):
+    """Accuracy of the global model; a fitted forest has no SQL counterpart."""
+    assembled = horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
+    rows = write_and_read(assembled, "lead-time-features")
+    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, ForestQuantiles)
+    return backtest.accuracy(scored, LEVELS)
+
+
+@query
+def cost_assumptions(spark, sf):
+    """The economics in currency, at each category's mean price."""
+    tables = star(spark, sf)
+    price = F.col("mean_price")
+    understock = newsvendor.understock_ratio(
+        F.lit(COSTS.unit_cost_ratio), F.lit(COSTS.stockout_penalty_ratio)
+    )
+    overstock = newsvendor.overstock_ratio(
+        F.lit(COSTS.unit_cost_ratio), F.lit(COSTS.salvage_ratio), F.lit(COSTS.holding_cost_ratio)
+    )
+    by_category = (
+        tables["prices"]
+        .join(tables["skus"], "sku_id")
+        .groupBy("cat_id")
+        .agg(F.avg("sell_price").alias("mean_price"))
+    )
+    return rounded(
+        by_category.select(
+            "cat_id",
+            "mean_price",
+            (price * understock).alias("understock_cost"),
+            (price * overstock).alias("overstock_cost"),
+            newsvendor.critical_fractile(price * understock, price * overstock).alias(
+                "critical_fractile"
+            ),
+        )
+    )
+
+
+def baseline(spark: SparkSession, sf: str, distribution: str) -> DataFrame:
+    rows = lead_time_rows(spark, sf)
+    known = rows.where(~bounds_of(rows).is_test)
+    return rounded(
+        inventory.order_up_to(known, distribution, REPLAY.window_days, REPLAY.service_level)
+    )
+
+
+@query
+def baseline_normal(spark, sf):
+    return baseline(spark, sf, "normal")
+
+
+@query
+def baseline_poisson(spark, sf):
+    return baseline(spark, sf, "poisson")
+
+
+@query
+def baseline_bootstrap(spark, sf):
+    return baseline(spark, sf, "empirical")
+
+
+def recommended(spark: SparkSession, sf: str) -> DataFrame:
+    rows = decisions.recommend(
+        lead_time_rows(spark, sf), LEAD, COSTS, FORECAST, SeasonalQuantiles
+    )
+    return rounded(rows.withColumn("snapshot_table", F.lit("feature_store_v1")))
+
+
+def replayed(spark: SparkSession, sf: str, spec: ReplaySpec = REPLAY) -> DataFrame:
+    return rounded(
+        decisions.replay(lead_time_rows(spark, sf), spec, COSTS, FORECAST, SeasonalQuantiles)
+    )
+
+
+@query
+def recommendations(spark, sf):
+    return recommended(spark, sf)
+
+
+@query
+def recommendation_summary(spark, sf):
+    return rounded(reports.recommendation_summary(recommended(spark, sf)))
+
+
+@query
+def top_misses(spark, sf):
+    return rounded(reports.top_misses(recommended(spark, sf)))
+
+
+@query
+def policy_replay(spark, sf):
+    return replayed(spark, sf)
+
+
+@query
+def policy_replay_normal(spark, sf):
+    """Weekly reviews against the normal baseline."""
+    return replayed(spark, sf, ReplaySpec(demand_distribution="normal", review_period_days=7))
+
+
+@query
+def policy_replay_poisson(spark, sf):
+    """Poisson baseline over one day, fitted on outcomes known before the first decision."""
+    spec = ReplaySpec(demand_distribution="poisson", baseline_window_days=1, embargo_days=LEAD - 1)
+    return replayed(spark, sf, spec)
+
+
+@query
+def policy_summary(spark, sf):
+    return rounded(reports.policy_summary(replayed(spark, sf)))
+
+
+@query
+def policy_savings(spark, sf):
+    return rounded(reports.policy_savings(replayed(spark, sf)))
+
+
+@query
+def kpi_tiles(spark, sf):
+    rows = lead_time_rows(spark, sf)
+    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
+    advice = decisions.recommend(rows, LEAD, COSTS, FORECAST, SeasonalQuantiles)
+    results = decisions.replay(rows, REPLAY, COSTS, FORECAST, SeasonalQuantiles)
+    return rounded(
+        reports.kpi_tiles(
+            spark,
+            rounded(advice.withColumn("snapshot_table", F.lit("feature_store_v1"))),
+            rounded(results),
+            backtest.accuracy(scored, LEVELS),
+        )
+    )
+
+
+@query
+def snapshot_lineage(spark, sf):
+    """Two snapshots of the panel; the manifest of the later one."""
+    tables = Tables(spark, fresh_folder(spark, "snapshots"))
+    snapshots.build_snapshot(tables, store(spark, sf), SPEC, "first")
+    again = snapshots.read_snapshot(tables)
+    snapshots.build_snapshot(tables, again, SPEC, "second")
+    return snapshots.snapshot_lineage(tables).drop("created_at")
+
+
+def land_raw_files(spark: SparkSession, sf: str, raw_dir: str) -> None:
+    """The panel as raw files: one wide row per series with a column for every calendar day."""
+    calendar = order_lines.raw_calendar(spark, sf)
+    calendar.write.option("header", True).csv(f"{raw_dir}/{raw_csv.CALENDAR}")
+    grid = write_and_read(order_lines.weekly_grid(spark, sf), "grid")
+    prices = grid.select("store_id", "item_id", "wm_yr_wk", "sell_price")
+    prices.where("sell_price IS NOT NULL").write.option("header", True).csv(
+        f"{raw_dir}/{raw_csv.PRICES}"
+    )
+    weeks = F.sort_array(
+        F.collect_list(F.struct("wm_yr_wk", F.array(*[f"d_{i}" for i in range(1, 8)]).alias("u")))
+    )
+    # One array of daily units per series: as long as the calendar, like the raw file's rows.
+    rows = grid.groupBy("store_id", "item_id").agg(
+        F.filter(F.flatten(F.transform(weeks, lambda w: w["u"])), lambda u: u.isNotNull()).alias(
+            "units"
+        )
+    )
+    days = [r.d for r in calendar.orderBy("date").select("d").collect()]
+    wide = rows.join(order_lines.raw_series(spark, sf), ["store_id", "item_id"]).select(
+        F.concat_ws("_", "item_id", "store_id", F.lit("evaluation")).alias("id"),
+        "item_id",
+        "dept_id",
+        "cat_id",
+        "store_id",
+        "state_id",
+        *[F.col("units")[i].alias(d) for i, d in enumerate(days)],
+    )
+    wide.write.option("header", True).csv(f"{raw_dir}/{raw_csv.SALES}")
+
+
+@query
+def ingest_csv(spark, sf):
+    """Raw files to star schema, twice: the second run replaces the first."""
+    raw_dir = fresh_folder(spark, "raw")
+    land_raw_files(spark, sf, raw_dir)
+    tables = Tables(spark, fresh_folder(spark, "star"))
+    jobs.ingest_raw(tables, raw_dir)
+    jobs.ingest_raw(tables, raw_dir)
+    return tables.require("sales")
