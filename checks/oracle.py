@@ -451,10 +451,10 @@ _PAIR = [0.5, FRACTILE]
 _ADVICE = (LEAD_ROWS, _ADVICE_CTES, _model(_PAIR), _scored(_PAIR), _ADVICE_ROWS)
 
 _SAVINGS = """
-SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END), 6) AS baseline_cost,
-       round(sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 6) AS ml_cost,
+SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END), 2) AS baseline_cost,
+       round(sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 2) AS ml_cost,
        round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END)
-             - sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 6) AS savings
+             - sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 2) AS savings
 FROM results
 """
 
@@ -491,9 +491,9 @@ ORACLES |= {
     ),
     "policy_summary": panel(
         """
-        SELECT policy, count(*) AS n_decisions, round(sum(cost), 6) AS total_cost,
-               round(sum(understock_cost), 6) AS total_understock_cost,
-               round(sum(overstock_cost), 6) AS total_overstock_cost,
+        SELECT policy, count(*) AS n_decisions, round(sum(cost), 2) AS total_cost,
+               round(sum(understock_cost), 2) AS total_understock_cost,
+               round(sum(overstock_cost), 2) AS total_overstock_cost,
                round(avg(cost), 6) AS mean_cost
         FROM results GROUP BY policy
         """,
@@ -532,7 +532,7 @@ def _kpi():
         SELECT (SELECT round(sum(order_quantity), 6) FROM advice) AS total_order_quantity,
                (SELECT round(sum(safety_stock), 6) FROM advice) AS total_safety_stock,
                (SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost ELSE -cost END),
-                             6) FROM results) AS savings,
+                             2) FROM results) AS savings,
                (SELECT round(sum(abs(target - q_0_5)) / sum(abs(target)), 6) FROM e_scored) AS wape
         """,
         *_replay(_bootstrap(_L, _SL)), advice, errors, scored,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from stockloom.plans import jobs
 from stockloom.session import fresh_folder, write_and_read
 from stockloom.settings import CostSpec, FeatureSpec, ForecastSpec, ReplaySpec
 from stockloom.sources import order_lines, raw_csv, run_log, snapshots
+from stockloom.sources.order_lines import OrderLinePanel
 from stockloom.sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +37,15 @@ QUERIES: dict[str, Query] = {}
 
 # Floating results are rounded before comparison: sums depend on the order of their terms.
 DIGITS = 6
+MONEY_DIGITS = 2
+MONEY_TOTALS = (
+    "total_cost",
+    "total_understock_cost",
+    "total_overstock_cost",
+    "baseline_cost",
+    "ml_cost",
+    "savings",
+)
 
 
 def query(function: Query) -> Query:
@@ -45,7 +56,9 @@ def query(function: Query) -> Query:
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(
         [
-            F.round(f.name, DIGITS).alias(f.name) if f.dataType == T.DoubleType() else f.name
+            F.round(f.name, MONEY_DIGITS if f.name in MONEY_TOTALS else DIGITS).alias(f.name)
+            if f.dataType == T.DoubleType()
+            else f.name
             for f in df.schema
         ]
     )
@@ -56,131 +69,139 @@ LEVELS = FORECAST.trained_quantiles(COSTS)
 LEAD = REPLAY.lead_time_days
 
 
-def star(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    series = order_lines.raw_series(spark, sf)
-    return {
-        "stores": ingest.stores(series),
-        "skus": ingest.skus(series),
-        "calendar": ingest.calendar(order_lines.raw_calendar(spark, sf)),
-        "prices": ingest.prices(order_lines.raw_prices(spark, sf)),
-        "sales": order_lines.daily_sales(spark, sf),
-    }
-
-
-def long_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """store_id, sku_id, d, units_sold by unpivoting the week-wide cells."""
-    cells = ingest.unpivot_days(
-        order_lines.raw_week_cells(spark, sf), ["store_id", "item_id", "wm_yr_wk"]
-    )
-    slot = F.substring("d", 3, 1).cast("int")
-    day = order_lines.day_in_week(F.col("wm_yr_wk"), 1) + slot - 1
-    return cells.select(
-        "store_id",
-        F.col("item_id").alias("sku_id"),
-        F.concat(F.lit("d_"), day.cast("string")).alias("d"),
-        "units_sold",
-    )
-
+class Star(OrderLinePanel):
+    """The star schema over the panel, each table built on first use."""
+
+    @cached_property
+    def raw_series(self) -> DataFrame:
+        """Stored, so that Spark sees how small the dimensions drawn from it are."""
+        return write_and_read(OrderLinePanel.raw_series.func(self), "series")
+
+    @cached_property
+    def stores(self) -> DataFrame:
+        return ingest.stores(self.raw_series)
+
+    @cached_property
+    def skus(self) -> DataFrame:
+        return ingest.skus(self.raw_series)
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return ingest.calendar(self.raw_calendar)
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return ingest.prices(self.raw_prices)
+
+    @cached_property
+    def long_cells(self) -> DataFrame:
+        """store_id, sku_id, d, units_sold by unpivoting the week-wide cells."""
+        cells = ingest.unpivot_days(self.raw_week_cells, ["store_id", "item_id", "wm_yr_wk"])
+        slot = F.substring("d", 3, 1).cast("int")
+        day = order_lines.day_in_week(F.col("wm_yr_wk"), 1) + slot - 1
+        return cells.select(
+            "store_id",
+            F.col("item_id").alias("sku_id"),
+            F.concat(F.lit("d_"), day.cast("string")).alias("d"),
+            "units_sold",
+        )
 
-def history(spark: SparkSession, sf: str, spec: FeatureSpec) -> DataFrame:
-    return features.history_features(
-        order_lines.daily_sales(spark, sf), spec, order_lines.MAX_SERIES_ROWS
-    )
+    def history(self, spec: FeatureSpec) -> DataFrame:
+        return features.history_features(self.daily_sales, spec, self.longest)
 
+    def store(self) -> DataFrame:
+        return features.feature_store(
+            self.daily_sales, self.skus, self.stores, self.calendar, SPEC, self.longest
+        )
 
-def store(spark: SparkSession, sf: str, spec: FeatureSpec | None = None) -> DataFrame:
-    tables = star(spark, sf)
-    return features.feature_store(
-        tables["sales"],
-        tables["skus"],
-        tables["stores"],
-        tables["calendar"],
-        spec,
-        order_lines.MAX_SERIES_ROWS,
-    )
+    def stored_store(self) -> DataFrame:
+        """The feature store as stored files, for plans that read it twice."""
+        return write_and_read(self.store(), "store")
 
 
 @query
 def stores(spark, sf):
-    return ingest.stores(order_lines.raw_series(spark, sf))
+    return Star(spark, sf).stores
 
 
 @query
 def skus(spark, sf):
-    return ingest.skus(order_lines.raw_series(spark, sf))
+    return Star(spark, sf).skus
 
 
 @query
 def calendar_dim(spark, sf):
-    return ingest.calendar(order_lines.raw_calendar(spark, sf))
+    return Star(spark, sf).calendar
 
 
 @query
 def prices(spark, sf):
-    return ingest.prices(order_lines.raw_prices(spark, sf))
+    return Star(spark, sf).prices
 
 
 @query
 def unpivot_sales(spark, sf):
-    return long_cells(spark, sf)
+    return Star(spark, sf).long_cells
 
 
 @query
 def sales_fact(spark, sf):
     """Unpivot, then the calendar and price joins."""
-    return ingest.sales(
-        long_cells(spark, sf),
-        ingest.calendar(order_lines.raw_calendar(spark, sf)),
-        ingest.prices(order_lines.raw_prices(spark, sf)),
-    )
+    tables = Star(spark, sf)
+    return ingest.sales(tables.long_cells, tables.calendar, tables.prices)
 
 
 @query
 def sales_panel(spark, sf):
     """The same fact without the joins."""
-    return order_lines.daily_sales(spark, sf)
+    return Star(spark, sf).daily_sales
 
 
 @query
 def ingest_stats(spark, sf):
-    tables = star(spark, sf)
+    tables = Star(spark, sf)
     return ingest.ingest_statistics(
-        tables["stores"],
-        tables["skus"],
-        tables["calendar"],
-        long_cells(spark, sf),
-        tables["sales"],
+        tables.stores, tables.skus, tables.calendar, tables.long_cells, tables.daily_sales
     )
 
 
 @query
 def table_counts(spark, sf):
-    return summaries.row_counts(star(spark, sf))
+    tables = Star(spark, sf)
+    return summaries.row_counts(
+        {
+            "stores": tables.stores,
+            "skus": tables.skus,
+            "calendar": tables.calendar,
+            "prices": tables.prices,
+            "sales": tables.daily_sales,
+        }
+    )
 
 
 @query
 def quality_checks(spark, sf):
-    tables = star(spark, sf)
+    tables = Star(spark, sf)
     return quality.quality_checks(
-        tables["stores"], tables["skus"], tables["calendar"], tables["prices"], tables["sales"]
+        tables.stores, tables.skus, tables.calendar, tables.prices, tables.daily_sales
     )
 
 
 @query
 def sales_summary(spark, sf):
-    tables = star(spark, sf)
-    return rounded(summaries.sales_summary(tables["sales"], tables["skus"], tables["stores"]))
+    tables = Star(spark, sf)
+    return rounded(summaries.sales_summary(tables.daily_sales, tables.skus, tables.stores))
 
 
 @query
 def series_coverage(spark, sf):
-    return summaries.series_coverage(order_lines.daily_sales(spark, sf))
+    return summaries.series_coverage(Star(spark, sf).daily_sales)
 
 
 @query
 def duplicate_keys(spark, sf):
     """Duplicate detection, on a key that has duplicates: order lines of one store, item and day."""
-    lines = order_lines.order_lines(spark, sf).select(
+    lines = Star(spark, sf).lines.select(
         "store_id", F.col("item_id").alias("sku_id"), F.col("day").alias("date")
     )
     return summaries.duplicate_keys(lines, summaries.SALES_KEY)
@@ -196,20 +217,16 @@ def orphan_rows(spark, sf):
 
 @query
 def feature_store(spark, sf):
-    return rounded(store(spark, sf))
+    return rounded(Star(spark, sf).store())
 
 
 @query
 def feature_store_from_view(spark, sf):
     """The left-join form of the feature store."""
-    tables = star(spark, sf)
+    tables = Star(spark, sf)
     return rounded(
         features.feature_store_from_view(
-            tables["sales"],
-            history(spark, sf, FeatureSpec()),
-            tables["skus"],
-            tables["stores"],
-            tables["calendar"],
+            tables.daily_sales, tables.history(SPEC), tables.skus, tables.stores, tables.calendar
         )
     )
 
@@ -217,14 +234,14 @@ def feature_store_from_view(spark, sf):
 @query
 def lag_features(spark, sf):
     spec = FeatureSpec(lags=(1, 2, 7, 14, 28, 364))
-    return history(spark, sf, spec).select(*spec.group_columns, spec.date_column, *spec.lag_names)
+    return Star(spark, sf).history(spec).select(*spec.group_columns, spec.date_column, *spec.lag_names)
 
 
 @query
 def rolling_features(spark, sf):
     """All five aggregates."""
     spec = FeatureSpec(aggregations=("mean", "std", "min", "max", "sum"))
-    frame = history(spark, sf, spec)
+    frame = Star(spark, sf).history(spec)
     return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
 
 
@@ -233,41 +250,28 @@ def rolling_features_in_blocks(spark, sf):
     """The form for very long series, with blocks far shorter than the series."""
     spec = FeatureSpec(aggregations=("mean", "std", "min", "max", "sum"))
     frame = features.history_features_in_blocks(
-        order_lines.daily_sales(spark, sf), spec, block_rows=365, slice_days=200
+        Star(spark, sf).daily_sales, spec, block_rows=365, slice_days=200
     )
     return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
 
 
-# Columns that the seasonal forecaster, the baseline and the grading need.
-DECISION_COLUMNS = ("store_id", "sku_id", "origin_date", "target_date", "sell_price", "target")
-
-
-def stored_store(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature store over a stored sales fact, for plans that read the panel twice."""
-    tables = star(spark, sf)
-    sales = write_and_read(tables["sales"], "sales")
-    return features.feature_store(
-        sales,
-        tables["skus"],
-        tables["stores"],
-        tables["calendar"],
-        SPEC,
-        order_lines.MAX_SERIES_ROWS,
-    )
+def stored_sales(spark: SparkSession, sf: str) -> DataFrame:
+    """The sales fact as stored files: the part of the feature store that decisions need."""
+    return write_and_read(Star(spark, sf).daily_sales, "sales")
 
 
 def lead_time_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The lead-time dataset, stored: several jobs read it."""
-    assembled = horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
-    return write_and_read(assembled.select(*DECISION_COLUMNS), "lead-time")
+    """The lead-time dataset without feature columns, stored: several jobs read it."""
+    return write_and_read(
+        horizon.assemble_horizon(stored_sales(spark, sf), SPEC, LEAD), "lead-time"
+    )
 
 
 def multi_horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
     assembled = horizon.assemble_horizons(
-        stored_store(spark, sf), SPEC, FORECAST.horizon_days, FORECAST.origin_stride_days
+        stored_sales(spark, sf), SPEC, FORECAST.horizon_days, FORECAST.origin_stride_days
     )
-    columns = ("store_id", "sku_id", "origin_date", "target_date", "horizon", "target")
-    return write_and_read(assembled.select(*columns), "multi-horizon")
+    return write_and_read(assembled, "multi-horizon")
 
 
 def bounds_of(dataset: DataFrame) -> split.Bounds:
@@ -288,27 +292,26 @@ def series_history(spark, sf):
 @query
 def origin_stride(spark, sf):
     """Sales on the sampled origin days."""
-    return order_lines.daily_sales(spark, sf).where(
+    return Star(spark, sf).daily_sales.where(
         horizon.on_cadence("date", FORECAST.origin_stride_days)
     )
 
 
 @query
 def lead_time_dataset(spark, sf):
-    return rounded(horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD))
+    return rounded(horizon.assemble_horizon(Star(spark, sf).stored_store(), SPEC, LEAD))
 
 
 @query
 def horizon_dataset(spark, sf):
     """Horizons 1..9 from origins sampled every 7 days, all features."""
-    return rounded(horizon.assemble_horizons(stored_store(spark, sf), SPEC, 9, 7))
+    return rounded(horizon.assemble_horizons(Star(spark, sf).stored_store(), SPEC, 9, 7))
 
 
 @query
 def origin_dates(spark, sf):
-    return split.origin_dates(
-        horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
-    ).orderBy("origin_date")
+    assembled = horizon.assemble_horizon(stored_sales(spark, sf), SPEC, LEAD)
+    return split.origin_dates(assembled).orderBy("origin_date")
 
 
 @query
@@ -335,13 +338,13 @@ def seasonal_quantiles(spark, sf):
 def seasonal_predictions(spark, sf):
     rows = lead_time_rows(spark, sf)
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
-    return rounded(scored.drop("sell_price"))
+    return rounded(scored.drop("sell_price", "horizon"))
 
 
 @query
 def monotone_rearrange(spark, sf):
     """Three values per row that do cross: demand 1, 7 and 14 days ago."""
-    lags = history(spark, sf, SPEC)
+    lags = Star(spark, sf).history(SPEC)
     names = {0.1: "units_sold_lag_1", 0.5: "units_sold_lag_7", 0.9: "units_sold_lag_14"}
     raw = lags.select(
         "store_id",
@@ -385,7 +388,7 @@ def run_metrics(spark, sf):
 @query
 def forest_quantiles(spark, sf):
     """Accuracy of the global model; a fitted forest has no SQL counterpart."""
-    assembled = horizon.assemble_horizon(stored_store(spark, sf), SPEC, LEAD)
+    assembled = horizon.assemble_horizon(Star(spark, sf).stored_store(), SPEC, LEAD)
     rows = write_and_read(assembled, "lead-time-features")
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, ForestQuantiles)
     return backtest.accuracy(scored, LEVELS)
@@ -394,7 +397,7 @@ def forest_quantiles(spark, sf):
 @query
 def cost_assumptions(spark, sf):
     """The economics in currency, at each category's mean price."""
-    tables = star(spark, sf)
+    tables = Star(spark, sf)
     price = F.col("mean_price")
     understock = newsvendor.understock_ratio(
         F.lit(COSTS.unit_cost_ratio), F.lit(COSTS.stockout_penalty_ratio)
@@ -403,8 +406,7 @@ def cost_assumptions(spark, sf):
         F.lit(COSTS.unit_cost_ratio), F.lit(COSTS.salvage_ratio), F.lit(COSTS.holding_cost_ratio)
     )
     by_category = (
-        tables["prices"]
-        .join(tables["skus"], "sku_id")
+        tables.prices.join(tables.skus, "sku_id")
         .groupBy("cat_id")
         .agg(F.avg("sell_price").alias("mean_price"))
     )
@@ -520,7 +522,7 @@ def kpi_tiles(spark, sf):
 def snapshot_lineage(spark, sf):
     """Two snapshots of the panel; the manifest of the later one."""
     tables = Tables(spark, fresh_folder(spark, "snapshots"))
-    snapshots.build_snapshot(tables, store(spark, sf), SPEC, "first")
+    snapshots.build_snapshot(tables, Star(spark, sf).store(), SPEC, "first")
     again = snapshots.read_snapshot(tables)
     snapshots.build_snapshot(tables, again, SPEC, "second")
     return snapshots.snapshot_lineage(tables).drop("created_at")
@@ -528,9 +530,10 @@ def snapshot_lineage(spark, sf):
 
 def land_raw_files(spark: SparkSession, sf: str, raw_dir: str) -> None:
     """The panel as raw files: one wide row per series with a column for every calendar day."""
-    calendar = order_lines.raw_calendar(spark, sf)
+    panel = Star(spark, sf)
+    calendar = panel.raw_calendar
     calendar.write.option("header", True).csv(f"{raw_dir}/{raw_csv.CALENDAR}")
-    grid = write_and_read(order_lines.weekly_grid(spark, sf), "grid")
+    grid = write_and_read(panel.grid, "grid")
     prices = grid.select("store_id", "item_id", "wm_yr_wk", "sell_price")
     prices.where("sell_price IS NOT NULL").write.option("header", True).csv(
         f"{raw_dir}/{raw_csv.PRICES}"
@@ -545,14 +548,14 @@ def land_raw_files(spark: SparkSession, sf: str, raw_dir: str) -> None:
         )
     )
     days = [r.d for r in calendar.orderBy("date").select("d").collect()]
-    wide = rows.join(order_lines.raw_series(spark, sf), ["store_id", "item_id"]).select(
-        F.concat_ws("_", "item_id", "store_id", F.lit("evaluation")).alias("id"),
+    wide = rows.join(panel.raw_series, ["store_id", "item_id"]).selectExpr(
+        "concat_ws('_', item_id, store_id, 'evaluation') AS id",
         "item_id",
         "dept_id",
         "cat_id",
         "store_id",
         "state_id",
-        *[F.col("units")[i].alias(d) for i, d in enumerate(days)],
+        *[f"units[{i}] AS {day}" for i, day in enumerate(days)],
     )
     wide.write.option("header", True).csv(f"{raw_dir}/{raw_csv.SALES}")
 

@@ -1,4 +1,7 @@
-"""Direct multi-horizon assembly: history from the origin day, the rest from the target day."""
+"""Direct multi-horizon assembly: history from the origin day, the rest from the target day.
+
+``store`` is a feature store or a projection of one: feature columns it lacks are left out.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +16,15 @@ def on_cadence(day: str, every: int) -> Column:
     return F.unix_date(day) % every == 0
 
 
+def _present(store: DataFrame, names: list[str]) -> list[str]:
+    return [name for name in names if name in store.columns]
+
+
 def _origins(store: DataFrame, spec: FeatureSpec, stride: int) -> DataFrame:
     return store.where(on_cadence(spec.date_column, stride)).select(
-        *spec.group_columns, F.col(spec.date_column).alias("origin_date"), *spec.history_names
+        *spec.group_columns,
+        F.col(spec.date_column).alias("origin_date"),
+        *_present(store, spec.history_names),
     )
 
 
@@ -23,7 +32,7 @@ def _targets(store: DataFrame, spec: FeatureSpec) -> DataFrame:
     return store.select(
         *spec.group_columns,
         F.col(spec.date_column).alias("target_date"),
-        *spec.future_names,
+        *_present(store, spec.future_names),
         F.col(spec.target).alias("target"),
     )
 
@@ -34,8 +43,8 @@ def _assembled(origins: DataFrame, targets: DataFrame, spec: FeatureSpec) -> Dat
         "origin_date",
         "target_date",
         "horizon",
-        *spec.history_names,
-        *spec.future_names,
+        *_present(origins, spec.history_names),
+        *_present(targets, spec.future_names),
         "target",
     )
 

@@ -27,35 +27,30 @@ def prices(raw_prices: DataFrame) -> DataFrame:
     return schemas.conform(raw_prices.withColumnRenamed("item_id", "sku_id"), schemas.PRICES)
 
 
-def _is_holiday(event_type: str) -> Column:
-    return F.coalesce(F.col(event_type), F.lit("")).isin(*HOLIDAY_TYPES)
-
-
 def calendar(raw_calendar: DataFrame) -> DataFrame:
     """Typed calendar with date parts (0 = Sunday) and weekend, event, holiday and SNAP flags."""
-    day = F.to_date("date")
-    day_of_week = F.dayofweek(day) - 1
+    kinds = ", ".join(f"'{kind}'" for kind in HOLIDAY_TYPES)
+    dated = raw_calendar.withColumn("date", F.to_date("date"))
     return schemas.conform(
-        raw_calendar.select(
-            day.alias("date"),
+        dated.selectExpr(
+            "date",
             "d",
             "wm_yr_wk",
-            day_of_week.alias("day_of_week"),
-            F.weekofyear(day).alias("week_of_year"),
-            F.month(day).alias("month"),
-            F.year(day).alias("year"),
-            day_of_week.isin(0, 6).alias("is_weekend"),
+            "dayofweek(date) - 1 AS day_of_week",
+            "weekofyear(date) AS week_of_year",
+            "month(date) AS month",
+            "year(date) AS year",
+            "dayofweek(date) - 1 IN (0, 6) AS is_weekend",
             "event_name_1",
             "event_type_1",
             "event_name_2",
             "event_type_2",
-            (F.col("event_name_1").isNotNull() | F.col("event_name_2").isNotNull()).alias(
-                "is_event"
-            ),
-            (_is_holiday("event_type_1") | _is_holiday("event_type_2")).alias("is_holiday"),
-            F.col("snap_CA").alias("snap_ca"),
-            F.col("snap_TX").alias("snap_tx"),
-            F.col("snap_WI").alias("snap_wi"),
+            "event_name_1 IS NOT NULL OR event_name_2 IS NOT NULL AS is_event",
+            f"coalesce(event_type_1, '') IN ({kinds}) OR coalesce(event_type_2, '') IN ({kinds})"
+            " AS is_holiday",
+            "snap_CA AS snap_ca",
+            "snap_TX AS snap_tx",
+            "snap_WI AS snap_wi",
         ),
         schemas.CALENDAR,
     )
@@ -66,8 +61,16 @@ def day_columns(raw_sales: DataFrame) -> list[str]:
 
 
 def unpivot_days(raw_sales: DataFrame, id_columns: list[str]) -> DataFrame:
-    """Wide day cells to one row per cell, without the empty (NULL) cells."""
-    long = raw_sales.unpivot(id_columns, day_columns(raw_sales), "d", "units_sold")
+    """Wide day cells to one row per cell, without the empty (NULL) cells.
+
+    The cells are exploded as one array. ``DataFrame.unpivot`` gives the same rows but plans one
+    projection of the whole row per day column, which takes long with thousands of days.
+    """
+    days = day_columns(raw_sales)
+    names = ", ".join(f"'{day}'" for day in days)
+    cells = ", ".join(f"`{day}`" for day in days)
+    pairs = F.expr(f"inline(arrays_zip(array({names}), array({cells})))")
+    long = raw_sales.select(*id_columns, pairs.alias("d", "units_sold"))
     return long.where(F.col("units_sold").isNotNull())
 
 

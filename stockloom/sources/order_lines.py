@@ -12,14 +12,14 @@ per week when its rows meet.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RUN = 500
 SLOW = 20
-
-# A series has at most one row per ship day; a thousand years of days stay below this bound.
-MAX_SERIES_ROWS = 366_000
 SERIES = ("store_id", "item_id")
 
 # Month, day, event name, event type, event slot.
@@ -34,8 +34,8 @@ EVENTS = (
 STATE_OF_REGION = {0: "CA", 1: "TX", 2: "WI"}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _day_number(day: date) -> int:
+    return (day - date(1970, 1, 1)).days
 
 
 def week_of(day: Column) -> Column:
@@ -48,179 +48,196 @@ def day_in_week(week: Column, slot: int) -> Column:
     return week * 7 - 5 + (slot - 1)
 
 
-def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = F.col("r_name")
-    for key, code in STATE_OF_REGION.items():
-        state = F.when(F.col("r_regionkey") == key, F.lit(code)).otherwise(state)
-    regions = _table(spark, sf_dir, "region")
-    nations = _table(spark, sf_dir, "nation").join(
-        regions, F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    return (
-        _table(spark, sf_dir, "supplier")
-        .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select("s_suppkey", F.col("r_name").alias("store_id"), state.alias("state_id"))
-    )
-
-
 def _item_of(part_key: Column) -> Column:
     slow = F.when(part_key % RUN >= RUN - SLOW, 1).otherwise(0)
     return F.concat(F.lit("ITEM_"), (2 * F.floor(part_key / RUN) + slow).cast("string"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """store_id, state_id, item_id, day, units, cents: one row per order line."""
-    lines = _table(spark, sf_dir, "lineitem").select(
-        "l_suppkey",
-        _item_of(F.col("l_partkey")).alias("item_id"),
-        F.to_date("l_shipdate").alias("day"),
-        F.col("l_quantity").cast("bigint").alias("units"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"),
-    )
-    return lines.join(
-        _suppliers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")
-    ).drop("l_suppkey", "s_suppkey")
-
-
-def _day_bound(spark: SparkSession, sf_dir: str, pick) -> Column:
-    """First or last ship day, as a scalar subquery."""
-    days = _table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"))
-    return days.agg(pick("day")).scalar()
+class OrderLinePanel:
+    """The raw retail tables of one folder of order-line tables.
 
+    Creating it runs one job for the first and last ship day; everything else is lazy.
+    """
 
-def weekly_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per series and calendar week: d_1..d_7 and the week's sell price.
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark = spark
+        self._dir = sf_dir
+        days = self._lineitem.agg(
+            F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")
+        ).first()
+        self.first_day: date = days.lo
+        self.last_day: date = days.hi
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+    @cached_property
+    def _lineitem(self) -> DataFrame:
+        return self._table("lineitem")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """store_id, state_id, item_id, day, units, cents: one row per order line.
+
+        The lookups are joined one after the other, each a plain table scan, so Spark knows the
+        size of every build side: nation and region are always broadcast, supplier while small.
+        """
+        state = F.col("r_name")
+        for key, code in STATE_OF_REGION.items():
+            state = F.when(F.col("r_regionkey") == key, F.lit(code)).otherwise(state)
+        return (
+            self._lineitem.select(
+                "l_suppkey",
+                _item_of(F.col("l_partkey")).alias("item_id"),
+                F.to_date("l_shipdate").alias("day"),
+                F.expr("cast(l_quantity AS bigint)").alias("units"),
+                F.expr("cast(round(l_extendedprice * 100) AS bigint)").alias("cents"),
+            )
+            .join(self._table("supplier"), F.expr("l_suppkey = s_suppkey"))
+            .join(self._table("nation"), F.expr("s_nationkey = n_nationkey"))
+            .join(self._table("region"), F.expr("n_regionkey = r_regionkey"))
+            .select(
+                F.col("r_name").alias("store_id"),
+                state.alias("state_id"),
+                "item_id",
+                "day",
+                "units",
+                "cents",
+            )
+        )
 
-    ``d_i`` is 0 on days without orders and NULL outside the calendar. The price is the week's
-    revenue per unit in whole cents, carried forward through weeks without orders; weeks before
-    a series' first order have no price.
-    """
-    day = F.col("day")
-    slot = (F.unix_date(day) + 5) % 7 + 1
-    weekly = (
-        order_lines(spark, sf_dir)
-        .groupBy(*SERIES, week_of(day).alias("week"))
-        .agg(
-            *[F.sum(F.when(slot == i, F.col("units"))).alias(f"u{i}") for i in range(1, 8)],
+    @cached_property
+    def grid(self) -> DataFrame:
+        """One row per series and calendar week: d_1..d_7 and the week's sell price.
+
+        ``d_i`` is 0 on days without orders and NULL outside the calendar. The price is the
+        week's revenue per unit in whole cents, carried forward through weeks without orders;
+        weeks before a series' first order have no price.
+        """
+        slot = "(unix_date(day) + 5) % 7 + 1"
+        weekly = self.lines.groupBy(*SERIES, week_of(F.col("day")).alias("week")).agg(
+            *[F.expr(f"sum(if({slot} = {i}, units, NULL)) AS u{i}") for i in range(1, 8)],
             F.sum("units").alias("units"),
             F.sum("cents").alias("cents"),
         )
-    )
-    first_day = _day_bound(spark, sf_dir, F.min)
-    last_day = _day_bound(spark, sf_dir, F.max)
-    order = Window.partitionBy(*SERIES).orderBy("week")
-    week = F.col("week")
-    spans = weekly.select(
-        "*",
-        F.when(F.row_number().over(order) == 1, week_of(first_day)).otherwise(week).alias("start"),
-        F.coalesce(F.lead("week").over(order) - 1, week_of(last_day)).alias("stop"),
-    )
-    filled = spans.withColumn("wm_yr_wk", F.explode(F.sequence("start", "stop")))
-    key = F.col("wm_yr_wk")
-    cells = []
-    for i in range(1, 8):
-        number = day_in_week(key, i)
-        sold = F.when(key == week, F.coalesce(F.col(f"u{i}"), F.lit(0))).otherwise(0)
-        inside = number.between(F.unix_date(first_day), F.unix_date(last_day))
-        cells.append(F.when(inside, sold).cast("int").alias(f"d_{i}"))
-    cents = F.expr("(2 * cents + units) div (2 * units)")
-    price = F.when((key >= week) & (F.col("units") > 0), cents / F.lit(100.0))
-    return filled.select(*SERIES, "wm_yr_wk", *cells, price.alias("sell_price"))
-
-
-def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales fact straight from the weekly grid.
-
-    Equal to unpivoting the raw cells and joining calendar and prices, without those joins: the
-    price already sits on the week's row. Rows stay clustered by series, so history windows on
-    the result need no further shuffle.
-    """
-    days = F.array(*[F.col(f"d_{i}") for i in range(1, 8)])
-    return (
-        weekly_grid(spark, sf_dir)
-        .where(F.col("sell_price").isNotNull())
-        .select(
-            "store_id",
-            F.col("item_id").alias("sku_id"),
+        # Few weekly rows become many daily ones below, so the partition count is fixed here
+        # rather than left to be coalesced by the size of the weekly rows.
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        by_series = weekly.repartition(partitions, *SERIES)
+        order = Window.partitionBy(*SERIES).orderBy("week")
+        first, last = _day_number(self.first_day), _day_number(self.last_day)
+        first_week, last_week = (week_of(F.lit(d)) for d in (self.first_day, self.last_day))
+        spans = by_series.select(
+            "*",
+            F.when(F.row_number().over(order) == 1, first_week).otherwise(F.col("week")).alias(
+                "start"
+            ),
+            F.coalesce(F.lead("week").over(order) - 1, last_week).alias("stop"),
+        )
+        return spans.select("*", F.expr("explode(sequence(start, stop)) AS wm_yr_wk")).selectExpr(
+            *SERIES,
             "wm_yr_wk",
-            "sell_price",
-            F.posexplode(days).alias("slot", "units_sold"),
+            *[
+                f"cast(if(wm_yr_wk * 7 - 5 + {i - 1} BETWEEN {first} AND {last},"
+                f" if(wm_yr_wk = week, coalesce(u{i}, 0), 0), NULL) AS int) AS d_{i}"
+                for i in range(1, 8)
+            ],
+            "if(wm_yr_wk >= week AND units > 0,"
+            " ((2 * cents + units) div (2 * units)) / 100D, NULL) AS sell_price",
+        )
+
+    @cached_property
+    def daily_sales(self) -> DataFrame:
+        """The sales fact straight from the weekly grid.
+
+        Equal to unpivoting the raw cells and joining calendar and prices, without those joins:
+        the price already sits on the week's row. Rows stay clustered by series, so history
+        windows on the result need no further shuffle.
+        """
+        cells = ", ".join(f"d_{i}" for i in range(1, 8))
+        return (
+            self.grid.where("sell_price IS NOT NULL")
+            .selectExpr(
+                "store_id",
+                "item_id AS sku_id",
+                "wm_yr_wk",
+                "sell_price",
+                f"posexplode(array({cells})) AS (slot, units_sold)",
+            )
+            .where("units_sold IS NOT NULL")
+            .selectExpr(
+                "store_id",
+                "sku_id",
+                "date_from_unix_date(wm_yr_wk * 7 - 5 + slot) AS date",
+                "units_sold",
+                "sell_price",
+            )
+        )
+
+    @cached_property
+    def raw_items(self) -> DataFrame:
+        """item_id, dept_id, cat_id; an item takes the type and size of its lowest part key."""
+        lead = F.min_by(F.struct("p_type", "p_size"), "p_partkey").alias("lead")
+        department = F.concat_ws(
+            "_", "lead.p_type", F.when(F.col("lead.p_size") <= 25, "1").otherwise("2")
         )
-        .where(F.col("units_sold").isNotNull())
-        .select(
-            "store_id",
-            "sku_id",
-            F.date_from_unix_date(day_in_week(F.col("wm_yr_wk"), 1) + F.col("slot")).alias("date"),
-            "units_sold",
-            "sell_price",
+        return (
+            self._table("part")
+            .groupBy(_item_of(F.col("p_partkey")).alias("item_id"))
+            .agg(lead)
+            .select("item_id", department.alias("dept_id"), F.col("lead.p_type").alias("cat_id"))
         )
-    )
-
-
-def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, dept_id, cat_id; an item takes the type and size of its lowest part key."""
-    lead = F.min_by(F.struct("p_type", "p_size"), "p_partkey").alias("lead")
-    department = F.concat_ws(
-        "_", "lead.p_type", F.when(F.col("lead.p_size") <= 25, "1").otherwise("2")
-    )
-    return (
-        _table(spark, sf_dir, "part")
-        .groupBy(_item_of(F.col("p_partkey")).alias("item_id"))
-        .agg(lead)
-        .select("item_id", department.alias("dept_id"), F.col("lead.p_type").alias("cat_id"))
-    )
-
-
-def raw_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The identifier columns of the wide sales file: one row per series."""
-    pairs = order_lines(spark, sf_dir).select("store_id", "state_id", "item_id").distinct()
-    return pairs.join(raw_items(spark, sf_dir), "item_id")
-
-
-def raw_week_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide cells, one row per series and week with day columns d_1..d_7."""
-    return weekly_grid(spark, sf_dir).drop("sell_price")
-
-
-def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """store_id, item_id, wm_yr_wk, sell_price; a series has prices from its launch week on."""
-    return (
-        weekly_grid(spark, sf_dir)
-        .select(*SERIES, "wm_yr_wk", "sell_price")
-        .where(F.col("sell_price").isNotNull())
-    )
-
-
-def raw_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per day from the first to the last ship day, in the raw calendar file's layout."""
-    bounds = _table(spark, sf_dir, "lineitem").agg(
-        F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")
-    )
-    days = bounds.select(F.explode(F.sequence("lo", "hi")).alias("date"))
-    day = F.col("date")
-    of_month = F.dayofmonth(day)
-
-    def event(index: int, slot: int) -> Column:
-        value = F.lit(None).cast("string")
-        for month, number, name, kind, position in EVENTS:
-            if position == slot:
-                hit = (F.month(day) == month) & (of_month == number)
-                value = F.when(hit, F.lit((name, kind)[index])).otherwise(value)
-        return value
-
-    return days.select(
-        day.cast("string").alias("date"),
-        week_of(day).cast("string").alias("wm_yr_wk"),
-        F.date_format(day, "EEEE").alias("weekday"),
-        ((F.unix_date(day) + 5) % 7 + 1).cast("int").alias("wday"),
-        F.month(day).alias("month"),
-        F.year(day).alias("year"),
-        F.concat(F.lit("d_"), F.unix_date(day).cast("string")).alias("d"),
-        event(0, 1).alias("event_name_1"),
-        event(1, 1).alias("event_type_1"),
-        event(0, 2).alias("event_name_2"),
-        event(1, 2).alias("event_type_2"),
-        (of_month <= 10).cast("int").cast("string").alias("snap_CA"),
-        of_month.between(5, 15).cast("int").cast("string").alias("snap_TX"),
-        (of_month >= 20).cast("int").cast("string").alias("snap_WI"),
-    )
+
+    @cached_property
+    def raw_series(self) -> DataFrame:
+        """The identifier columns of the wide sales file: one row per series."""
+        pairs = self.lines.select("store_id", "state_id", "item_id").distinct()
+        return pairs.join(self.raw_items, "item_id")
+
+    @cached_property
+    def raw_week_cells(self) -> DataFrame:
+        """Wide cells, one row per series and week with day columns d_1..d_7."""
+        return self.grid.drop("sell_price")
+
+    @cached_property
+    def raw_prices(self) -> DataFrame:
+        """store_id, item_id, wm_yr_wk, sell_price; prices start in a series' launch week."""
+        return self.grid.select(*SERIES, "wm_yr_wk", "sell_price").where("sell_price IS NOT NULL")
+
+    @cached_property
+    def raw_calendar(self) -> DataFrame:
+        """One row per day from the first to the last ship day, like the raw calendar file."""
+
+        def event(value: int, slot: int) -> str:
+            cases = "".join(
+                f" WHEN month = {e[0]} AND day = {e[1]} THEN '{e[value]}'"
+                for e in EVENTS
+                if e[4] == slot
+            )
+            return f"CASE{cases} END"
+
+        first, last = _day_number(self.first_day), _day_number(self.last_day)
+        days = self.spark.range(first, last + 1, numPartitions=1).selectExpr(
+            "cast(id AS int) AS number", "date_from_unix_date(cast(id AS int)) AS date"
+        )
+        return days.selectExpr("*", "month(date) AS month", "day(date) AS day").selectExpr(
+            "cast(date AS string) AS date",
+            "cast(cast(floor((number + 5) / 7) AS int) AS string) AS wm_yr_wk",
+            "date_format(date, 'EEEE') AS weekday",
+            "(number + 5) % 7 + 1 AS wday",
+            "month",
+            "year(date) AS year",
+            "concat('d_', number) AS d",
+            f"{event(2, 1)} AS event_name_1",
+            f"{event(3, 1)} AS event_type_1",
+            f"{event(2, 2)} AS event_name_2",
+            f"{event(3, 2)} AS event_type_2",
+            "cast(int(day <= 10) AS string) AS snap_CA",
+            "cast(int(day BETWEEN 5 AND 15) AS string) AS snap_TX",
+            "cast(int(day >= 20) AS string) AS snap_WI",
+        )
+
+    @property
+    def longest(self) -> int:
+        """Bound on the rows of a series: it has at most one row per calendar day."""
+        return (self.last_day - self.first_day + timedelta(days=1)).days
