@@ -109,9 +109,19 @@ class Star(OrderLinePanel):
     def history(self, spec: FeatureSpec) -> DataFrame:
         return features.history_features(self.daily_sales, spec, self.longest)
 
+    @cached_property
+    def sku_master(self) -> DataFrame:
+        """All items. Joined to sales it gives what ``skus`` gives, without a pass over the lines."""
+        return self.raw_items.withColumnRenamed("item_id", "sku_id")
+
     def store(self) -> DataFrame:
         return features.feature_store(
-            self.daily_sales, self.skus, self.stores, self.calendar, SPEC, self.longest
+            self.daily_sales,
+            self.sku_master,
+            self.store_master,
+            self.calendar,
+            SPEC,
+            self.longest,
         )
 
     def stored_store(self) -> DataFrame:
@@ -190,7 +200,7 @@ def quality_checks(spark, sf):
 @query
 def sales_summary(spark, sf):
     tables = Star(spark, sf)
-    return rounded(summaries.sales_summary(tables.daily_sales, tables.skus, tables.stores))
+    return rounded(summaries.sales_summary(tables.daily_sales, tables.sku_master, tables.store_master))
 
 
 @query
@@ -226,7 +236,11 @@ def feature_store_from_view(spark, sf):
     tables = Star(spark, sf)
     return rounded(
         features.feature_store_from_view(
-            tables.daily_sales, tables.history(SPEC), tables.skus, tables.stores, tables.calendar
+            tables.daily_sales,
+            tables.history(SPEC),
+            tables.sku_master,
+            tables.store_master,
+            tables.calendar,
         )
     )
 
@@ -406,7 +420,7 @@ def cost_assumptions(spark, sf):
         F.lit(COSTS.unit_cost_ratio), F.lit(COSTS.salvage_ratio), F.lit(COSTS.holding_cost_ratio)
     )
     by_category = (
-        tables.prices.join(tables.skus, "sku_id")
+        tables.prices.join(tables.sku_master, "sku_id")
         .groupBy("cat_id")
         .agg(F.avg("sell_price").alias("mean_price"))
     )

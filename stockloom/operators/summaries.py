@@ -12,8 +12,8 @@ PRICE_KEY = ("store_id", "sku_id", "wm_yr_wk")
 def sales_summary(sales: DataFrame, skus: DataFrame, stores: DataFrame) -> DataFrame:
     """Units and revenue by state, category and day.
 
-    Sales are first summed per (store, sku, day-free dimension keys) where they lie: the map-side
-    half of the final aggregate runs after the dimension joins, so only group totals are shuffled.
+    With dimensions small enough to broadcast, rows are combined where they lie and only group
+    totals are shuffled.
     """
     return (
         sales.join(stores, "store_id")

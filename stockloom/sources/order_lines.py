@@ -53,6 +53,13 @@ def _item_of(part_key: Column) -> Column:
     return F.concat(F.lit("ITEM_"), (2 * F.floor(part_key / RUN) + slow).cast("string"))
 
 
+def _state_of_region() -> Column:
+    state = F.col("r_name")
+    for key, code in STATE_OF_REGION.items():
+        state = F.when(F.col("r_regionkey") == key, F.lit(code)).otherwise(state)
+    return state
+
+
 class OrderLinePanel:
     """The raw retail tables of one folder of order-line tables.
 
@@ -82,9 +89,6 @@ class OrderLinePanel:
         The lookups are joined one after the other, each a plain table scan, so Spark knows the
         size of every build side: nation and region are always broadcast, supplier while small.
         """
-        state = F.col("r_name")
-        for key, code in STATE_OF_REGION.items():
-            state = F.when(F.col("r_regionkey") == key, F.lit(code)).otherwise(state)
         return (
             self._lineitem.select(
                 "l_suppkey",
@@ -98,7 +102,7 @@ class OrderLinePanel:
             .join(self._table("region"), F.expr("n_regionkey = r_regionkey"))
             .select(
                 F.col("r_name").alias("store_id"),
-                state.alias("state_id"),
+                _state_of_region().alias("state_id"),
                 "item_id",
                 "day",
                 "units",
@@ -174,6 +178,13 @@ class OrderLinePanel:
             )
         )
 
+    @cached_property
+    def store_master(self) -> DataFrame:
+        """store_id, state_id of every region, with or without order lines."""
+        return self._table("region").select(
+            F.col("r_name").alias("store_id"), _state_of_region().alias("state_id")
+        )
+
     @cached_property
     def raw_items(self) -> DataFrame:
         """item_id, dept_id, cat_id; an item takes the type and size of its lowest part key."""
