@@ -114,9 +114,9 @@ class Star(OrderLinePanel):
         """All items. Joined to sales it gives what ``skus`` gives, without a pass over the lines."""
         return self.raw_items.withColumnRenamed("item_id", "sku_id")
 
-    def store(self) -> DataFrame:
+    def store(self, sales: DataFrame | None = None) -> DataFrame:
         return features.feature_store(
-            self.daily_sales,
+            self.daily_sales if sales is None else sales,
             self.sku_master,
             self.store_master,
             self.calendar,
@@ -124,9 +124,9 @@ class Star(OrderLinePanel):
             self.longest,
         )
 
-    def stored_store(self) -> DataFrame:
-        """The feature store as stored files, for plans that read it twice."""
-        return write_and_read(self.store(), "store")
+    def store_of_stored_sales(self) -> DataFrame:
+        """For plans that read the store twice: only the side that needs them runs the windows."""
+        return self.store(write_and_read(self.daily_sales, "sales"))
 
 
 @query
@@ -313,13 +313,13 @@ def origin_stride(spark, sf):
 
 @query
 def lead_time_dataset(spark, sf):
-    return rounded(horizon.assemble_horizon(Star(spark, sf).stored_store(), SPEC, LEAD))
+    return rounded(horizon.assemble_horizon(Star(spark, sf).store_of_stored_sales(), SPEC, LEAD))
 
 
 @query
 def horizon_dataset(spark, sf):
     """Horizons 1..9 from origins sampled every 7 days, all features."""
-    return rounded(horizon.assemble_horizons(Star(spark, sf).stored_store(), SPEC, 9, 7))
+    return rounded(horizon.assemble_horizons(Star(spark, sf).store_of_stored_sales(), SPEC, 9, 7))
 
 
 @query
@@ -402,7 +402,7 @@ def run_metrics(spark, sf):
 @query
 def forest_quantiles(spark, sf):
     """Accuracy of the global model; a fitted forest has no SQL counterpart."""
-    assembled = horizon.assemble_horizon(Star(spark, sf).stored_store(), SPEC, LEAD)
+    assembled = horizon.assemble_horizon(Star(spark, sf).store_of_stored_sales(), SPEC, LEAD)
     rows = write_and_read(assembled, "lead-time-features")
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, ForestQuantiles)
     return backtest.accuracy(scored, LEVELS)

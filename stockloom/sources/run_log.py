@@ -24,7 +24,7 @@ def run_rows(
 ) -> DataFrame:
     """Log rows of one run from its flat metrics (name, value) and its parameters."""
     run_id = run_id or uuid.uuid4().hex
-    started_at = started_at or datetime.now(timezone.utc).replace(tzinfo=None)
+    started_at = started_at or datetime.now(timezone.utc)
     listed = spark.createDataFrame(
         [(k, str(v)) for k, v in params.items()], "name string, param string"
     ).select(F.lit("param").alias("kind"), "name", "param", F.lit(None).alias("metric"))

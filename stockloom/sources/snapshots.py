@@ -52,7 +52,7 @@ def build_snapshot(
     entry = (
         version,
         name,
-        datetime.now(timezone.utc).replace(tzinfo=None),
+        datetime.now(timezone.utc),
         git_commit,
         spec.fingerprint(),
         statistics.row_count,
