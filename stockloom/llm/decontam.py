@@ -9,6 +9,7 @@ within ``slop`` words of their place is a proximity match. No text is shuffled.
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -181,19 +182,13 @@ def benchmark_matches(
     columns are ignored. Benchmarks beyond ``ITEM_BYTES`` are matched in several passes, each with
     a part of the items, whose results are merged per document row.
     """
-    items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase"))
-    size = items.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
-    parts = -(-max(size, 1) // ITEM_BYTES)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    if parts == 1:
-        wanted = phrases([tuple(r) for r in items.collect()], window)
-        return rows.mapInArrow(_scan(wanted, slop, share), SCHEMA)
-    rows = rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("_own"))
-    found = None
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("phrase"), F.lit(parts)) == part).collect()
-        scan = rows.mapInArrow(_scan(phrases([tuple(r) for r in mine], window), slop, share), SCHEMA)
-        found = scan if found is None else found.unionByName(scan)
+    parts = _parts(items, window)
+    if len(parts) == 1:
+        return rows.mapInArrow(_scan(parts[0], slop, share), SCHEMA)
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.col("doc_id").alias("_own"))
+    scans = [rows.mapInArrow(_scan(wanted, slop, share), SCHEMA) for wanted in parts]
+    found = functools.reduce(DataFrame.unionByName, scans)
     merged = found.groupBy("doc_id").agg(
         F.first("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -207,6 +202,38 @@ def benchmark_matches(
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+    """``docs`` without the rows that hold a window of an item word for word; all columns stay."""
+    table = T.byte_table(SEPARATORS)
+    for wanted in _parts(items, window):
+
+        def decide(wanted=wanted):
+            def clean(batch: pa.RecordBatch) -> np.ndarray:
+                free = np.ones(batch.num_rows, bool)
+                for rows, data, offsets in T.blocks(batch):
+                    hashes, _, _, per_text = T.words(data, offsets, table)
+                    _, start, _, _ = find(hashes, per_text, wanted, 0, 2.0)
+                    free[rows.start + np.searchsorted(per_text, start, side="right") - 1] = False
+                return free
+
+            return clean
+
+        docs = T.keep_rows(docs, decide)
+    return docs
+
+
+def _parts(items: DataFrame, window: int) -> list[Phrases]:
+    """The items' windows, in parts of about ``ITEM_BYTES`` of text."""
+    items = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("phrase"))
+    size = items.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    parts = -(-max(size, 1) // ITEM_BYTES)
+    mine = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    return [
+        phrases([tuple(r) for r in items.where(F.coalesce(mine, F.lit(0)) == part).collect()], window)
+        for part in range(parts)
+    ]
+
+
 def _merged_spans(spans: str):
     """Unions of overlapping or touching ranges of a sorted array."""
     empty = F.array().cast("array<struct<start:int,end:int>>")

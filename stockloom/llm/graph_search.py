@@ -252,7 +252,7 @@ def nearest(
     left = index.withColumn("block", every(blocks)).groupBy("shard", "block")
     right = (
         asked.withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.lit(blocks)).cast("int"))
-        .withColumn("shard", every(shards).cast("int"))
+        .withColumn("shard", every(shards))
         .groupBy("shard", "block")
     )
     found = left.cogroup(right).applyInArrow(

@@ -153,6 +153,37 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Mo
     return Model(languages, codes, columns, (root @ solved).astype(np.float32))
 
 
+def _classifier(model: Model | None):
+    """A function from a batch with a text column to its languages and scores."""
+    column = model.columns() if model else None
+
+    def classify(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        known = [bool(model and t and _LETTER.search(t)) for t in texts]
+        best, score = np.zeros(len(known), int), np.zeros(len(known))
+        for rows, data, offsets in T.blocks(batch) if model else ():
+            for a in range(0, len(offsets) - 1, _ROWS):
+                own = offsets[a : a + _ROWS + 1]
+                values = model.scores(data[own[0] : own[-1]], own - own[0], column)
+                at = slice(rows.start + a, rows.start + a + len(own) - 1)
+                best[at] = values.argmax(axis=1)
+                score[at] = np.clip((values.max(axis=1) + 1) / 2, 0, 1)
+        score[~np.array(known, bool)] = 0
+        return [model.languages[b] if k else UNKNOWN for k, b in zip(known, best.tolist(), strict=True)], score
+
+    return classify
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``docs`` without the rows that :func:`predict` calls ``und``; all columns stay."""
+
+    def decide():
+        classify = _classifier(model)
+        return lambda batch: np.array([n != UNKNOWN for n in classify(batch)[0]], bool)
+
+    return T.keep_rows(docs, decide)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score`` per row: the language with the largest regression value, and
     that value moved from [-1, 1] to [0, 1]. A null text, or one without letters, is ``und`` with
@@ -160,24 +191,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """
 
     def label(batches):
-        column = model.columns() if model else None
+        classify = _classifier(model)
         for batch in batches:
-            texts = batch.column(1)
-            known = [bool(t and _LETTER.search(t)) for t in texts.to_pylist()]
-            best, score = np.zeros(len(known), int), np.zeros(len(known))
-            if model:
-                for rows, data, offsets in T.blocks(batch):
-                    for a in range(0, len(offsets) - 1, _ROWS):
-                        own = offsets[a : a + _ROWS + 1]
-                        values = model.scores(data[own[0] : own[-1]], own - own[0], column)
-                        at = slice(rows.start + a, rows.start + a + len(own) - 1)
-                        best[at] = values.argmax(axis=1)
-                        score[at] = np.clip((values.max(axis=1) + 1) / 2, 0, 1)
-            named = [
-                model.languages[b] if k and model else UNKNOWN
-                for k, b in zip(known, best.tolist(), strict=True)
-            ]
-            score[[n == UNKNOWN for n in named]] = 0
+            named, score = classify(batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(named, pa.string()), pa.array(score)],
                 names=["doc_id", "lang_pred", "score"],

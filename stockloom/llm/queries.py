@@ -10,9 +10,11 @@ from stockloom.llm import (
     chat,
     decontam,
     graph_search,
+    jaccard,
     langid,
     packing,
     quality,
+    repeats,
     secrets,
     sentences,
 )
@@ -33,6 +35,14 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold() == 2, F.lit(False)))
 
 
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 4, (85, 100))
+
+
+def repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 100).drop("kept")
+
+
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = graph_search.usable(table(spark, sf_dir, "embeddings"))
     return graph_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -92,6 +102,8 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_jaccard_join,
+    "op2_repeated_substrings": repeated_substrings,
     "op3_graph_nearest": nearest_vectors,
     "op4_language_id": language_id,
     "op5_best_fit_packing": best_fit_packing,

@@ -7,13 +7,14 @@ that a task's cost per byte stays small and its memory is bounded by the block,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-BLOCK_BYTES = 2_000_000  # text processed by one round of array operations
+BLOCK_BYTES = 1_000_000  # text processed by one round of array operations
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -155,3 +156,17 @@ def records(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)],
         schema=schema,
     )
+
+
+def keep_rows(docs: DataFrame, decide: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which a function of a batch says true.
+
+    ``decide`` makes that function once per task.
+    """
+
+    def keep(batches):
+        chosen = decide()
+        for batch in batches:
+            yield batch.filter(pa.array(chosen(batch), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
