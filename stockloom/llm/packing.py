@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from stockloom.llm import text as T
 from stockloom.llm.storage import Scratch
-from stockloom.llm.tokens import WordTokens
+from stockloom.llm.tokens import word_tokens
 
 END_ID = 0  # closes every document
 PIECES_PER_PARTITION = 200_000
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
     ])
 
     def cut(batches):
-        tokens, row = WordTokens(tokenizer_path), 0
+        tokens, row = word_tokens(tokenizer_path), 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for rows, data, offsets in T.blocks(batch):

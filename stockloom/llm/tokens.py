@@ -9,6 +9,9 @@ plain (signs outside Latin letters and ASCII, an apostrophe, a special token) ar
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,7 @@ from tokenizers import Tokenizer
 
 from stockloom.llm import text as T
 
-CACHE_ENTRIES = 1_500_000  # pre-tokens a task remembers before it starts over
+CACHE_ENTRIES = 1_000_000  # pre-tokens a worker remembers before it starts over
 _SLOTS_BITS = 22
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 
@@ -36,6 +39,7 @@ class WordTokens:
     """Ids of blocks of texts; keeps a bounded cache between calls."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
         self._tokenizer = Tokenizer.from_file(path)
         # Plain pre-tokens can be told apart again only if each ends in a word-end token.
         size = self._tokenizer.get_vocab_size()
@@ -104,8 +108,10 @@ class WordTokens:
             found[i] = np.array(ids, np.uint32)
         return found
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> Iterator[list[int]]:
+        for at in range(0, len(texts), 16):  # encodings take much more room than their ids
+            for e in self._tokenizer.encode_batch_fast(texts[at : at + 16], add_special_tokens=False):
+                yield e.ids
 
     def _learn(self, keys: np.ndarray, units: list[bytes], plain: np.ndarray) -> None:
         parts = self._encode(units, plain)
@@ -141,6 +147,12 @@ class WordTokens:
         return self._ids[where], until[np.searchsorted(starts, offsets)]
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One tokenizer and cache for all tasks of a Python worker."""
+    return WordTokens(path)
+
+
 def plain_ids(path: str, texts: list[str | None]) -> list[list[int]]:
     """The tokenizer's own ids, without cache; for tests and small inputs."""
     tokenizer = Tokenizer.from_file(path)
