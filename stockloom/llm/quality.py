@@ -113,7 +113,7 @@ class Voters:
         k = min(k, cosine.shape[1])
         bar = np.partition(cosine, -k, axis=1)[:, -k][:, None]
         votes = np.where(cosine >= bar, np.maximum(cosine, 1e-6), 0).astype(float) ** SHARPNESS
-        return (votes @ self.labels) / votes.sum(axis=1)
+        return np.clip((votes @ self.labels) / votes.sum(axis=1), 0, 1)
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

@@ -26,9 +26,9 @@ from stockloom.llm.storage import Scratch
 
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.05  # share of decoys among the tokens that pass
-LEAST_P = 0.001  # no token below this p-value passes in any band
+LEAST_P = 0.01  # no token below this p-value passes in any band
 LEAST_LENGTH = 20
-GRID = [10 ** (-i / 4) for i in range(12, -1, -1)]  # p-values that may become a bar: 0.001 to 1
+GRID = [10 ** (-i / 4) for i in range(8, -1, -1)]  # p-values that may become a bar: 0.01 to 1
 
 SCHEMA = (
     "doc_id long, base array<struct<kind:string,start:int,end:int>>, "
@@ -80,12 +80,9 @@ def _two_sided(z: float) -> float:
 def randomness(values: np.ndarray, size: int) -> float:
     """The battery's p-value for symbols 0..size-1 being even and independent."""
     n = len(values)
-    bins = max(2, min(size, n // 5))
-    cell = values * bins // size
-    width = np.bincount(np.arange(size) * bins // size, minlength=bins) / size
-    chi = float((((np.bincount(cell, minlength=bins) - n * width) ** 2) / (n * width)).sum())
-    df = bins - 1
-    spread = 2 / (9 * df)
+    df, counts = size - 1, np.bincount(values, minlength=size)
+    chi = float((counts.astype(float) ** 2).sum()) * size / n - n
+    spread = 2 / (9 * df)  # the cube root of chi-squared over df is nearly normal
     uniform = _two_sided(((chi / df) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
 
     high = values * 2 >= size

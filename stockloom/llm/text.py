@@ -59,12 +59,13 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 def byte_table(separators: str, lower: bool = True) -> np.ndarray:
-    """A byte-to-byte table: 0 for bytes in the character class ``separators``, else the byte."""
+    """A byte-to-byte table: 0 for bytes whose (lower-cased) value is in the character class
+    ``separators``, else that value."""
     table = np.arange(256, dtype=np.uint8)
     if lower:
         table[65:91] += 32
     outside = re.compile(separators.encode(), re.DOTALL)
-    table[[b for b in range(256) if outside.match(bytes([b]))]] = 0
+    table[[b for b in range(256) if outside.match(bytes([table[b]]))]] = 0
     return table
 
 
