@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from checks.sql_panel import item_number, panel
+from checks.sql_panel import panel
 from stockloom.functions.quantiles import quantile_column
 from stockloom.settings import CostSpec, ForecastSpec, ReplaySpec
 
-COSTS, REPLAY = CostSpec(), ReplaySpec()
+COSTS, REPLAY, FORECAST = CostSpec(), ReplaySpec(), ForecastSpec()
 FRACTILE = COSTS.critical_fractile
-LEVELS = ForecastSpec().trained_quantiles(COSTS)
+LEVELS = FORECAST.trained_quantiles(COSTS)
 UNDER, OVER = COSTS.understock_ratio, COSTS.overstock_ratio
 
 _SERIES_DATE = "store_id, sku_id, date"
@@ -45,7 +45,7 @@ DEFAULT_HISTORY = _lags((1, 7, 14, 28)) + _rolling(("mean", "std", "min", "max")
 
 STORE = f"""
 rolling AS ({_history(DEFAULT_HISTORY)}),
-store AS (
+store AS MATERIALIZED (
   SELECT s.*, dept_id, cat_id, state_id, day_of_week, week_of_year, month, is_weekend, is_event,
          is_holiday,
          CASE state_id WHEN 'CA' THEN snap_ca WHEN 'TX' THEN snap_tx WHEN 'WI' THEN snap_wi
@@ -132,17 +132,16 @@ ORACLES: dict[str, str] = {
         """
     ),
     "duplicate_keys": panel(
-        f"""
-        SELECT store_id, 'ITEM_' || CAST({item_number("l_partkey")} AS VARCHAR) AS sku_id,
-               CAST(l_shipdate AS DATE) AS date, count(*) AS n
-        FROM lineitem JOIN store_of ON s_suppkey = l_suppkey
+        """
+        SELECT store_id, sku_id, CAST(l_shipdate AS DATE) AS date, count(*) AS n
+        FROM lineitem JOIN store_of ON s_suppkey = l_suppkey JOIN items ON p_partkey = l_partkey
         GROUP BY ALL HAVING count(*) > 1
         """
     ),
     "orphan_rows": """
-        SELECT l_partkey AS key, count(*) AS n FROM lineitem
-        WHERE l_partkey NOT IN (SELECT c_custkey FROM customer)
-        GROUP BY ALL
+        SELECT doc_id AS key, count(*) AS n FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+        GROUP BY doc_id
         """,
     "feature_store": panel("SELECT * FROM store", STORE),
     "feature_store_from_view": panel("SELECT * FROM store", STORE),
@@ -262,8 +261,10 @@ ORACLES |= {
     "origin_stride": panel("SELECT * FROM sales WHERE (date - DATE '1970-01-01') % 7 = 0"),
     "lead_time_dataset": panel(_assembled("t.date = o.date + 7"), STORE),
     "horizon_dataset": panel(
-        _assembled("t.date BETWEEN o.date + 1 AND o.date + 9",
-                   "WHERE (o.date - DATE '1970-01-01') % 7 = 0"),
+        " UNION ALL ".join(
+            _assembled(f"t.date = o.date + {h}", "WHERE (o.date - DATE '1970-01-01') % 7 = 0")
+            for h in range(1, FORECAST.horizon_days + 1)
+        ),
         STORE,
     ),
     "origin_dates": panel("SELECT DISTINCT origin_date FROM rows", LEAD_ROWS),
@@ -354,7 +355,7 @@ def _poisson(days, level, source="known"):
       SELECT store_id, sku_id, k, sum(exp(k * ln(mu) - mu - lgamma(k + 1)))
                OVER (PARTITION BY store_id, sku_id ORDER BY k) AS cdf
       FROM (SELECT store_id, sku_id, mu,
-                   unnest(range(0, CAST(ceil(mu + 10 * sqrt(mu) + 20) AS BIGINT) + 1)) AS k
+                   unnest(range(0, CAST(ceil(2 * mu) + 60 AS BIGINT))) AS k
             FROM means WHERE mu > 0)
     ),
     baseline AS (

@@ -72,11 +72,6 @@ LEAD = REPLAY.lead_time_days
 class Star(OrderLinePanel):
     """The star schema over the panel, each table built on first use."""
 
-    @cached_property
-    def raw_series(self) -> DataFrame:
-        """Stored, so that Spark sees how small the dimensions drawn from it are."""
-        return write_and_read(OrderLinePanel.raw_series.func(self), "series")
-
     @cached_property
     def stores(self) -> DataFrame:
         return ingest.stores(self.raw_series)
@@ -107,11 +102,11 @@ class Star(OrderLinePanel):
         )
 
     def history(self, spec: FeatureSpec) -> DataFrame:
-        return features.history_features(self.daily_sales, spec, self.longest)
+        return features.history_features(self.daily_sales, spec)
 
     @cached_property
     def sku_master(self) -> DataFrame:
-        """All items. Joined to sales it gives what ``skus`` gives, without a pass over the lines."""
+        """All items. Joined to sales it gives what ``skus`` gives."""
         return self.raw_items.withColumnRenamed("item_id", "sku_id")
 
     def store(self, sales: DataFrame | None = None) -> DataFrame:
@@ -121,12 +116,16 @@ class Star(OrderLinePanel):
             self.store_master,
             self.calendar,
             SPEC,
-            self.longest,
         )
 
-    def store_of_stored_sales(self) -> DataFrame:
-        """For plans that read the store twice: only the side that needs them runs the windows."""
-        return self.store(write_and_read(self.daily_sales, "sales"))
+    @cached_property
+    def dimensions(self) -> features.Dimensions:
+        return features.Dimensions(self.sku_master, self.store_master, self.calendar)
+
+    @cached_property
+    def stored_history(self) -> DataFrame:
+        """Sales with history columns, stored: origins and targets are both drawn from it."""
+        return write_and_read(self.history(SPEC), "history")
 
 
 @query
@@ -219,10 +218,10 @@ def duplicate_keys(spark, sf):
 
 @query
 def orphan_rows(spark, sf):
-    """Anti join, on references that miss: order lines whose part key no customer carries."""
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_partkey").alias("key"))
-    keys = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("key"))
-    return summaries.orphans(lines, keys, "key")
+    """Anti join on a reference that often misses: labels belong to documents, not all have one."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("key"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("key"))
+    return summaries.orphans(documents, labels, "key")
 
 
 @query
@@ -261,31 +260,37 @@ def rolling_features(spark, sf):
 
 @query
 def rolling_features_in_blocks(spark, sf):
-    """The form for very long series, with blocks far shorter than the series."""
+    """The same with blocks far shorter than the series."""
     spec = FeatureSpec(aggregations=("mean", "std", "min", "max", "sum"))
-    frame = features.history_features_in_blocks(
-        Star(spark, sf).daily_sales, spec, block_rows=365, slice_days=200
-    )
+    frame = features.history_features(Star(spark, sf).daily_sales, spec, block_rows=365)
     return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
 
 
-def stored_sales(spark: SparkSession, sf: str) -> DataFrame:
-    """The sales fact as stored files: the part of the feature store that decisions need."""
-    return write_and_read(Star(spark, sf).daily_sales, "sales")
+def lead_time(spark: SparkSession, sf: str) -> DataFrame:
+    """The lead-time dataset with all features."""
+    tables = Star(spark, sf)
+    return horizon.assemble_horizon(tables.stored_history, SPEC, LEAD, 1, tables.dimensions)
+
+
+def multi_horizon(spark: SparkSession, sf: str) -> DataFrame:
+    """All horizons from origins sampled at the stride, with all features."""
+    tables = Star(spark, sf)
+    return horizon.assemble_horizons(
+        tables.stored_history,
+        SPEC,
+        FORECAST.horizon_days,
+        FORECAST.origin_stride_days,
+        tables.dimensions,
+    )
 
 
 def lead_time_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The lead-time dataset without feature columns, stored: several jobs read it."""
-    return write_and_read(
-        horizon.assemble_horizon(stored_sales(spark, sf), SPEC, LEAD), "lead-time"
-    )
+    """Stored: several jobs read it."""
+    return write_and_read(lead_time(spark, sf), "lead-time")
 
 
 def multi_horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
-    assembled = horizon.assemble_horizons(
-        stored_sales(spark, sf), SPEC, FORECAST.horizon_days, FORECAST.origin_stride_days
-    )
-    return write_and_read(assembled, "multi-horizon")
+    return write_and_read(multi_horizon(spark, sf), "multi-horizon")
 
 
 def bounds_of(dataset: DataFrame) -> split.Bounds:
@@ -313,19 +318,18 @@ def origin_stride(spark, sf):
 
 @query
 def lead_time_dataset(spark, sf):
-    return rounded(horizon.assemble_horizon(Star(spark, sf).store_of_stored_sales(), SPEC, LEAD))
+    return rounded(lead_time(spark, sf))
 
 
 @query
 def horizon_dataset(spark, sf):
-    """Horizons 1..9 from origins sampled every 7 days, all features."""
-    return rounded(horizon.assemble_horizons(Star(spark, sf).store_of_stored_sales(), SPEC, 9, 7))
+    """Horizons 1..28 from origins sampled every 7 days, all features."""
+    return rounded(multi_horizon(spark, sf))
 
 
 @query
 def origin_dates(spark, sf):
-    assembled = horizon.assemble_horizon(stored_sales(spark, sf), SPEC, LEAD)
-    return split.origin_dates(assembled).orderBy("origin_date")
+    return split.origin_dates(lead_time(spark, sf)).orderBy("origin_date")
 
 
 @query
@@ -352,7 +356,8 @@ def seasonal_quantiles(spark, sf):
 def seasonal_predictions(spark, sf):
     rows = lead_time_rows(spark, sf)
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
-    return rounded(scored.drop("sell_price", "horizon"))
+    keys = ("store_id", "sku_id", "origin_date", "target_date", "target")
+    return rounded(scored.select(*keys, *map(quantile_column, LEVELS)))
 
 
 @query
@@ -402,8 +407,7 @@ def run_metrics(spark, sf):
 @query
 def forest_quantiles(spark, sf):
     """Accuracy of the global model; a fitted forest has no SQL counterpart."""
-    assembled = horizon.assemble_horizon(Star(spark, sf).store_of_stored_sales(), SPEC, LEAD)
-    rows = write_and_read(assembled, "lead-time-features")
+    rows = lead_time_rows(spark, sf)
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, ForestQuantiles)
     return backtest.accuracy(scored, LEVELS)
 

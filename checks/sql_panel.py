@@ -1,10 +1,6 @@
 """Common table expressions that rebuild the retail panel from the raw tables in plain SQL."""
 
-from stockloom.sources.order_lines import RUN, SLOW
-
-
-def item_number(key: str) -> str:
-    return f"(2 * ({key} // {RUN}) + CASE WHEN {key} % {RUN} >= {RUN - SLOW} THEN 1 ELSE 0 END)"
+from stockloom.sources.order_lines import RUN, SLOW_EVERY
 
 PANEL = f"""
 span AS (
@@ -17,28 +13,24 @@ store_of AS (
   FROM supplier JOIN nation ON n_nationkey = s_nationkey
                 JOIN region ON r_regionkey = n_regionkey
 ),
-cells AS (
-  SELECT store_id, state_id, {item_number('l_partkey')} AS item_no,
-         'ITEM_' || CAST({item_number('l_partkey')} AS VARCHAR) AS sku_id,
-         CAST(l_shipdate AS DATE) AS date,
+items AS (
+  SELECT p_partkey, cat_id, dept_id,
+         'ITEM_' || dept_id || '_' || CAST((p_partkey - 1) // {RUN} AS VARCHAR) || '_'
+           || CASE WHEN p_partkey % {SLOW_EVERY} = 0 THEN 'S' ELSE 'F' END AS sku_id
+  FROM (SELECT *, cat_id || CASE WHEN p_type < 'M' THEN '_1' ELSE '_2' END AS dept_id
+        FROM (SELECT *, CASE WHEN p_size <= 25 THEN 'SMALL' ELSE 'LARGE' END AS cat_id FROM part))
+),
+cells AS MATERIALIZED (
+  SELECT store_id, state_id, sku_id, CAST(l_shipdate AS DATE) AS date,
          CAST(floor((CAST(l_shipdate AS DATE) - DATE '1970-01-01' + 5) / 7) AS INTEGER) AS wk,
          CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS units,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents
-  FROM lineitem JOIN store_of ON s_suppkey = l_suppkey
+  FROM lineitem JOIN store_of ON s_suppkey = l_suppkey JOIN items ON p_partkey = l_partkey
   GROUP BY ALL
 ),
-lead_part AS (
-  SELECT {item_number('p_partkey')} AS item_no, min(p_partkey) AS p_partkey
-  FROM part GROUP BY ALL
-),
-items AS (
-  SELECT item_no, p_type AS cat_id,
-         p_type || '_' || CASE WHEN p_size <= 25 THEN '1' ELSE '2' END AS dept_id
-  FROM lead_part JOIN part USING (p_partkey)
-),
-series AS (SELECT DISTINCT store_id, state_id, item_no, sku_id FROM cells),
+series AS (SELECT DISTINCT store_id, state_id, sku_id FROM cells),
 stores AS (SELECT DISTINCT store_id, state_id FROM series),
-skus AS (SELECT DISTINCT sku_id, dept_id, cat_id FROM series JOIN items USING (item_no)),
+skus AS (SELECT DISTINCT sku_id, dept_id, cat_id FROM series JOIN items USING (sku_id)),
 days AS (
   SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP),
                                      INTERVAL 1 DAY)) AS DATE) AS date

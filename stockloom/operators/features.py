@@ -6,9 +6,12 @@ spec says. Lags and frames count rows, not days.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from stockloom.session import write_and_read
 from stockloom.settings import FeatureSpec
 
 _AGGREGATE = {
@@ -36,71 +39,72 @@ def _history_expressions(spec: FeatureSpec, order: WindowSpec) -> list[Column]:
     return lags + [f.alias(n) for f, n in zip(frames, spec.rolling_names, strict=True)]
 
 
-def longest_series(sales: DataFrame, spec: FeatureSpec) -> int:
-    """Row count of the longest series, from one grouped count."""
-    counts = sales.groupBy(*spec.group_columns).agg(F.count("*").alias("n"))
-    return counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+def _month_blocks(sales: DataFrame, spec: FeatureSpec, block_rows: int) -> DataFrame:
+    """For each month of a series with more than ``block_rows`` rows: the block it belongs to, and
+    the later blocks whose first rows reach back into it.
+
+    A block is a run of whole months and ends once its rows pass a multiple of ``block_rows``. Rows
+    are counted with map-side combining. NULL keys and dates are values like others; a NULL date
+    comes first.
+    """
+    series = list(spec.group_columns)
+    counts = sales.groupBy(*series, F.trunc(spec.date_column, "month").alias("_month")).agg(
+        F.count("*").alias("_n")
+    )
+    whole = Window.partitionBy(*series)
+    in_order = whole.orderBy("_month")
+    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = counts.select(
+        "*", F.sum("_n").over(whole).alias("_total"), F.coalesce(before, F.lit(0)).alias("_before")
+    ).withColumn("_block", F.floor(F.col("_before") / block_rows))
+    # Every month has a row at least, so what reaches back lies within ``reach`` months.
+    following = F.collect_list(F.struct("_block", "_before")).over(in_order.rowsBetween(1, spec.reach))
+    end = F.col("_before") + F.col("_n")
+    reaching = F.filter(
+        "_following", lambda b: (b["_block"] > F.col("_block")) & (b["_before"] - end < spec.reach)
+    )
+    return (
+        placed.withColumn("_following", following)
+        .where(F.col("_total") > block_rows)
+        .select(
+            *[F.col(c).alias(f"_of_{c}") for c in series],
+            "_month",
+            "_block",
+            F.array_distinct(F.transform(reaching, lambda b: b["_block"])).alias("_context_of"),
+        )
+    )
 
 
 def history_features(
-    sales: DataFrame,
-    spec: FeatureSpec,
-    longest: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    sales: DataFrame, spec: FeatureSpec, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """All columns of ``sales`` plus one column per lag and per window and aggregate.
 
-    One shuffle and one sort by series serve every expression. ``longest`` is a known bound on
-    the rows of a series (such as the days of the calendar); without it the bound is measured.
-    A panel with longer series than ``block_rows`` is cut into blocks.
-    """
-    if longest is None:
-        longest = longest_series(sales, spec)
-    if longest > block_rows:
-        return history_features_in_blocks(sales, spec, block_rows)
-    order = Window.partitionBy(*spec.group_columns).orderBy(spec.date_column)
-    return sales.select("*", *_history_expressions(spec, order))
-
+    One shuffle by (series, block) and one sort serve every expression. A series is one block until
+    it has more than ``block_rows`` rows; then it is cut after whole months, and the last rows of a
+    block are also dealt to the next one, as context that is dropped again after the windows ran.
+    The rows are counted by one job first, whatever their number; its result has no row for
+    shorter series and is stored, so that Spark sees its size when it plans the join.
 
-def history_features_in_blocks(
-    sales: DataFrame, spec: FeatureSpec, block_rows: int, slice_days: int | None = None
-) -> DataFrame:
-    """The same features with long series spread over many tasks.
-
-    Rows are numbered within their series from per-slice row counts (a slice is a run of days),
-    so that no task has to see a whole series. Consecutive runs of ``block_rows`` rows form a
-    block; the last rows of each block also go to the next one, as context for its first rows,
-    and are dropped again after the windows ran.
+    Rows of one day are ordered by their other columns. NULL keys form a series of their own.
     """
-    if block_rows < spec.reach:
-        raise ValueError(f"block_rows must be at least {spec.reach}, the reach of the features")
     series = list(spec.group_columns)
-    slice_days = slice_days or block_rows
-    sliced = sales.withColumn(
-        "_slice", F.floor(F.unix_date(spec.date_column) / slice_days).cast("long")
-    )
-    before = Window.partitionBy(*series).orderBy("_slice").rowsBetween(
-        Window.unboundedPreceding, -1
+    months = write_and_read(_month_blocks(sales, spec, block_rows), "month-blocks")
+    month = F.trunc(spec.date_column, "month")
+    same = month.eqNullSafe(F.col("_month"))
+    for column in series:
+        same &= F.col(column).eqNullSafe(F.col(f"_of_{column}"))
+    own = F.struct(F.coalesce("_block", F.lit(0)).alias("block"), F.lit(True).alias("own"))
+    context = F.transform(
+        F.coalesce("_context_of", F.array().cast("array<bigint>")),
+        lambda b: F.struct(b.alias("block"), F.lit(False).alias("own")),
     )
-    offsets = (
-        sliced.groupBy(*series, "_slice")
-        .agg(F.count("*").alias("_n"))
-        .select(*series, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    dealt = sales.join(months, same, "left").select(
+        *sales.columns, F.inline(F.concat(F.array(own), context)).alias("_in_block", "_own")
     )
-    within = Window.partitionBy(*series, "_slice").orderBy(spec.date_column)
-    position = F.col("_offset") + F.row_number().over(within) - 1
-    numbered = sliced.join(offsets, [*series, "_slice"]).withColumn("_position", position)
-
-    home = F.floor(F.col("_position") / block_rows).cast("long")
-    own = F.struct(home.alias("block"), F.lit(True).alias("own"))
-    context = F.struct((home + 1).alias("block"), F.lit(False).alias("own"))
-    near_end = F.col("_position") % block_rows >= block_rows - spec.reach
-    blocks = numbered.select(
-        "*", F.explode(F.when(near_end, F.array(own, context)).otherwise(F.array(own))).alias("_b")
-    ).select("*", F.col("_b.block").alias("_block"), F.col("_b.own").alias("_own"))
-
-    order = Window.partitionBy(*series, "_block").orderBy(spec.date_column)
-    computed = blocks.select("*", *_history_expressions(spec, order)).where("_own")
+    ties = [c for c in sales.columns if c not in (*series, spec.date_column)]
+    order = Window.partitionBy(*series, "_in_block").orderBy(spec.date_column, *ties)
+    computed = dealt.select("*", *_history_expressions(spec, order)).where("_own")
     return computed.select(*sales.columns, *spec.history_names)
 
 
@@ -119,21 +123,33 @@ _DIMENSION_COLUMNS = ("dept_id", "cat_id", "state_id")
 _CALENDAR_COLUMNS = ("day_of_week", "week_of_year", "month", "is_weekend", "is_event", "is_holiday")
 
 
-def _with_dimensions(
-    rows: DataFrame, skus: DataFrame, stores: DataFrame, calendar: DataFrame, history: list[str]
-) -> DataFrame:
-    days = calendar.select("date", *_CALENDAR_COLUMNS, "snap_ca", "snap_tx", "snap_wi")
-    return (
-        rows.join(days, "date")
-        .join(stores, "store_id")
-        .join(skus, "sku_id")
-        .select(
-            *_SALES_COLUMNS,
-            *_DIMENSION_COLUMNS,
-            *_CALENDAR_COLUMNS,
-            snap_flag(F.col("state_id")).alias("snap_flag"),
-            *history,
+@dataclass(frozen=True)
+class Dimensions:
+    """What describes a row's item, store and day."""
+
+    skus: DataFrame
+    stores: DataFrame
+    calendar: DataFrame
+
+    def describe(self, rows: DataFrame, day: str = "date") -> DataFrame:
+        """``rows`` with the dimension columns, the flags of ``day`` and the SNAP flag.
+
+        Each table is broadcast only if Spark finds it small enough.
+        """
+        days = self.calendar.select(
+            F.col("date").alias(day), *_CALENDAR_COLUMNS, "snap_ca", "snap_tx", "snap_wi"
         )
+        return (
+            rows.join(days, day)
+            .join(self.stores, "store_id")
+            .join(self.skus, "sku_id")
+            .withColumn("snap_flag", snap_flag(F.col("state_id")))
+        )
+
+
+def _with_dimensions(rows: DataFrame, dimensions: Dimensions, history: list[str]) -> DataFrame:
+    return dimensions.describe(rows).select(
+        *_SALES_COLUMNS, *_DIMENSION_COLUMNS, *_CALENDAR_COLUMNS, "snap_flag", *history
     )
 
 
@@ -143,16 +159,14 @@ def feature_store(
     stores: DataFrame,
     calendar: DataFrame,
     spec: FeatureSpec | None = None,
-    longest: int | None = None,
 ) -> DataFrame:
     """Sales with dimensions, calendar flags and history features.
 
-    The windows run first, on the narrow sales rows; the dimensions are joined afterwards, each
-    broadcast only if Spark finds it small enough.
+    The windows run first, on the narrow sales rows; the dimensions are joined afterwards.
     """
     spec = spec or FeatureSpec()
-    history = history_features(sales, spec, longest)
-    return _with_dimensions(history, skus, stores, calendar, spec.history_names)
+    history = history_features(sales, spec)
+    return _with_dimensions(history, Dimensions(skus, stores, calendar), spec.history_names)
 
 
 def feature_store_from_view(
@@ -172,4 +186,4 @@ def feature_store_from_view(
     key = [*spec.group_columns, spec.date_column]
     extra = rolling.drop(*[c for c in sales.columns if c not in key])
     joined = sales.join(extra, key, "left")
-    return _with_dimensions(joined, skus, stores, calendar, spec.history_names)
+    return _with_dimensions(joined, Dimensions(skus, stores, calendar), spec.history_names)

@@ -1,6 +1,8 @@
 """Direct multi-horizon assembly: history from the origin day, the rest from the target day.
 
-``store`` is a feature store or a projection of one: feature columns it lacks are left out.
+``store`` is a feature store or a projection of one: feature columns it lacks are left out. With
+``dimensions``, it may be sales with history columns alone; what describes a target day is then
+joined to the assembled rows, and only keys, price and units travel to the origin.
 """
 
 from __future__ import annotations
@@ -8,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.operators.features import Dimensions
 from stockloom.settings import FeatureSpec
 
 
@@ -37,20 +40,33 @@ def _targets(store: DataFrame, spec: FeatureSpec) -> DataFrame:
     )
 
 
-def _assembled(origins: DataFrame, targets: DataFrame, spec: FeatureSpec) -> DataFrame:
-    return targets.join(origins, [*spec.group_columns, "origin_date"]).select(
+def _assembled(
+    store: DataFrame,
+    targets: DataFrame,
+    spec: FeatureSpec,
+    stride: int,
+    dimensions: Dimensions | None,
+) -> DataFrame:
+    rows = targets.join(_origins(store, spec, stride), [*spec.group_columns, "origin_date"])
+    if dimensions is not None:
+        rows = dimensions.describe(rows, "target_date")
+    return rows.select(
         *spec.group_columns,
         "origin_date",
         "target_date",
         "horizon",
-        *_present(origins, spec.history_names),
-        *_present(targets, spec.future_names),
+        *_present(rows, spec.history_names),
+        *_present(rows, spec.future_names),
         "target",
     )
 
 
 def assemble_horizon(
-    store: DataFrame, spec: FeatureSpec, horizon: int, stride: int = 1
+    store: DataFrame,
+    spec: FeatureSpec,
+    horizon: int,
+    stride: int = 1,
+    dimensions: Dimensions | None = None,
 ) -> DataFrame:
     """Rows (series, origin, target = origin + horizon) for one horizon.
 
@@ -61,16 +77,23 @@ def assemble_horizon(
         F.date_sub("target_date", horizon).alias("origin_date"),
         F.lit(horizon).alias("horizon"),
     )
-    return _assembled(_origins(store, spec, stride), targets, spec)
+    if stride > 1:
+        targets = targets.where(on_cadence("origin_date", stride))
+    return _assembled(store, targets, spec, stride, dimensions)
 
 
 def assemble_horizons(
-    store: DataFrame, spec: FeatureSpec, max_horizon: int, stride: int = 1
+    store: DataFrame,
+    spec: FeatureSpec,
+    max_horizon: int,
+    stride: int = 1,
+    dimensions: Dimensions | None = None,
 ) -> DataFrame:
     """Rows for all horizons 1..max_horizon from a single join.
 
     Each target row lists the sampled origins that reach it, so about max_horizon / stride copies
-    of the narrow target columns are shuffled; the wide history columns move once per origin.
+    of the target columns are shuffled (with ``dimensions`` only keys, price and units); the wide
+    history columns move once per origin.
     """
     residue = F.pmod(F.unix_date("target_date"), F.lit(stride))
     nearest = F.when(residue == 0, F.lit(stride)).otherwise(residue)
@@ -82,4 +105,4 @@ def assemble_horizons(
         .withColumn("horizon", F.explode(reachable))
         .withColumn("origin_date", F.date_sub("target_date", F.col("horizon")))
     )
-    return _assembled(_origins(store, spec, stride), targets, spec)
+    return _assembled(store, targets, spec, stride, dimensions)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -46,28 +47,34 @@ def normal_levels(rows: DataFrame, window_days: int, level: float) -> DataFrame:
 def poisson_quantile(mean: Column, level: float) -> Column:
     """Smallest k with P(X <= k) >= level for X ~ Poisson(mean).
 
-    The probabilities are accumulated in log space, term by term, up to ten deviations beyond
-    the mean.
+    Probabilities are summed in log space over a run of k that must hold the answer: below it lies
+    a mass under 1e-18, and Chernoff's bound puts the quantile before its end. Its length grows
+    with the mean's square root.
     """
-    top = F.ceil(mean + F.sqrt(mean) * 10 + 20).cast("int")
+    tail = -math.log(1 - level)
+    last = F.ceil(mean + tail / 3 + F.sqrt(F.lit(tail * tail / 9) + mean * (2 * tail))) + 1
+    below = F.floor(mean - F.sqrt(mean * (2 * 41.5)))
+    first = F.when(mean < 200, F.lit(0)).otherwise(below).cast("bigint")
+    n = first.cast("double")
+    # Stirling's series; the first term is either 0! or of a k beyond seventy.
+    log_factorial = F.when(n == 0, F.lit(0.0)).otherwise(
+        n * F.log(n) - n + F.log(n * (2 * math.pi)) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+    )
+    log_p = n * F.log(mean) - mean - log_factorial
     start = F.struct(
-        (-mean).alias("log_p"), F.exp(-mean).alias("cdf"), F.lit(None).cast("int").alias("k")
+        log_p.alias("log_p"),
+        F.exp(log_p).alias("cdf"),
+        F.when(F.exp(log_p) >= level, first).alias("k"),
     )
 
-    def settle(state: Column, k: Column) -> Column:
-        return F.coalesce(state["k"], F.when(state["cdf"] >= level, k))
-
     def step(state: Column, k: Column) -> Column:
-        log_p = state["log_p"] + F.log(mean) - F.log(k)
-        return F.struct(
-            log_p.alias("log_p"),
-            (state["cdf"] + F.exp(log_p)).alias("cdf"),
-            settle(state, k - 1).alias("k"),
-        )
+        term = state["log_p"] + F.log(mean) - F.log(k)
+        total = state["cdf"] + F.exp(term)
+        found = F.coalesce(state["k"], F.when(total >= level, k))
+        return F.struct(term.alias("log_p"), total.alias("cdf"), found.alias("k"))
 
-    walked = F.aggregate(
-        F.sequence(F.lit(1), top), start, step, lambda s: F.coalesce(s["k"], top).cast("double")
-    )
+    run = F.sequence(first + 1, last.cast("bigint"))
+    walked = F.aggregate(run, start, step, lambda s: F.coalesce(s["k"].cast("double"), last.cast("double")))
     return F.when(mean > 0, walked).otherwise(F.lit(0.0))
 
 
@@ -101,14 +108,25 @@ def bootstrap_levels(
     numbers = _draw_numbers(n_simulations, window_days, seed)
 
     def simulate(values: pd.Series, counts: pd.Series) -> pd.Series:
-        def one(demand, count):
-            upper = np.cumsum(count)
-            drawn = demand[np.searchsorted(upper, numbers % upper[-1], side="right")]
-            return np.quantile(drawn.sum(axis=1), level)
-
-        return pd.Series([one(v, c) for v, c in zip(values, counts, strict=True)], dtype="float64")
-
-    simulated = F.pandas_udf(simulate, "double")
+        """All series of a batch at once: their cumulative counts lie one behind the other, and a
+        series' draws are looked up behind the counts of those before it."""
+        if not len(values):
+            return pd.Series([], dtype="float64")
+        upper = np.cumsum(np.concatenate(counts.to_list()))
+        ends = np.cumsum([len(c) for c in counts])
+        total = np.array([c.sum() for c in counts])
+        before = upper[ends - 1] - total
+        drawn = before[:, None, None] + numbers[None] % total[:, None, None]
+        demand = np.concatenate(values.to_list())[np.searchsorted(upper, drawn, side="right")]
+        return pd.Series(np.quantile(demand.sum(axis=2), level, axis=1))
+
+    def in_parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, counts in batches:  # draws of 256 series at a time bound the memory
+            parts = [slice(a, a + 256) for a in range(0, len(values), 256)]
+            done = [simulate(values[p], counts[p]) for p in parts]
+            yield pd.concat(done, ignore_index=True) if done else pd.Series([], dtype="float64")
+
+    simulated = F.pandas_udf(in_parts, "double")
     per_series = (
         demand_histogram(rows, list(SERIES))
         .groupBy(*SERIES)

@@ -42,14 +42,12 @@ def build_features(
 ) -> Row:
     """Materialize the next feature-store version; returns its manifest row."""
     spec = spec or FeatureSpec()
-    sales = tables.require("sales")
     store = features.feature_store(
-        sales,
+        tables.require("sales"),
         tables.require("skus"),
         tables.require("stores"),
         tables.require("calendar"),
         spec,
-        features.longest_series(sales, spec),
     )
     return snapshots.build_snapshot(tables, store, spec, git_commit)
 

@@ -1,25 +1,28 @@
 """Retail panel derived from order lines (lineitem, part, supplier, nation, region).
 
-A store is a supplier region and units are ordered quantities per ship day. Every run of
-``RUN`` consecutive part keys forms two items: a fast mover of the first ``RUN - SLOW`` keys and a
-slow mover, often launched later, of the rest. The number of items, and with it the panel, grows
-with the part table; a series never has more rows than the calendar has days.
-
-Order lines are summed per (store, item, week) with map-side combining before anything is
-grouped by series, so a store or item that owns a large share of all lines is down to one row
-per week when its rows meet.
+A store is a supplier region and units are ordered quantities per ship day. An item is a run of
+``RUN`` part keys of one department (half of the sizes, half of the types), so every part carries
+the attributes of its item; one part in ``SLOW_EVERY`` goes to a slow mover, often launched later.
+The number of items, and with it the panel, grows with the part table; a series never has more rows
+than the calendar has days.
+
+Order lines are read once and summed per (store, item, week) with map-side combining, and these
+weekly rows are stored: a store or item that owns a large share of all lines is down to one row per
+week, and days, series, prices and sales are drawn from the weekly rows alone.
 """
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RUN = 500
-SLOW = 20
+from stockloom.session import write_and_read
+
+RUN = 2000
+SLOW_EVERY = 25  # every 25th part key is a slow mover
 SERIES = ("store_id", "item_id")
 
 # Month, day, event name, event type, event slot.
@@ -48,9 +51,12 @@ def day_in_week(week: Column, slot: int) -> Column:
     return week * 7 - 5 + (slot - 1)
 
 
-def _item_of(part_key: Column) -> Column:
-    slow = F.when(part_key % RUN >= RUN - SLOW, 1).otherwise(0)
-    return F.concat(F.lit("ITEM_"), (2 * F.floor(part_key / RUN) + slow).cast("string"))
+CATEGORY = "if(p_size <= 25, 'SMALL', 'LARGE')"
+DEPARTMENT = f"concat_ws('_', {CATEGORY}, if(p_type < 'M', '1', '2'))"
+ITEM = (
+    f"concat_ws('_', 'ITEM', {DEPARTMENT}, (p_partkey - 1) div {RUN},"
+    f" if(p_partkey % {SLOW_EVERY} = 0, 'S', 'F'))"
+)
 
 
 def _state_of_region() -> Column:
@@ -63,40 +69,35 @@ def _state_of_region() -> Column:
 class OrderLinePanel:
     """The raw retail tables of one folder of order-line tables.
 
-    Creating it runs one job for the first and last ship day; everything else is lazy.
+    The first use of the weekly rows stores them; everything else is lazy.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self._dir = sf_dir
-        days = self._lineitem.agg(
-            F.min(F.to_date("l_shipdate")).alias("lo"), F.max(F.to_date("l_shipdate")).alias("hi")
-        ).first()
-        self.first_day: date = days.lo
-        self.last_day: date = days.hi
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
 
-    @cached_property
-    def _lineitem(self) -> DataFrame:
-        return self._table("lineitem")
-
     @cached_property
     def lines(self) -> DataFrame:
         """store_id, state_id, item_id, day, units, cents: one row per order line.
 
         The lookups are joined one after the other, each a plain table scan, so Spark knows the
-        size of every build side: nation and region are always broadcast, supplier while small.
+        size of every build side: nation and region are always broadcast, supplier and part while
+        small.
         """
+        items = self._table("part").selectExpr("p_partkey", f"{ITEM} AS item_id")
         return (
-            self._lineitem.select(
+            self._table("lineitem")
+            .select(
                 "l_suppkey",
-                _item_of(F.col("l_partkey")).alias("item_id"),
+                "l_partkey",
                 F.to_date("l_shipdate").alias("day"),
                 F.expr("cast(l_quantity AS bigint)").alias("units"),
                 F.expr("cast(round(l_extendedprice * 100) AS bigint)").alias("cents"),
             )
+            .join(items, F.expr("l_partkey = p_partkey"))
             .join(self._table("supplier"), F.expr("l_suppkey = s_suppkey"))
             .join(self._table("nation"), F.expr("s_nationkey = n_nationkey"))
             .join(self._table("region"), F.expr("n_regionkey = r_regionkey"))
@@ -110,6 +111,26 @@ class OrderLinePanel:
             )
         )
 
+    @cached_property
+    def weekly(self) -> DataFrame:
+        """One row per series and week with orders: units per day of the week, units, cents and
+        the first and last day. Stored, so that the order lines are read once."""
+        slot = "(unix_date(day) + 5) % 7 + 1"
+        sums = self.lines.groupBy("state_id", *SERIES, week_of(F.col("day")).alias("week")).agg(
+            *[F.expr(f"sum(if({slot} = {i}, units, NULL)) AS u{i}") for i in range(1, 8)],
+            F.sum("units").alias("units"),
+            F.sum("cents").alias("cents"),
+            F.min("day").alias("lo"),
+            F.max("day").alias("hi"),
+        )
+        return write_and_read(sums, "weekly")
+
+    @cached_property
+    def days(self) -> tuple[date, date]:
+        """The first and the last ship day."""
+        found = self.weekly.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        return found.lo, found.hi
+
     @cached_property
     def grid(self) -> DataFrame:
         """One row per series and calendar week: d_1..d_7 and the week's sell price.
@@ -118,20 +139,10 @@ class OrderLinePanel:
         week's revenue per unit in whole cents, carried forward through weeks without orders;
         weeks before a series' first order have no price.
         """
-        slot = "(unix_date(day) + 5) % 7 + 1"
-        weekly = self.lines.groupBy(*SERIES, week_of(F.col("day")).alias("week")).agg(
-            *[F.expr(f"sum(if({slot} = {i}, units, NULL)) AS u{i}") for i in range(1, 8)],
-            F.sum("units").alias("units"),
-            F.sum("cents").alias("cents"),
-        )
-        # Few weekly rows become many daily ones below, so the partition count is fixed here
-        # rather than left to be coalesced by the size of the weekly rows.
-        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        by_series = weekly.repartition(partitions, *SERIES)
         order = Window.partitionBy(*SERIES).orderBy("week")
-        first, last = _day_number(self.first_day), _day_number(self.last_day)
-        first_week, last_week = (week_of(F.lit(d)) for d in (self.first_day, self.last_day))
-        spans = by_series.select(
+        first, last = map(_day_number, self.days)
+        first_week, last_week = (week_of(F.lit(d)) for d in self.days)
+        spans = self.weekly.select(
             "*",
             F.when(F.row_number().over(order) == 1, first_week).otherwise(F.col("week")).alias(
                 "start"
@@ -187,22 +198,17 @@ class OrderLinePanel:
 
     @cached_property
     def raw_items(self) -> DataFrame:
-        """item_id, dept_id, cat_id; an item takes the type and size of its lowest part key."""
-        lead = F.min_by(F.struct("p_type", "p_size"), "p_partkey").alias("lead")
-        department = F.concat_ws(
-            "_", "lead.p_type", F.when(F.col("lead.p_size") <= 25, "1").otherwise("2")
-        )
+        """item_id, dept_id, cat_id, one row per item of the part table."""
         return (
             self._table("part")
-            .groupBy(_item_of(F.col("p_partkey")).alias("item_id"))
-            .agg(lead)
-            .select("item_id", department.alias("dept_id"), F.col("lead.p_type").alias("cat_id"))
+            .selectExpr(f"{ITEM} AS item_id", f"{DEPARTMENT} AS dept_id", f"{CATEGORY} AS cat_id")
+            .distinct()
         )
 
     @cached_property
     def raw_series(self) -> DataFrame:
         """The identifier columns of the wide sales file: one row per series."""
-        pairs = self.lines.select("store_id", "state_id", "item_id").distinct()
+        pairs = self.weekly.select("store_id", "state_id", "item_id").distinct()
         return pairs.join(self.raw_items, "item_id")
 
     @cached_property
@@ -227,7 +233,7 @@ class OrderLinePanel:
             )
             return f"CASE{cases} END"
 
-        first, last = _day_number(self.first_day), _day_number(self.last_day)
+        first, last = map(_day_number, self.days)
         days = self.spark.range(first, last + 1, numPartitions=1).selectExpr(
             "cast(id AS int) AS number", "date_from_unix_date(cast(id AS int)) AS date"
         )
@@ -247,8 +253,3 @@ class OrderLinePanel:
             "cast(int(day BETWEEN 5 AND 15) AS string) AS snap_TX",
             "cast(int(day >= 20) AS string) AS snap_WI",
         )
-
-    @property
-    def longest(self) -> int:
-        """Bound on the rows of a series: it has at most one row per calendar day."""
-        return (self.last_day - self.first_day + timedelta(days=1)).days
