@@ -9,7 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "stockloom") -> SparkSession:
+def local_session(
+    cores: int | str = "*", app: str = "stockloom", checkpoints: str | None = None
+) -> SparkSession:
     """A session for tests and the benchmark; cluster jobs bring their own."""
     cpus = os.cpu_count() if cores == "*" else int(cores)
     return (
@@ -18,6 +20,7 @@ def local_session(cores: int | str = "*", app: str = "stockloom") -> SparkSessio
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", checkpoints or tempfile.mkdtemp(prefix="stockloom-"))
         .config("spark.driver.memory", "8g")
         .config("spark.sql.debug.maxToStringFields", "200")
         .getOrCreate()

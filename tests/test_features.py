@@ -11,7 +11,9 @@ from stockloom.plans import jobs
 from stockloom.settings import FeatureSpec
 from stockloom.sources import snapshots
 from stockloom.sources.tables import Tables
+from tests.conftest import kept_sales
 
+N = len(kept_sales())
 FIVE = FeatureSpec(lags=(1, 3), windows=(2, 5), aggregations=("mean", "std", "min", "max", "sum"))
 
 
@@ -64,27 +66,62 @@ def test_features_count_rows_and_never_see_the_current_day(spark):
     assert_features(features.history_features(sales, FIVE), expected_features(rows, FIVE))
 
 
-@pytest.mark.parametrize(("block_rows", "slice_days"), [(5, 3), (7, 50), (64, 10), (500, 500)])
-def test_blocks_give_the_same_features(spark, block_rows, slice_days):
+@pytest.mark.parametrize("block_rows", [1, 7, 20, 64, 500])
+def test_blocks_give_the_same_features(spark, block_rows):
     rows, sales = panel(spark, seed=block_rows)
-    blocked = features.history_features_in_blocks(sales, FIVE, block_rows, slice_days)
+    blocked = features.history_features(sales, FIVE, block_rows=block_rows)
     assert_features(blocked, expected_features(rows, FIVE))
     assert blocked.columns == features.history_features(sales, FIVE).columns
 
 
-def test_long_series_are_cut_into_blocks(spark):
-    rows, sales = panel(spark)
-    assert features.longest_series(sales, FIVE) == 90
-    assert_features(
-        features.history_features(sales, FIVE, block_rows=20), expected_features(rows, FIVE)
-    )
-    with pytest.raises(ValueError, match="reach"):
-        features.history_features_in_blocks(sales, FIVE, block_rows=4)
+@pytest.mark.parametrize("block_rows", [3, 10, 10_000])
+def test_null_keys_and_repeated_days(spark, block_rows):
+    """NULL keys form a series, a NULL date comes first, rows of one day go by their values."""
+    rows, _ = panel(spark, seed=9)
+    messy = [(None if k == "b" else s, k, d, u, p) for s, k, d, u, p in rows]
+    messy += [("S", "a", None, 4, 1.0), ("S", "a", None, 2, 1.0), (None, None, None, 1, None)]
+    messy += [("S", "a", rows[i][2], rows[i][3] + 1, 2.0) for i in (5, 6, 40)]
+    schema = "store_id string, sku_id string, date date, units_sold int, sell_price double"
+    found = features.history_features(spark.createDataFrame(messy, schema), FIVE, block_rows).collect()
+    assert len(found) == len(messy)
+    last = date(1, 1, 1)
+    for key in {(r[0], r[1]) for r in messy}:
+        series = sorted(
+            (r for r in messy if r[:2] == key),
+            key=lambda r: (r[2] is not None, r[2] or last, r[3], r[4] is not None, r[4] or 0),
+        )
+        units = [r[3] for r in series]
+        expected = [
+            (str(r), units[i - 3] if i >= 3 else None, sum(units[max(0, i - 5) : i]) if i else None)
+            for i, r in enumerate(series)
+        ]
+        own = [r for r in found if (r.store_id, r.sku_id) == key]
+        got = sorted(
+            ((str(tuple(r)[:5]), r.units_sold_lag_3, r.units_sold_roll_sum_5) for r in own), key=str
+        )
+        assert got == sorted(expected, key=str)
+
+
+def test_no_task_gets_a_whole_long_series(spark):
+    """Through the default arguments but for the block size: blocks end after whole months."""
+    start = date(2000, 1, 1)
+    rows = [("S", "long", start + timedelta(days=i), i % 9, 1.0) for i in range(4000)]
+    schema = "store_id string, sku_id string, date date, units_sold int, sell_price double"
+    sales = spark.createDataFrame(rows, schema)
+    months = features._month_blocks(sales, FeatureSpec(), 500).collect()
+    size = {}
+    for r in months:
+        days = sum(d.replace(day=1) == r._month for _, _, d, _, _ in rows)
+        size[r._block] = size.get(r._block, 0) + days
+    assert sum(size.values()) == 4000 and len(size) == 8 and max(size.values()) <= 500 + 31
+    assert all(len(r._context_of) <= 1 for r in months)
+    assert sum(len(r._context_of) for r in months) <= 2 * len(size)
+    assert features._month_blocks(sales, FeatureSpec(), features.BLOCK_ROWS).isEmpty()
 
 
 def test_one_shuffle_and_one_sort_for_all_windows(spark):
     _, sales = panel(spark)
-    frame = features.history_features(sales, FeatureSpec(), longest=100)
+    frame = features.history_features(sales, FeatureSpec())
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
 
@@ -104,10 +141,10 @@ def test_change_at_a_day_moves_no_feature_up_to_that_day(spark):
 
 def test_store_rows_equal_sales_rows_and_snap_follows_the_state(project):
     store = snapshots.read_snapshot(project)
-    assert store.count() == 322
+    assert store.count() == N
     calendar = project.require("calendar")
-    wrong = store.join(calendar.select("date", "snap_ca", "snap_tx"), "date").where(
-        "snap_flag != if(state_id = 'CA', snap_ca, snap_tx)"
+    wrong = store.join(calendar.select("date", "snap_ca", "snap_wi"), "date").where(
+        "snap_flag != CASE state_id WHEN 'CA' THEN snap_ca WHEN 'WI' THEN snap_wi ELSE false END"
     )
     assert wrong.isEmpty()
 
@@ -142,7 +179,7 @@ def test_snapshots_count_up_and_keep_lineage(spark, raw_dir, tmp_path):
     assert (first.version, second.version) == (1, 2)
     assert second.table_name == "feature_store_v2"
     assert first.config_hash != second.config_hash
-    assert first.row_count == 322 and first.min_date == date(2011, 1, 29)
+    assert first.row_count == N and first.min_date == min(d for _, _, d in kept_sales())
     assert snapshots.latest_snapshot(tables).first().version == 2
     assert snapshots.snapshot_lineage(tables, "feature_store_v1").first().git_commit == "one"
     assert "units_sold_lag_7" in snapshots.read_snapshot(tables, "feature_store_v1").columns
@@ -158,4 +195,4 @@ def test_unlisted_data_is_ignored_and_replaced(project, spark, tmp_path):
     with pytest.raises(snapshots.SnapshotError):
         snapshots.read_snapshot(tables)
     assert snapshots.build_snapshot(tables, store, FeatureSpec()).version == 1
-    assert snapshots.read_snapshot(tables).count() == 322
+    assert snapshots.read_snapshot(tables).count() == N

@@ -2,7 +2,6 @@ import shutil
 from datetime import date
 
 import pytest
-from tests.conftest import ITEMS, STORES, day_at, price_of, units_at
 from pyspark.sql import functions as F
 
 from stockloom import schemas
@@ -10,16 +9,33 @@ from stockloom.operators import ingest, quality, summaries
 from stockloom.plans import jobs
 from stockloom.sources import raw_csv
 from stockloom.sources.tables import Tables
+from tests.conftest import (
+    CALENDAR_DAYS,
+    EVENT,
+    SERIES,
+    cells_with_units,
+    kept_sales,
+    price_of,
+    week_of,
+    write_raw_files,
+)
+
+N = len(kept_sales())
 
 
 def test_counts_and_idempotence(spark, raw_dir, tmp_path):
     tables = Tables(spark, str(tmp_path))
     expected = {
-        "stores": 2, "skus": 3, "calendar_days": 56, "sales_rows": 322, "dropped_rows": 14,
-    }
+        "stores": 3,
+        "skus": 3,
+        "calendar_days": 63,
+        "sales_rows": N,
+        "dropped_rows": cells_with_units() - N,
+    }
+    assert expected["dropped_rows"] > 0
     for _ in range(2):
         assert jobs.ingest_raw(tables, str(raw_dir)).first().asDict() == expected
-    assert tables.require("sales").count() == 322
+    assert tables.require("sales").count() == N
 
 
 def test_schemas(project):
@@ -35,30 +51,35 @@ def test_schemas(project):
         assert [(f.name, f.dataType) for f in found] == [(f.name, f.dataType) for f in schema]
 
 
-def test_late_series_starts_at_its_launch(project):
-    late = project.require("sales").where("store_id = 'TX_1' AND sku_id = 'FOODS_3_001'")
-    assert late.agg(F.min("date")).first()[0] == date(2011, 2, 12)
+def test_series_start_at_their_launch_and_pause_without_price(project):
+    sales = project.require("sales").where("store_id = 'market'")
+    first = {r[0]: r[1] for r in sales.groupBy("sku_id").agg(F.min("date")).collect()}
+    assert first["rye"] >= date(2020, 3, 14)
+    weeks = {week_of(r.date) for r in sales.where("sku_id = 'oats'").collect()}
+    assert weeks == set(range(900, 909)) - {905, 906}
 
 
-def test_units_and_prices_match_the_closed_form(project):
+def test_units_and_prices_are_those_of_the_files(project):
     rows = project.require("sales").collect()
-    assert len(rows) == 322
-    items, stores = [i[0] for i in ITEMS], [s[0] for s in STORES]
-    for row in rows:
-        item, store = items.index(row.sku_id), stores.index(row.store_id)
-        assert row.units_sold == units_at(item, store, (row.date - day_at(0)).days)
-        assert row.sell_price == price_of(item, store)
+    assert {(r.store_id, r.sku_id, r.date): (r.units_sold, r.sell_price) for r in rows} == kept_sales()
+    assert len(rows) == N
 
 
 def test_calendar_flags(project):
     days = {r.date: r for r in project.require("calendar").collect()}
-    assert len(days) == 56
-    saturday, holiday = days[date(2011, 1, 29)], days[date(2011, 2, 7)]
-    assert (saturday.day_of_week, saturday.is_weekend, saturday.week_of_year) == (6, True, 4)
-    assert days[date(2011, 1, 30)].day_of_week == 0
-    assert holiday.is_event and holiday.is_holiday and holiday.event_name_1 == "TestFest"
-    assert sum(d.is_holiday for d in days.values()) == 1
-    assert holiday.snap_ca and holiday.snap_tx and not holiday.snap_wi
+    assert sorted(days) == CALENDAR_DAYS
+    for day, row in days.items():
+        assert row.day_of_week == day.isoweekday() % 7 and row.week_of_year == day.isocalendar().week
+        assert row.is_weekend == (day.isoweekday() >= 6)
+        assert row.is_event == (day in EVENT)
+        assert row.is_holiday == (EVENT.get(day, ("", ""))[1] == "Religious")
+        assert (row.snap_ca, row.snap_tx, row.snap_wi) == (day.day % 3 == 0, day.day > 24, day.isoweekday() == 3)
+
+
+def test_a_calendar_with_a_hole_is_refused(spark, tmp_path):
+    write_raw_files(tmp_path, [d for d in CALENDAR_DAYS if d != date(2020, 3, 20)])
+    with pytest.raises(quality.QualityError, match="calendar_contiguous: 1 "):
+        jobs.ingest_raw(Tables(spark, f"{tmp_path}/tables"), str(tmp_path))
 
 
 def test_cultural_event_is_no_holiday_and_second_slot_counts(spark):
@@ -87,20 +108,23 @@ def test_unpivot_drops_null_cells_and_takes_only_day_columns(spark):
 def test_unpivot_agrees_with_the_builtin(spark, raw_dir):
     wide = raw_csv.read_raw(spark, str(raw_dir))["sales"]
     ids = ["store_id", "item_id"]
-    builtin = wide.unpivot(ids, ingest.day_columns(wide), "d", "units_sold")
+    builtin = wide.unpivot(ids, ingest.day_columns(wide), "d", "units_sold").dropna()
     ours = ingest.unpivot_days(wide, ids)
     assert ours.exceptAll(builtin).isEmpty() and builtin.exceptAll(ours).isEmpty()
 
 
-def test_midlife_price_gap_drops_rows_and_duplicate_prices_multiply(spark, project):
+def test_price_gaps_drop_rows_and_duplicate_prices_multiply(spark, project):
     calendar, prices = project.require("calendar"), project.require("prices")
     long = project.require("sales").join(calendar.select("date", "d"), "date").select(
         "store_id", "sku_id", "d", "units_sold"
     )
-    gap = prices.where("NOT (store_id = 'CA_1' AND sku_id = 'FOODS_3_001' AND wm_yr_wk = 11104)")
-    assert ingest.sales(long, calendar, gap).count() == 322 - 7
-    twice = prices.unionAll(prices.where("store_id = 'CA_1' AND wm_yr_wk = 11101"))
-    assert ingest.sales(long, calendar, twice).count() == 322 + 21
+    kept = kept_sales()
+    gap = prices.where("NOT (store_id = 'station' AND sku_id = 'rye' AND wm_yr_wk = 904)")
+    lost = sum((s, i, week_of(d)) == ("station", "rye", 904) for s, i, d in kept)
+    assert ingest.sales(long, calendar, gap).count() == N - lost < N
+    twice = prices.unionAll(prices.where("store_id = 'harbour' AND wm_yr_wk = 901"))
+    more = sum((s, week_of(d)) == ("harbour", 901) for s, _, d in kept)
+    assert ingest.sales(long, calendar, twice).count() == N + more > N
 
 
 def test_missing_files_are_listed(spark, raw_dir, tmp_path):
@@ -112,7 +136,7 @@ def test_missing_files_are_listed(spark, raw_dir, tmp_path):
 def test_malformed_units_fail(spark, raw_dir, tmp_path):
     for name in (raw_csv.CALENDAR, raw_csv.PRICES):
         shutil.copy(raw_dir / name, tmp_path)
-    text = (raw_dir / raw_csv.SALES).read_text().replace("CA_1,CA,0,1", "CA_1,CA,zero,1", 1)
+    text = (raw_dir / raw_csv.SALES).read_text().replace("harbour,WI,", "harbour,WI,many", 1)
     (tmp_path / raw_csv.SALES).write_text(text)
     with pytest.raises(Exception, match="(?i)malformed"):
         ingest.long_sales(raw_csv.read_raw(spark, str(tmp_path))["sales"]).collect()
@@ -130,7 +154,7 @@ def checks_of(project, **changed):
 def test_all_checks_pass(project):
     result, rows = checks_of(project)
     assert len(rows) == 13 and all(r.passed for r in rows.values())
-    assert rows["sales_non_empty"].detail == "322 rows"
+    assert rows["sales_non_empty"].detail == f"{N} rows"
     assert rows["sales_key_unique"].detail == "ok"
     quality.require_quality(result)
 
@@ -142,11 +166,12 @@ def test_each_defect_is_found(spark, project):
         sales.unionAll(first)
         .unionAll(first.withColumn("store_id", F.lit("XX")).withColumn("units_sold", F.lit(-1)))
         .unionAll(first.withColumn("sku_id", F.lit("YY")).withColumn("sell_price", F.lit(0.0)))
-        .unionAll(first.withColumn("date", F.lit(date(2030, 1, 1))))
-        .unionAll(first.withColumn("date", F.lit(date(2030, 1, 2))).withColumn(
+        .unionAll(first.withColumn("date", F.lit(date(2031, 5, 1))))
+        .unionAll(first.withColumn("date", F.lit(date(2031, 5, 2))).withColumn(
             "sell_price", F.lit(None).cast("double")))
     )
-    calendar = project.require("calendar").where("date != DATE '2011-02-20'")
+    hole = date(2020, 4, 20)
+    calendar = project.require("calendar").where(F.col("date") != F.lit(hole))
     result, rows = checks_of(
         project, sales=bad, calendar=calendar, prices=prices.unionAll(prices.limit(2))
     )
@@ -158,7 +183,7 @@ def test_each_defect_is_found(spark, project):
         "positive_prices": 2,
         "sales_stores_exist": 1,
         "sales_skus_exist": 1,
-        "sales_dates_in_calendar": 2 + 6,
+        "sales_dates_in_calendar": 2 + sum(d == hole for _, _, d in kept_sales()),
         "calendar_contiguous": 1,
     }
     assert rows["sales_stores_exist"].detail == "1 violating rows"
@@ -178,19 +203,23 @@ def test_empty_tables(spark, project):
 
 
 def test_null_keys_are_no_orphans(spark, project):
-    facts = spark.createDataFrame([("CA_1",), (None,), ("ZZ",), ("ZZ",)], "store_id string")
+    facts = spark.createDataFrame([("market",), (None,), ("ZZ",), ("ZZ",)], "store_id string")
     rows = summaries.orphans(facts, project.require("stores"), "store_id").collect()
     assert [tuple(r) for r in rows] == [("ZZ", 2)]
 
 
 def test_summaries(project):
     sales, skus, stores = (project.require(n) for n in ("sales", "skus", "stores"))
+    day, kept = date(2020, 4, 1), kept_sales()
     by_day = summaries.sales_summary(sales, skus, stores)
-    row = by_day.where("state_id = 'CA' AND cat_id = 'HOBBIES' AND date = '2011-01-30'").first()
-    units = [units_at(0, 0, 1), units_at(1, 0, 1)]
-    assert row.units_sold == sum(units)
-    assert row.revenue == pytest.approx(units[0] * price_of(0, 0) + units[1] * price_of(1, 0))
+    row = by_day.where("state_id = 'CA' AND cat_id = 'pantry' AND date = '2020-04-01'").first()
+    own = [kept["market", i, day] for i in ("oats", "rye") if ("market", i, day) in kept]
+    assert row.units_sold == sum(u for u, _ in own)
+    assert row.revenue == pytest.approx(sum(u * p for u, p in own))
     coverage = {(r.store_id, r.sku_id): r for r in summaries.series_coverage(sales).collect()}
-    assert coverage["TX_1", "FOODS_3_001"].n_days == 42
-    assert coverage["CA_1", "FOODS_3_001"].last_date == day_at(55)
+    assert coverage.keys() == set(SERIES)
+    for (store, item), r in coverage.items():
+        own = sorted(d for s, i, d in kept if (s, i) == (store, item))
+        assert (r.first_date, r.last_date, r.n_days) == (own[0], own[-1], len(own))
     assert summaries.duplicate_keys(sales, summaries.SALES_KEY).isEmpty()
+    assert price_of("market", "rye", 901) is None

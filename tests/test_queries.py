@@ -4,8 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
 from checks.compare import difference, duck
+from checks.oracle import ORACLES
+from checks.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,13 +19,13 @@ def connection():
 
 
 def test_only_the_forest_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"forest_quantiles"}
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"forest_quantiles"}
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, connection, name):
-    found = queries()[name](spark, FOLDER).toPandas()
-    expected = connection.execute(oracle_sql()[name]).fetchdf()
+    found = QUERIES[name](spark, FOLDER).toPandas()
+    expected = connection.execute(ORACLES[name]).fetchdf()
     assert len(found) > 0
     assert difference(found, expected) == ""
