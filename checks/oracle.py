@@ -13,6 +13,7 @@ FRACTILE = COSTS.critical_fractile
 LEVELS = FORECAST.trained_quantiles(COSTS)
 UNDER, OVER = COSTS.understock_ratio, COSTS.overstock_ratio
 
+EMBARGO = 2350
 _SERIES_DATE = "store_id, sku_id, date"
 
 
@@ -45,18 +46,75 @@ DEFAULT_HISTORY = _lags((1, 7, 14, 28)) + _rolling(("mean", "std", "min", "max")
 
 STORE = f"""
 rolling AS ({_history(DEFAULT_HISTORY)}),
+snap_days AS (
+  SELECT date, 'CA' AS state_id FROM calendar WHERE snap_ca
+  UNION ALL SELECT date, 'TX' FROM calendar WHERE snap_tx
+  UNION ALL SELECT date, 'WI' FROM calendar WHERE snap_wi
+),
 store AS MATERIALIZED (
-  SELECT s.*, dept_id, cat_id, state_id, day_of_week, week_of_year, month, is_weekend, is_event,
-         is_holiday,
-         CASE state_id WHEN 'CA' THEN snap_ca WHEN 'TX' THEN snap_tx WHEN 'WI' THEN snap_wi
-                       ELSE FALSE END AS snap_flag,
-         r.* EXCLUDE (store_id, sku_id, date)
-  FROM sales s JOIN skus USING (sku_id) JOIN stores USING (store_id)
-       JOIN (SELECT * EXCLUDE (d, wm_yr_wk, year) FROM calendar) c ON c.date = s.date
-       LEFT JOIN rolling r ON r.store_id = s.store_id AND r.sku_id = s.sku_id AND r.date = s.date
+  SELECT sales.*, skus.dept_id, skus.cat_id, stores.state_id, calendar.day_of_week,
+         calendar.week_of_year, calendar.month, calendar.is_weekend, calendar.is_event,
+         calendar.is_holiday, snap_days.date IS NOT NULL AS snap_flag,
+         rolling.* EXCLUDE (store_id, sku_id, date)
+  FROM sales
+  JOIN rolling ON rolling.store_id = sales.store_id AND rolling.sku_id = sales.sku_id
+              AND rolling.date = sales.date
+  JOIN calendar ON calendar.date = sales.date
+  JOIN stores ON stores.store_id = sales.store_id
+  JOIN skus ON skus.sku_id = sales.sku_id
+  LEFT JOIN snap_days ON snap_days.date = sales.date AND snap_days.state_id = stores.state_id
 )
 """
 
+QUALITY = """
+SELECT check_name, mode, value, (value > 0) = (mode = 'positive') AS passed,
+       CASE mode || (value > 0) WHEN 'positivetrue' THEN value || ' rows'
+            WHEN 'positivefalse' THEN 'table is empty' WHEN 'zerofalse' THEN 'ok'
+            ELSE value || ' violating rows' END AS detail
+FROM checked
+"""
+
+
+def quality_values(sales, prices, calendar):
+    """CTE ``checked`` (check_name, mode, value): sizes, surplus keys, bad values, lost references."""
+    sizes = {"stores": "stores", "skus": "skus", "calendar": calendar, "prices": prices, "sales": sales}
+    parts = [f"SELECT '{n}_non_empty', 'positive', count(*) FROM {t}" for n, t in sizes.items()]
+    keys = {"sales": (sales, "store_id, sku_id, date"), "prices": (prices, "store_id, sku_id, wm_yr_wk")}
+    for name, (table, key) in keys.items():
+        parts.append(
+            f"SELECT '{name}_key_unique', 'zero', count(*) FROM "
+            f"(SELECT {key}, count(*) AS n FROM {table} GROUP BY ALL) WHERE n > 1"
+        )
+    tests = {"no_negative_units": "units_sold < 0", "positive_prices": "NOT coalesce(sell_price > 0, FALSE)"}
+    for name, test in tests.items():
+        parts.append(f"SELECT '{name}', 'zero', count(*) FILTER (WHERE {test}) FROM {sales}")
+    ends = {"sales_stores_exist": ("stores", "store_id"), "sales_skus_exist": ("skus", "sku_id"),
+            "sales_dates_in_calendar": (calendar, "date")}
+    for name, (table, key) in ends.items():
+        parts.append(
+            f"SELECT '{name}', 'zero', count(*) FROM {sales} f "
+            f"WHERE NOT EXISTS (SELECT 1 FROM {table} d WHERE d.{key} = f.{key})"
+        )
+    parts.append(
+        f"SELECT 'calendar_contiguous', 'zero', max(date) - min(date) + 1 - count(*) FROM {calendar}"
+    )
+    return f"checked(check_name, mode, value) AS ({' UNION ALL '.join(parts)})"
+
+
+DAMAGED = """
+sunday AS (SELECT * FROM sales WHERE dayofweek(date) = 0),
+bad_sales AS (
+  SELECT store_id, sku_id, date, CASE dayofweek(date) WHEN 1 THEN -units_sold ELSE units_sold END
+           AS units_sold, sell_price FROM sales
+  UNION ALL SELECT * FROM sunday
+  UNION ALL SELECT store_id || '?', sku_id, date, units_sold, sell_price FROM sunday
+  UNION ALL SELECT store_id, 'NONE', date, units_sold, 0 FROM sunday
+  UNION ALL SELECT store_id, sku_id, CAST(date + INTERVAL 100 YEAR AS DATE), units_sold, NULL FROM sunday
+),
+bad_prices AS (SELECT * FROM prices UNION ALL SELECT * FROM prices WHERE wm_yr_wk % 3 = 0),
+bad_calendar AS (SELECT * FROM calendar WHERE month != 6 OR is_weekend)
+"""
+
 _FIVE = ("mean", "std", "min", "max", "sum")
 
 ORACLES: dict[str, str] = {
@@ -81,40 +139,9 @@ ORACLES: dict[str, str] = {
             for t in ("stores", "skus", "calendar", "prices", "sales")
         )
     ),
-    "quality_checks": panel(
-        """
-        SELECT check_name, mode, value,
-               CASE mode WHEN 'positive' THEN value > 0 ELSE value = 0 END AS passed,
-               CASE WHEN mode = 'positive' AND value > 0 THEN value || ' rows'
-                    WHEN mode = 'positive' THEN 'table is empty'
-                    WHEN value = 0 THEN 'ok' ELSE value || ' violating rows' END AS detail
-        FROM results
-        """,
-        """
-        results AS (
-          SELECT 'stores_non_empty' AS check_name, 'positive' AS mode, count(*) AS value
-            FROM stores
-          UNION ALL SELECT 'skus_non_empty', 'positive', count(*) FROM skus
-          UNION ALL SELECT 'calendar_non_empty', 'positive', count(*) FROM calendar
-          UNION ALL SELECT 'prices_non_empty', 'positive', count(*) FROM prices
-          UNION ALL SELECT 'sales_non_empty', 'positive', count(*) FROM sales
-          UNION ALL SELECT 'sales_key_unique', 'zero', count(*) FROM (
-            SELECT 1 FROM sales GROUP BY store_id, sku_id, date HAVING count(*) > 1)
-          UNION ALL SELECT 'prices_key_unique', 'zero', count(*) FROM (
-            SELECT 1 FROM prices GROUP BY store_id, sku_id, wm_yr_wk HAVING count(*) > 1)
-          UNION ALL SELECT 'no_negative_units', 'zero', count(*) FROM sales WHERE units_sold < 0
-          UNION ALL SELECT 'positive_prices', 'zero', count(*) FROM sales
-            WHERE sell_price IS NULL OR sell_price <= 0
-          UNION ALL SELECT 'sales_stores_exist', 'zero', count(*) FROM sales
-            WHERE store_id NOT IN (SELECT store_id FROM stores)
-          UNION ALL SELECT 'sales_skus_exist', 'zero', count(*) FROM sales
-            WHERE sku_id NOT IN (SELECT sku_id FROM skus)
-          UNION ALL SELECT 'sales_dates_in_calendar', 'zero', count(*) FROM sales
-            WHERE date NOT IN (SELECT date FROM calendar)
-          UNION ALL SELECT 'calendar_contiguous', 'zero',
-            datediff('day', min(date), max(date)) + 1 - count(*) FROM calendar
-        )
-        """,
+    "quality_checks": panel(QUALITY, quality_values("sales", "prices", "calendar")),
+    "quality_checks_damaged": panel(
+        QUALITY, DAMAGED, quality_values("bad_sales", "bad_prices", "bad_calendar")
     ),
     "sales_summary": panel(
         """
@@ -221,27 +248,30 @@ def _scored(levels, source="test", name="scored"):
     """
 
 
+def _pinball(c, q):
+    return f"round(avg(greatest((target - {c}) * {q!r}::DOUBLE, (target - {c}) * {q - 1!r}::DOUBLE)), 6)"
+
+
+def _coverage(c):
+    return f"round(avg(CASE WHEN target <= {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6)"
+
+
 def _accuracy():
-    parts = []
+    """(name, quantile, value)"""
+    values = [
+        ("wape", None, "round(CASE WHEN sum(abs(target)) = 0 THEN 'NaN'::DOUBLE ELSE "
+                       "sum(abs(target - q_0_5)) / sum(abs(target)) END, 6)"),
+        ("bias", None, "round(avg(q_0_5 - target), 6)"),
+        ("rmse", None, "round(sqrt(avg((target - q_0_5) * (target - q_0_5))), 6)"),
+    ]
     for q in LEVELS:
-        c, tag = quantile_column(q), quantile_column(q)[2:]
-        parts.append(
-            f"SELECT 'pinball_q{tag}' AS name, round(avg(greatest((target - {c}) * {q!r}::DOUBLE, "
-            f"(target - {c}) * {q - 1!r}::DOUBLE)), 6) AS value FROM scored"
-        )
-        parts.append(
-            f"SELECT 'coverage_q{tag}', round(avg(CASE WHEN target <= {c} THEN 1.0::DOUBLE "
-            "ELSE 0.0::DOUBLE END), 6) FROM scored"
-        )
-    parts.append(
-        "SELECT 'wape', round(CASE WHEN sum(abs(target)) = 0 THEN 'NaN'::DOUBLE ELSE "
-        "sum(abs(target - q_0_5)) / sum(abs(target)) END, 6) FROM scored"
+        values.append(("pinball", q, _pinball(quantile_column(q), q)))
+        values.append(("coverage", q, _coverage(quantile_column(q))))
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, {'NULL::DOUBLE' if q is None else f'round({q!r}::DOUBLE, 6)'} AS quantile, "
+        f"{value} AS value FROM scored"
+        for name, q, value in values
     )
-    parts.append("SELECT 'bias', round(avg(q_0_5 - target), 6) FROM scored")
-    parts.append(
-        "SELECT 'rmse', round(sqrt(avg((target - q_0_5) * (target - q_0_5))), 6) FROM scored"
-    )
-    return " UNION ALL ".join(parts)
 
 
 _BACKTEST = (MULTI_ROWS, BOUNDS, TRAIN, TEST, _model(LEVELS), _scored(LEVELS))
@@ -305,23 +335,28 @@ ORACLES |= {
         """
     ),
     "backtest_metrics": panel(
-        _accuracy() + " UNION ALL SELECT 'n_train_rows', count(*)::DOUBLE FROM train"
-        " UNION ALL SELECT 'n_validation_rows', count(*)::DOUBLE FROM rows, bounds"
+        _accuracy() + " UNION ALL SELECT 'n_train_rows', NULL, count(*)::DOUBLE FROM train"
+        " UNION ALL SELECT 'n_validation_rows', NULL, count(*)::DOUBLE FROM rows, bounds"
         " WHERE origin_date >= validation_start AND origin_date < test_start"
-        " UNION ALL SELECT 'n_test_rows', count(*)::DOUBLE FROM test",
+        " UNION ALL SELECT 'n_test_rows', NULL, count(*)::DOUBLE FROM test",
         *_BACKTEST,
     ),
     "quantile_accuracy": panel(
         " UNION ALL ".join(
-            f"SELECT round({q!r}::DOUBLE, 6) AS quantile, round(avg(greatest((target - {c}) * {q!r}::DOUBLE, "
-            f"(target - {c}) * {q - 1!r}::DOUBLE)), 6) AS pinball, "
-            f"round(avg(CASE WHEN target <= {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) "
-            "AS coverage FROM scored"
-            for q, c in ((q, quantile_column(q)) for q in LEVELS)
+            f"SELECT round({q!r}::DOUBLE, 6) AS quantile, {_pinball(quantile_column(q), q)} AS pinball, "
+            f"{_coverage(quantile_column(q))} AS coverage FROM scored"
+            for q in LEVELS
         ),
         *_BACKTEST,
     ),
-    "run_metrics": panel(_accuracy(), *_BACKTEST),
+    "forest_quantiles": panel(
+        "SELECT store_id, sku_id, origin_date, target_date, target, TRUE AS ordered, "
+        "TRUE AS within_outcomes FROM test",
+        LEAD_ROWS, BOUNDS, TEST,
+    ),
+    "run_metrics": panel(
+        f"SELECT *, 'b' AS run_id, DATE '2024-05-02' AS started_at FROM ({_accuracy()})", *_BACKTEST
+    ),
     "cost_assumptions": panel(
         f"""
         SELECT cat_id, round(p, 6) AS mean_price, round(p * {UNDER!r}::DOUBLE, 6) AS understock_cost,
@@ -410,14 +445,12 @@ def _replay(baseline, every=1, known=KNOWN):
           FROM scored s JOIN baseline USING (store_id, sku_id)
         ),
         results AS (
-          SELECT policy, store_id, sku_id, origin_date, target_date, round(q, 6) AS order_quantity,
-                 CAST(target AS DOUBLE) AS actual_demand, round(sell_price, 6) AS sell_price,
-                 round(sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0), 6)
-                   AS understock_cost,
-                 round(sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0), 6)
-                   AS overstock_cost,
-                 round(sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0)
-                       + sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0), 6) AS cost
+          SELECT policy, store_id, sku_id, origin_date, target_date, q AS order_quantity,
+                 CAST(target AS DOUBLE) AS actual_demand, sell_price,
+                 sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0) AS understock_cost,
+                 sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0) AS overstock_cost,
+                 sell_price * {UNDER!r}::DOUBLE * greatest(target - q, 0)
+                   + sell_price * {OVER!r}::DOUBLE * greatest(q - target, 0) AS cost
           FROM quantities WHERE (origin_date - DATE '1970-01-01') % {every} = 0
         )
         """,
@@ -439,11 +472,9 @@ test AS (SELECT rows.* FROM rows, current_day WHERE origin_date = day)
 _ADVICE_ROWS = f"""
 advice AS (
   SELECT store_id, sku_id, origin_date, target_date, 7 AS lead_time_days,
-         round({_CF}, 6) AS order_quantity, round(q_0_5, 6) AS median_forecast,
-         round({_CF} - q_0_5, 6) AS safety_stock, round({FRACTILE!r}::DOUBLE, 6)
-           AS critical_fractile,
-         round({UNDER!r}::DOUBLE, 6) AS understock_cost_ratio,
-         round({OVER!r}::DOUBLE, 6) AS overstock_cost_ratio,
+         {_CF} AS order_quantity, q_0_5 AS median_forecast, {_CF} - q_0_5 AS safety_stock,
+         {FRACTILE!r}::DOUBLE AS critical_fractile, {UNDER!r}::DOUBLE AS understock_cost_ratio,
+         {OVER!r}::DOUBLE AS overstock_cost_ratio,
          CAST(target AS DOUBLE) AS actual_demand, 'feature_store_v1' AS snapshot_table
   FROM scored
 )
@@ -451,11 +482,27 @@ advice AS (
 _PAIR = [0.5, FRACTILE]
 _ADVICE = (LEAD_ROWS, _ADVICE_CTES, _model(_PAIR), _scored(_PAIR), _ADVICE_ROWS)
 
+def _rounded(names):
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names.split())
+
+
+_ADVICE_OUT = (
+    "SELECT store_id, sku_id, origin_date, target_date, lead_time_days, actual_demand, snapshot_table, "
+    + _rounded("order_quantity median_forecast safety_stock critical_fractile understock_cost_ratio "
+               "overstock_cost_ratio")
+    + " FROM advice"
+)
+_RESULTS = (
+    "SELECT policy, store_id, sku_id, origin_date, target_date, actual_demand, "
+    + _rounded("order_quantity sell_price understock_cost overstock_cost cost")
+)
+RESULTS = f"{_RESULTS} FROM results"
+
 _SAVINGS = """
-SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END), 2) AS baseline_cost,
-       round(sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 2) AS ml_cost,
+SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END), 4) AS baseline_cost,
+       round(sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 4) AS ml_cost,
        round(sum(CASE WHEN policy = 'classical_baseline' THEN cost END)
-             - sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 2) AS savings
+             - sum(CASE WHEN policy = 'ml_quantile' THEN cost END), 4) AS savings
 FROM results
 """
 
@@ -463,38 +510,40 @@ ORACLES |= {
     "baseline_normal": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _normal(_L, _SL)),
     "baseline_poisson": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _poisson(_L, _SL)),
     "baseline_bootstrap": panel(_BASELINE, LEAD_ROWS, BOUNDS, KNOWN, _bootstrap(_L, _SL)),
-    "recommendations": panel("SELECT * FROM advice", *_ADVICE),
+    "recommendations": panel(_ADVICE_OUT, *_ADVICE),
     "recommendation_summary": panel(
         """
         SELECT count(*) AS n_recommendations, min(origin_date) AS recommendation_date,
                max(lead_time_days) AS lead_time_days,
                round(sum(order_quantity), 6) AS total_order_quantity,
                round(sum(safety_stock), 6) AS total_safety_stock,
-               min(critical_fractile) AS critical_fractile, max(snapshot_table) AS snapshot_table
+               round(min(critical_fractile), 6) AS critical_fractile,
+               max(snapshot_table) AS snapshot_table
         FROM advice
         """,
         *_ADVICE,
     ),
     "top_misses": panel(
         """
-        SELECT store_id, sku_id, origin_date, target_date, order_quantity, median_forecast,
-               safety_stock, actual_demand,
+        SELECT store_id, sku_id, origin_date, target_date, actual_demand,
+               round(order_quantity, 6) AS order_quantity,
+               round(median_forecast, 6) AS median_forecast, round(safety_stock, 6) AS safety_stock,
                round(abs(order_quantity - actual_demand), 6) AS absolute_miss
         FROM advice
         ORDER BY abs(order_quantity - actual_demand) DESC, store_id, sku_id, target_date LIMIT 20
         """,
         *_ADVICE,
     ),
-    "policy_replay": panel("SELECT * FROM results", *_replay(_bootstrap(_L, _SL))),
-    "policy_replay_normal": panel("SELECT * FROM results", *_replay(_normal(_L, _SL), every=7)),
+    "policy_replay": panel(RESULTS, *_replay(_bootstrap(_L, _SL))),
+    "policy_replay_normal": panel(RESULTS, *_replay(_normal(_L, _SL), every=7)),
     "policy_replay_poisson": panel(
-        "SELECT * FROM results", *_replay(_poisson(1, _SL), known=_EMBARGO)
+        RESULTS, *_replay(_poisson(1, _SL), known=_EMBARGO)
     ),
     "policy_summary": panel(
         """
-        SELECT policy, count(*) AS n_decisions, round(sum(cost), 2) AS total_cost,
-               round(sum(understock_cost), 2) AS total_understock_cost,
-               round(sum(overstock_cost), 2) AS total_overstock_cost,
+        SELECT policy, count(*) AS n_decisions, round(sum(cost), 4) AS total_cost,
+               round(sum(understock_cost), 4) AS total_understock_cost,
+               round(sum(overstock_cost), 4) AS total_overstock_cost,
                round(avg(cost), 6) AS mean_cost
         FROM results GROUP BY policy
         """,
@@ -509,6 +558,27 @@ ORACLES |= {
         """,
         STORE,
     ),
+    "snapshot_by_name": panel(
+        """
+        SELECT 1 AS version, 'feature_store_v1' AS table_name, 'first' AS git_commit,
+               count(*) AS row_count, min(date) AS min_date, max(date) AS max_date,
+               count(*) AS stored_rows
+        FROM sales
+        """
+    ),
+    "stored_recommendations": panel(_ADVICE_OUT, *_ADVICE),
+    "stored_replay": panel(
+        f"{_RESULTS}, 'feature_store_v2' AS snapshot_table FROM results", *_replay(_normal(_L, _SL))
+    ),
+    "skipped_decisions": panel(
+        f"""
+        SELECT store_id, sku_id, count(*) AS n_skipped FROM test t
+        WHERE NOT EXISTS (SELECT 1 FROM rows k, bounds WHERE k.store_id = t.store_id
+                          AND k.sku_id = t.sku_id AND k.origin_date < test_start - {EMBARGO})
+        GROUP BY ALL
+        """,
+        LEAD_ROWS, BOUNDS, TEST,
+    ),
     "ingest_csv": panel("SELECT * FROM sales"),
 }
 
@@ -533,7 +603,7 @@ def _kpi():
         SELECT (SELECT round(sum(order_quantity), 6) FROM advice) AS total_order_quantity,
                (SELECT round(sum(safety_stock), 6) FROM advice) AS total_safety_stock,
                (SELECT round(sum(CASE WHEN policy = 'classical_baseline' THEN cost ELSE -cost END),
-                             2) FROM results) AS savings,
+                             4) FROM results) AS savings,
                (SELECT round(sum(abs(target - q_0_5)) / sum(abs(target)), 6) FROM e_scored) AS wape
         """,
         *_replay(_bootstrap(_L, _SL)), advice, errors, scored,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timezone
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +37,10 @@ from stockloom.sources.tables import Tables
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Floating results are rounded before comparison: sums depend on the order of their terms.
+# Floating results are rounded before comparison: sums depend on the order of their terms. Large
+# totals have fewer sure digits; cents times a ratio of two digits never end halfway at the fourth.
 DIGITS = 6
-MONEY_DIGITS = 2
+MONEY_DIGITS = 4
 MONEY_TOTALS = (
     "total_cost",
     "total_understock_cost",
@@ -67,6 +70,7 @@ def rounded(df: DataFrame) -> DataFrame:
 SPEC, FORECAST, COSTS, REPLAY = FeatureSpec(), ForecastSpec(), CostSpec(), ReplaySpec()
 LEVELS = FORECAST.trained_quantiles(COSTS)
 LEAD = REPLAY.lead_time_days
+EMBARGO = 2350  # days; most of the panel's length
 
 
 class Star(OrderLinePanel):
@@ -196,6 +200,26 @@ def quality_checks(spark, sf):
     )
 
 
+@query
+def quality_checks_damaged(spark, sf):
+    """The checks on tables with every kind of damage: repeated, negative, free and unpriced sales,
+    an unknown store, item and day, a hole in the calendar and repeated prices."""
+    tables = Star(spark, sf)
+    sales = tables.daily_sales
+    monday = F.dayofweek("date") == 2
+    sunday = sales.where(F.dayofweek("date") == 1)
+    bad = (
+        sales.withColumn("units_sold", F.when(monday, -F.col("units_sold")).otherwise(F.col("units_sold")))
+        .unionAll(sunday)
+        .unionAll(sunday.withColumn("store_id", F.concat("store_id", F.lit("?"))))
+        .unionAll(sunday.withColumn("sku_id", F.lit("NONE")).withColumn("sell_price", F.lit(0.0)))
+        .unionAll(sunday.withColumn("date", F.add_months("date", 1200)).withColumn("sell_price", F.lit(None)))
+    )
+    prices = tables.prices.unionAll(tables.prices.where("wm_yr_wk % 3 = 0"))
+    calendar = tables.calendar.where("month != 6 OR is_weekend")
+    return quality.quality_checks(tables.stores, tables.skus, calendar, prices, bad)
+
+
 @query
 def sales_summary(spark, sf):
     tables = Star(spark, sf)
@@ -389,27 +413,50 @@ def quantile_accuracy(spark, sf):
 
 @query
 def run_metrics(spark, sf):
-    """Two logged runs; the metrics of the later one, by its start time."""
+    """Two logged runs; the metrics of the later one with its id and start, by its start time."""
     rows = multi_horizon_rows(spark, sf)
     tables = Tables(spark, fresh_folder(spark, "runs"))
     first = backtest.split_counts(rows, bounds_of(rows)).select(
-        F.col("split").alias("name"), F.col("n_rows").cast("double").alias("value")
+        F.col("split").alias("name"),
+        F.lit(None).cast("double").alias("quantile"),
+        F.col("n_rows").cast("double").alias("value"),
     )
-    run_log.log_run(tables, run_log.run_rows(spark, first, {"step": "split"}, "forecast"))
+    days = [datetime(2024, 5, 2, tzinfo=timezone.utc), datetime(2024, 5, 1, tzinfo=timezone.utc)]
     scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, SeasonalQuantiles)
     metrics = backtest.accuracy(scored, LEVELS)
     params = {"horizon_days": FORECAST.horizon_days, "quantiles": LEVELS}
-    run_log.log_run(tables, run_log.run_rows(spark, metrics, params, "forecast"))
+    run_log.log_run(tables, run_log.run_rows(spark, metrics, params, "forecast", "b", days[0]))
+    run_log.log_run(tables, run_log.run_rows(spark, first, {"step": "split"}, "forecast", "a", days[1]))
     latest = run_log.latest_run(run_log.runs(tables), "forecast")
-    return rounded(run_log.run_metrics(latest))
+    named = run_log.run_metrics(latest).join(run_log.run_identity(latest))
+    return rounded(named.withColumn("started_at", F.to_date("started_at")))
 
 
 @query
 def forest_quantiles(spark, sf):
-    """Accuracy of the global model; a fitted forest has no SQL counterpart."""
+    """The global model on all features, stated by what holds whatever the trees look like.
+
+    Every test row is scored once; its levels do not decrease and lie between the least and the
+    largest outcome of training. Accuracy is compared in the tests.
+    """
     rows = lead_time_rows(spark, sf)
-    scored = backtest.predict_test(rows, bounds_of(rows), LEVELS, ForestQuantiles)
-    return backtest.accuracy(scored, LEVELS)
+    bounds = bounds_of(rows)
+    scored = backtest.predict_test(rows, bounds, LEVELS, ForestQuantiles)
+    names = [F.col(quantile_column(q)) for q in LEVELS]
+    train = rows.where(bounds.is_train)
+    low, high = (train.agg(f("target").cast("double")).scalar() for f in (F.min, F.max))
+    ordered = F.lit(True)
+    for a, b in zip(names, names[1:], strict=False):
+        ordered &= a <= b
+    return scored.select(
+        "store_id",
+        "sku_id",
+        "origin_date",
+        "target_date",
+        "target",
+        ordered.alias("ordered"),
+        ((names[0] >= low) & (names[-1] <= high)).alias("within_outcomes"),
+    )
 
 
 @query
@@ -468,18 +515,62 @@ def recommended(spark: SparkSession, sf: str) -> DataFrame:
     rows = decisions.recommend(
         lead_time_rows(spark, sf), LEAD, COSTS, FORECAST, SeasonalQuantiles
     )
-    return rounded(rows.withColumn("snapshot_table", F.lit("feature_store_v1")))
+    return rows.withColumn("snapshot_table", F.lit("feature_store_v1"))
 
 
 def replayed(spark: SparkSession, sf: str, spec: ReplaySpec = REPLAY) -> DataFrame:
-    return rounded(
-        decisions.replay(lead_time_rows(spark, sf), spec, COSTS, FORECAST, SeasonalQuantiles)
-    )
+    rows = lead_time_rows(spark, sf)
+    return decisions.replay(rows, spec, COSTS, FORECAST, SeasonalQuantiles)
 
 
 @query
 def recommendations(spark, sf):
-    return recommended(spark, sf)
+    return rounded(recommended(spark, sf))
+
+
+def project_with_snapshots(spark: SparkSession, sf: str) -> Tables:
+    """Two snapshots of the feature store of the panel."""
+    tables = Tables(spark, fresh_folder(spark, "project"))
+    snapshots.build_snapshot(tables, Star(spark, sf).store(), SPEC, "first")
+    snapshots.build_snapshot(tables, snapshots.read_snapshot(tables), SPEC, "second")
+    return tables
+
+
+@query
+def stored_recommendations(spark, sf):
+    """The job run twice on a named snapshot; the second run replaces the first."""
+    tables = project_with_snapshots(spark, sf)
+    for forecast in (replace(FORECAST, validation_size_days=7), FORECAST):
+        jobs.recommend(
+            tables, LEAD, forecast=forecast, snapshot="feature_store_v1", forecaster=SeasonalQuantiles
+        )
+    return rounded(tables.require(jobs.RECOMMENDATIONS))
+
+
+@query
+def stored_replay(spark, sf):
+    """The same for the replay, on the newest snapshot."""
+    tables = project_with_snapshots(spark, sf)
+    for spec in (ReplaySpec(demand_distribution="poisson"), ReplaySpec(demand_distribution="normal")):
+        jobs.simulate(tables, spec, forecaster=SeasonalQuantiles)
+    return rounded(tables.require(jobs.RESULTS))
+
+
+@query
+def snapshot_by_name(spark, sf):
+    """Lineage of an older snapshot and the rows it holds."""
+    tables = project_with_snapshots(spark, sf)
+    name = snapshots.snapshot_name(tables, "feature_store_v1")
+    listed = snapshots.snapshot_lineage(tables, name).drop("created_at")
+    rows = snapshots.read_snapshot(tables, name).agg(F.count("*").alias("stored_rows"))
+    return listed.join(rows)
+
+
+@query
+def skipped_decisions(spark, sf):
+    """An embargo so long that series launched late have no history left."""
+    rows = lead_time_rows(spark, sf)
+    return decisions.skipped_decisions(rows, ReplaySpec(embargo_days=EMBARGO), FORECAST)
 
 
 @query
@@ -494,20 +585,20 @@ def top_misses(spark, sf):
 
 @query
 def policy_replay(spark, sf):
-    return replayed(spark, sf)
+    return rounded(replayed(spark, sf))
 
 
 @query
 def policy_replay_normal(spark, sf):
     """Weekly reviews against the normal baseline."""
-    return replayed(spark, sf, ReplaySpec(demand_distribution="normal", review_period_days=7))
+    return rounded(replayed(spark, sf, ReplaySpec(demand_distribution="normal", review_period_days=7)))
 
 
 @query
 def policy_replay_poisson(spark, sf):
     """Poisson baseline over one day, fitted on outcomes known before the first decision."""
     spec = ReplaySpec(demand_distribution="poisson", baseline_window_days=1, embargo_days=LEAD - 1)
-    return replayed(spark, sf, spec)
+    return rounded(replayed(spark, sf, spec))
 
 
 @query
@@ -529,8 +620,8 @@ def kpi_tiles(spark, sf):
     return rounded(
         reports.kpi_tiles(
             spark,
-            rounded(advice.withColumn("snapshot_table", F.lit("feature_store_v1"))),
-            rounded(results),
+            advice.withColumn("snapshot_table", F.lit("feature_store_v1")),
+            results,
             backtest.accuracy(scored, LEVELS),
         )
     )

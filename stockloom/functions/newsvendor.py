@@ -1,4 +1,4 @@
-"""Newsvendor economics as columns. Ratios are shares of the unit sell price."""
+"""Newsvendor economics. Ratios are shares of the unit sell price; numbers and columns both work."""
 
 from __future__ import annotations
 
@@ -6,18 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def understock_ratio(unit_cost: Column, stockout_penalty: Column) -> Column:
-    return (F.lit(1.0) - unit_cost) + stockout_penalty
+def understock_ratio(unit_cost, stockout_penalty):
+    """Lost margin and goodwill per unit short."""
+    return 1.0 - unit_cost + stockout_penalty
 
 
-def overstock_ratio(unit_cost: Column, salvage: Column, holding: Column) -> Column:
-    return (unit_cost - salvage) + holding
+def overstock_ratio(unit_cost, salvage, holding):
+    """What a unit left over costs after salvage, with its storage."""
+    return unit_cost - salvage + holding
+
+
+def balance(understock, overstock):
+    return understock / (understock + overstock)
 
 
 def critical_fractile(understock: Column, overstock: Column) -> Column:
-    """Cu / (Cu + Co). Fails on a cost that is not strictly positive."""
+    """The balance of both costs. Fails on a cost that is not strictly positive."""
     valid = (understock > 0) & (overstock > 0)
-    return F.when(valid, understock / (understock + overstock)).otherwise(
+    return F.when(valid, balance(understock, overstock)).otherwise(
         F.raise_error(F.lit("understock and overstock cost must be > 0")).cast("double")
     )
 

@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def quantile_tag(quantile: float) -> str:
-    return str(quantile).replace(".", "_")
-
-
 def quantile_column(quantile: float) -> str:
-    return f"q_{quantile_tag(quantile)}"
+    """The name of a level's column in a wide table of predictions."""
+    return f"q_{quantile}".replace(".", "_")
 
 
 def rearranged(values: list[Column]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions import metrics
-from stockloom.functions.quantiles import quantile_column, quantile_tag
+from stockloom.functions.quantiles import quantile_column
 from stockloom.operators.split import Bounds
 
 Forecaster = Callable[[list[float]], object]
@@ -32,55 +32,55 @@ def predict_test(
 
 
 def accuracy(predictions: DataFrame, quantiles: list[float]) -> DataFrame:
-    """Flat metrics (name, value): pinball and coverage per level, the rest on the median.
+    """Metrics (name, quantile, value): pinball and coverage per level, the rest on the median and
+    without a level.
 
     All measures come from one pass and one single-row aggregate.
     """
     actual = F.col("target").cast("double")
-    measures = {}
+    median = F.col(quantile_column(0.5))
+    measures = [
+        ("wape", None, metrics.wape(actual, median)),
+        ("bias", None, metrics.bias(actual, median)),
+        ("rmse", None, metrics.rmse(actual, median)),
+    ]
     for q in quantiles:
         predicted = F.col(quantile_column(q))
-        measures[f"pinball_q{quantile_tag(q)}"] = metrics.pinball_loss(actual, predicted, q)
-        measures[f"coverage_q{quantile_tag(q)}"] = metrics.coverage(actual, predicted)
-    median = F.col(quantile_column(0.5))
-    measures["wape"] = metrics.wape(actual, median)
-    measures["bias"] = metrics.bias(actual, median)
-    measures["rmse"] = metrics.rmse(actual, median)
-    return _long(predictions.agg(*[c.alias(name) for name, c in measures.items()]))
+        measures.append(("pinball", q, metrics.pinball_loss(actual, predicted, q)))
+        measures.append(("coverage", q, metrics.coverage(actual, predicted)))
+    return _long(predictions, measures)
 
 
-def _long(one_row: DataFrame) -> DataFrame:
+def _long(rows: DataFrame, measures: list[tuple]) -> DataFrame:
+    """(name, quantile, value) of aggregates over ``rows``."""
+    totals = rows.agg(*[c.cast("double").alias(f"m{i}") for i, (*_, c) in enumerate(measures)])
     entries = [
-        F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("value"))
-        for name in one_row.columns
+        F.struct(
+            F.lit(name).alias("name"),
+            F.lit(quantile).cast("double").alias("quantile"),
+            F.col(f"m{i}").alias("value"),
+        )
+        for i, (name, quantile, _) in enumerate(measures)
     ]
-    return one_row.select(F.inline(F.array(*entries)))
+    return totals.select(F.inline(F.array(*entries)))
 
 
 def backtest_metrics(
     dataset: DataFrame, bounds: Bounds, quantiles: list[float], forecaster: Forecaster
 ) -> DataFrame:
-    """(name, value): the accuracy measures and the row count of each part."""
-    counts = dataset.agg(
-        F.count(F.when(bounds.is_train, 1)).alias("n_train_rows"),
-        F.count(F.when(bounds.is_validation, 1)).alias("n_validation_rows"),
-        F.count(F.when(bounds.is_test, 1)).alias("n_test_rows"),
-    )
+    """(name, quantile, value): the accuracy measures and the row count of each part."""
+    parts = {"train": bounds.is_train, "validation": bounds.is_validation, "test": bounds.is_test}
+    counts = [(f"n_{name}_rows", None, F.count(F.when(own, 1))) for name, own in parts.items()]
     predictions = predict_test(dataset, bounds, quantiles, forecaster)
-    return _long(counts).unionAll(accuracy(predictions, quantiles))
+    return _long(dataset, counts).unionAll(accuracy(predictions, quantiles))
 
 
 def quantile_accuracy(flat: DataFrame) -> DataFrame:
-    """Per-quantile rows (quantile, pinball, coverage) from flat metrics; missing ones are NaN."""
-    parts = flat.select(
-        F.regexp_extract("name", r"^(pinball|coverage)_q(.+)$", 1).alias("kind"),
-        F.regexp_extract("name", r"^(pinball|coverage)_q(.+)$", 2).alias("tag"),
-        "value",
-    ).where("kind != ''")
+    """Per-quantile rows (quantile, pinball, coverage) from metrics; missing ones are NaN."""
 
     def measure(kind: str):
-        value = F.max(F.when(F.col("kind") == kind, F.col("value")))
+        value = F.max(F.when(F.col("name") == kind, F.col("value")))
         return F.coalesce(value, F.lit(float("nan"))).alias(kind)
 
-    level = F.replace("tag", F.lit("_"), F.lit(".")).cast("double").alias("quantile")
-    return parts.groupBy(level).agg(measure("pinball"), measure("coverage"))
+    leveled = flat.where(F.col("quantile").isNotNull())
+    return leveled.groupBy("quantile").agg(measure("pinball"), measure("coverage"))

@@ -15,6 +15,7 @@ from stockloom.operators.horizon import on_cadence
 from stockloom.operators.inventory import SERIES, order_up_to
 from stockloom.settings import CostSpec, ForecastSpec, ReplaySpec
 
+# The policy names of the result table.
 ML_POLICY = "ml_quantile"
 BASELINE_POLICY = "classical_baseline"
 _EPOCH = date(1970, 1, 1)
@@ -77,6 +78,41 @@ def _graded(policy: str, quantity: Column, costs: CostSpec) -> Column:
     )
 
 
+def _replay_bounds(dataset: DataFrame, replay_spec: ReplaySpec, forecast: ForecastSpec) -> split.Bounds:
+    """The split of the replay; fails where it would leave no decision."""
+    required = forecast.test_size_days + forecast.validation_size_days
+    latest = split.latest_origins(dataset, required + 1)
+    if not latest:
+        raise DecisionError(f"no rows available at lead_time_days={replay_spec.lead_time_days}")
+    bounds = split.bounds_from(latest, forecast.test_size_days, forecast.validation_size_days)
+    every = replay_spec.review_period_days
+    if not any((day - _EPOCH).days % every == 0 for day in bounds.test_dates):
+        raise DecisionError(f"no test rows survive review_period_days={every}")
+    return bounds
+
+
+def _known(dataset: DataFrame, bounds: split.Bounds, replay_spec: ReplaySpec) -> DataFrame:
+    """The rows whose outcomes the baseline may use."""
+    end = bounds.test_start - timedelta(days=replay_spec.embargo_days)
+    return dataset.where(F.col("origin_date") < F.lit(end))
+
+
+def skipped_decisions(
+    dataset: DataFrame, replay_spec: ReplaySpec, forecast: ForecastSpec
+) -> DataFrame:
+    """Per series without history: the reviewed test decisions that :func:`replay` leaves out."""
+    bounds = _replay_bounds(dataset, replay_spec, forecast)
+    reviewed = dataset.where(
+        bounds.is_test & on_cadence("origin_date", replay_spec.review_period_days)
+    )
+    known = _known(dataset, bounds, replay_spec).select(*SERIES).distinct()
+    return (
+        reviewed.join(known, list(SERIES), "left_anti")
+        .groupBy(*SERIES)
+        .agg(F.count("*").alias("n_skipped"))
+    )
+
+
 def replay(
     dataset: DataFrame,
     replay_spec: ReplaySpec,
@@ -88,26 +124,18 @@ def replay(
 
     ``dataset`` is assembled at the lead time with stride 1. The baseline quantity does not
     depend on the day, so it is computed once per series and joined. Series without history are
-    left out of both policies.
+    left out of both policies; :func:`skipped_decisions` counts them.
     """
-    required = forecast.test_size_days + forecast.validation_size_days
-    latest = split.latest_origins(dataset, required + 1)
-    if not latest:
-        raise DecisionError(f"no rows available at lead_time_days={replay_spec.lead_time_days}")
-    bounds = split.bounds_from(latest, forecast.test_size_days, forecast.validation_size_days)
+    bounds = _replay_bounds(dataset, replay_spec, forecast)
     every = replay_spec.review_period_days
-    if not any((day - _EPOCH).days % every == 0 for day in bounds.test_dates):
-        raise DecisionError(f"no test rows survive review_period_days={every}")
-
     fractile = costs.critical_fractile
     fitted = forecaster([fractile]).fit(
         dataset.where(bounds.is_train), dataset.where(bounds.is_validation)
     )
     reviewed = dataset.where(bounds.is_test & on_cadence("origin_date", every))
     scored = fitted.predict(reviewed)
-    history_end = bounds.test_start - timedelta(days=replay_spec.embargo_days)
     baseline = order_up_to(
-        dataset.where(F.col("origin_date") < F.lit(history_end)),
+        _known(dataset, bounds, replay_spec),
         replay_spec.demand_distribution,
         replay_spec.window_days,
         replay_spec.service_level,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Check names (below), modes and details, which users of the check table match on.
 POSITIVE, ZERO = "positive", "zero"
 
 

@@ -6,37 +6,54 @@ work and a failed job can simply be run again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from stockloom.operators import backtest, decisions, features, horizon, ingest, quality, reports
 from stockloom.operators import split as splits
-from stockloom.operators.seasonal import SeasonalQuantiles
-from stockloom.session import write_and_read
+from stockloom.operators.forest import ForestQuantiles
+from stockloom.session import cleans_up, write_and_read
 from stockloom.settings import CostSpec, FeatureSpec, ForecastSpec, ReplaySpec
 from stockloom.sources import raw_csv, run_log, snapshots
 from stockloom.sources.tables import Tables
 
 RECOMMENDATIONS = "recommendations"
 RESULTS = "simulation_results"
+SKIPPED = "skipped_decisions"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A small result that no longer depends on a job's intermediate tables."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+@cleans_up
 def ingest_raw(tables: Tables, raw_dir: str) -> DataFrame:
     """Raw files to star schema, replacing earlier content. Fails if a check fails.
 
-    Returns the ingest counts.
+    Every file is parsed once: the wide sales file is landed as Parquet, from which the dimensions
+    and the long rows are taken. Returns the ingest counts; the long rows are counted while the
+    sales are written.
     """
     raw = raw_csv.read_raw(tables.spark, raw_dir)
-    stores = tables.replace("stores", ingest.stores(raw["sales"]))
-    skus = tables.replace("skus", ingest.skus(raw["sales"]))
+    wide = write_and_read(raw["sales"], "wide-sales")
+    stores = tables.replace("stores", ingest.stores(wide))
+    skus = tables.replace("skus", ingest.skus(wide))
     calendar = tables.replace("calendar", ingest.calendar(raw["calendar"]))
     prices = tables.replace("prices", ingest.prices(raw["prices"]))
-    long = ingest.long_sales(raw["sales"])
+    seen = Observation("long rows")
+    long = ingest.long_sales(wide).observe(seen, F.count("*").alias("n"))
     sales = tables.replace("sales", ingest.sales(long, calendar, prices))
     quality.require_quality(quality.quality_checks(stores, skus, calendar, prices, sales))
-    return ingest.ingest_statistics(stores, skus, calendar, long, sales)
+    kept = sales.count()
+    counts = (stores.count(), skus.count(), calendar.count(), kept, seen.get["n"] - kept)
+    return tables.spark.createDataFrame(
+        [counts],
+        "stores long, skus long, calendar_days long, sales_rows long, dropped_rows long",
+    )
 
 
+@cleans_up
 def build_features(
     tables: Tables, spec: FeatureSpec | None = None, git_commit: str | None = None
 ) -> Row:
@@ -52,13 +69,14 @@ def build_features(
     return snapshots.build_snapshot(tables, store, spec, git_commit)
 
 
+@cleans_up
 def train(
     tables: Tables,
     spec: FeatureSpec | None = None,
     forecast: ForecastSpec | None = None,
     costs: CostSpec | None = None,
     snapshot: str | None = None,
-    forecaster: backtest.Forecaster = SeasonalQuantiles,
+    forecaster: backtest.Forecaster = ForestQuantiles,
     experiment: str = "forecast",
 ) -> DataFrame:
     """Backtest on a snapshot and log the run; returns the flat metrics."""
@@ -74,9 +92,7 @@ def train(
         dataset, forecast.test_size_days, forecast.validation_size_days
     )
     quantiles = forecast.trained_quantiles(costs)
-    metrics = write_and_read(
-        backtest.backtest_metrics(dataset, bounds, quantiles, forecaster), "metrics"
-    )
+    metrics = _kept(backtest.backtest_metrics(dataset, bounds, quantiles, forecaster))
     params = {
         "snapshot_table": name,
         "horizon_days": forecast.horizon_days,
@@ -94,6 +110,7 @@ def _lead_time_dataset(
     return write_and_read(assembled, "lead-time")
 
 
+@cleans_up
 def recommend(
     tables: Tables,
     lead_time_days: int = 7,
@@ -101,7 +118,7 @@ def recommend(
     forecast: ForecastSpec | None = None,
     costs: CostSpec | None = None,
     snapshot: str | None = None,
-    forecaster: backtest.Forecaster = SeasonalQuantiles,
+    forecaster: backtest.Forecaster = ForestQuantiles,
 ) -> DataFrame:
     """Write the recommendations table anew and return it."""
     spec, forecast, costs = spec or FeatureSpec(), forecast or ForecastSpec(), costs or CostSpec()
@@ -111,6 +128,7 @@ def recommend(
     return tables.replace(RECOMMENDATIONS, rows.withColumn("snapshot_table", F.lit(name)))
 
 
+@cleans_up
 def simulate(
     tables: Tables,
     replay_spec: ReplaySpec | None = None,
@@ -118,9 +136,10 @@ def simulate(
     forecast: ForecastSpec | None = None,
     costs: CostSpec | None = None,
     snapshot: str | None = None,
-    forecaster: backtest.Forecaster = SeasonalQuantiles,
+    forecaster: backtest.Forecaster = ForestQuantiles,
 ) -> DataFrame:
-    """Write the replay results table anew and return it."""
+    """Write the replay results table anew and return it; with it, as ``skipped_decisions``, the
+    decisions that were left out for want of history."""
     spec, forecast, costs = spec or FeatureSpec(), forecast or ForecastSpec(), costs or CostSpec()
     replay_spec = replay_spec or ReplaySpec()
     name = snapshots.snapshot_name(tables, snapshot)
@@ -130,6 +149,7 @@ def simulate(
     )
     if rows.isEmpty():
         raise decisions.DecisionError("no reviewed rows had history to build a baseline from")
+    tables.replace(SKIPPED, decisions.skipped_decisions(dataset, replay_spec, forecast))
     return tables.replace(RESULTS, rows.withColumn("snapshot_table", F.lit(name)))
 
 
@@ -144,10 +164,12 @@ def report(
     log = run_log.runs(tables)
     recommendations = tables.read(RECOMMENDATIONS)
     results = tables.read(RESULTS)
-    metrics = None if log is None else run_log.run_metrics(run_log.latest_run(log, experiment))
+    run = None if log is None else run_log.latest_run(log, experiment)
+    metrics = None if run is None else run_log.run_metrics(run)
     known = recommendations is not None
     return {
         "snapshot": snapshots.snapshot_lineage(tables, snapshot),
+        "forecast_run": None if run is None else run_log.run_identity(run),
         "forecast_metrics": metrics,
         "quantile_accuracy": (
             None if metrics is None else backtest.quantile_accuracy(metrics).orderBy("quantile")
@@ -158,6 +180,7 @@ def report(
         "top_misses": reports.top_misses(recommendations) if known else None,
         "policy_summary": None if results is None else reports.policy_summary(results),
         "policy_savings": None if results is None else reports.policy_savings(results),
+        "skipped_decisions": tables.read(SKIPPED),
         "cost_assumptions": reports.cost_assumptions(tables.spark, costs),
         "kpi_tiles": reports.kpi_tiles(tables.spark, recommendations, results, metrics),
     }

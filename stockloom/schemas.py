@@ -50,6 +50,7 @@ RUN_LOG = _struct(
     started_at=T.TimestampType(),
     kind=_S,
     name=_S,
+    quantile=_D,
     param=_S,
     metric=_D,
 )

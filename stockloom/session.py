@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_job_folders: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar(
+    "job_folders", default=None
+)
+
 
 def local_session(
     cores: int | str = "*", app: str = "stockloom", checkpoints: str | None = None
@@ -44,7 +51,35 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/stockloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stockloom/{label}-{uuid.uuid4().hex}"
+    if (folders := _job_folders.get()) is not None:
+        folders.append((spark, path))
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def cleans_up(job: Callable) -> Callable:
+    """Remove the folders that a job took by :func:`fresh_folder` when it ends, also by an error.
+
+    For functions whose result no longer reads those folders.
+    """
+
+    @functools.wraps(job)
+    def run(*args, **kwargs):
+        token = _job_folders.set([])
+        try:
+            return job(*args, **kwargs)
+        finally:
+            folders = _job_folders.get()
+            _job_folders.reset(token)
+            for spark, path in folders:
+                delete_folder(spark, path)
+
+    return run
 
 
 def write_and_read(df: DataFrame, label: str) -> DataFrame:

@@ -6,6 +6,8 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
+from stockloom.functions import newsvendor
+
 AGGREGATIONS = ("mean", "std", "min", "max", "sum")
 DISTRIBUTIONS = ("empirical", "normal", "poisson")
 
@@ -14,9 +16,28 @@ class SettingsError(ValueError):
     """A parameter is outside its allowed range."""
 
 
-def _require(condition: bool, message: str) -> None:
-    if not condition:
-        raise SettingsError(message)
+def _refuse(name: str, value: object, why: str) -> None:
+    raise SettingsError(f"{name} = {value!r}: {why}")
+
+
+def _counts(**values: int) -> None:
+    """Each is a number of days, rows or draws."""
+    for name, value in values.items():
+        if value < 1:
+            _refuse(name, value, "a count starts at one")
+
+
+def _shares(open_ends: bool, **values: float) -> None:
+    """Each is a share of a whole; with ``open_ends`` neither nothing nor all of it."""
+    for name, value in values.items():
+        if not 0 <= value < 1 or (open_ends and value == 0):
+            _refuse(name, value, "not a proper share")
+
+
+def _filled(**values: tuple) -> None:
+    for name, value in values.items():
+        if not value:
+            _refuse(name, value, "nothing to work with")
 
 
 @dataclass(frozen=True)
@@ -44,14 +65,16 @@ class FeatureSpec:
     numeric_features: tuple[str, ...] = ("sell_price",)
 
     def __post_init__(self) -> None:
-        _require(len(self.group_columns) >= 1, "group_columns must not be empty")
-        _require(len(self.lags) >= 1, "lags must not be empty")
-        _require(all(n >= 1 for n in self.lags), f"lags must be >= 1, got {self.lags}")
-        _require(len(self.windows) >= 1, "windows must not be empty")
-        _require(all(n >= 1 for n in self.windows), f"windows must be >= 1, got {self.windows}")
-        _require(len(self.aggregations) >= 1, "aggregations must not be empty")
-        unknown = [a for a in self.aggregations if a not in AGGREGATIONS]
-        _require(not unknown, f"unknown aggregations {unknown}; choose from {AGGREGATIONS}")
+        _filled(
+            group_columns=self.group_columns,
+            lags=self.lags,
+            windows=self.windows,
+            aggregations=self.aggregations,
+        )
+        # A lag or window of zero rows would let a row see its own day.
+        _counts(**{f"lag {n}": n for n in self.lags}, **{f"window {n}": n for n in self.windows})
+        for name in {*self.aggregations} - {*AGGREGATIONS}:
+            _refuse("aggregations", name, f"known are {', '.join(AGGREGATIONS)}")
 
     @property
     def lag_names(self) -> list[str]:
@@ -90,6 +113,7 @@ class FeatureSpec:
 class CostSpec:
     """Unit economics as shares of the sell price."""
 
+    # The usual assumptions.
     currency: str = "USD"
     unit_cost_ratio: float = 0.65
     salvage_ratio: float = 0.35
@@ -97,23 +121,26 @@ class CostSpec:
     stockout_penalty_ratio: float = 0.10
 
     def __post_init__(self) -> None:
-        _require(0 < self.unit_cost_ratio < 1, "unit_cost_ratio must lie in (0, 1)")
-        _require(0 <= self.salvage_ratio < 1, "salvage_ratio must lie in [0, 1)")
-        _require(0 <= self.holding_cost_ratio < 1, "holding_cost_ratio must lie in [0, 1)")
-        _require(self.stockout_penalty_ratio >= 0, "stockout_penalty_ratio must be >= 0")
-        _require(self.salvage_ratio < self.unit_cost_ratio, "salvage_ratio must be < unit_cost_ratio")
+        _shares(True, unit_cost_ratio=self.unit_cost_ratio)
+        _shares(False, salvage_ratio=self.salvage_ratio, holding_cost_ratio=self.holding_cost_ratio)
+        if self.stockout_penalty_ratio < 0:
+            _refuse("stockout_penalty_ratio", self.stockout_penalty_ratio, "a penalty, not a reward")
+        if self.salvage_ratio >= self.unit_cost_ratio:
+            _refuse("salvage_ratio", self.salvage_ratio, "leftovers would pay for themselves")
 
     @property
     def understock_ratio(self) -> float:
-        return (1.0 - self.unit_cost_ratio) + self.stockout_penalty_ratio
+        return newsvendor.understock_ratio(self.unit_cost_ratio, self.stockout_penalty_ratio)
 
     @property
     def overstock_ratio(self) -> float:
-        return (self.unit_cost_ratio - self.salvage_ratio) + self.holding_cost_ratio
+        return newsvendor.overstock_ratio(
+            self.unit_cost_ratio, self.salvage_ratio, self.holding_cost_ratio
+        )
 
     @property
     def critical_fractile(self) -> float:
-        return self.understock_ratio / (self.understock_ratio + self.overstock_ratio)
+        return newsvendor.balance(self.understock_ratio, self.overstock_ratio)
 
 
 @dataclass(frozen=True)
@@ -127,16 +154,18 @@ class ForecastSpec:
     origin_stride_days: int = 7
 
     def __post_init__(self) -> None:
-        _require(self.horizon_days >= 1, "horizon_days must be >= 1")
-        _require(len(self.quantiles) >= 1, "quantiles must not be empty")
-        _require(all(0 < q < 1 for q in self.quantiles), "quantiles must lie strictly in (0, 1)")
-        _require(
-            list(self.quantiles) == sorted(set(self.quantiles)), "quantiles must strictly increase"
+        _counts(
+            horizon_days=self.horizon_days,
+            test_size_days=self.test_size_days,
+            validation_size_days=self.validation_size_days,
+            origin_stride_days=self.origin_stride_days,
         )
-        _require(0.5 in self.quantiles, "quantiles must include the median, 0.5")
-        _require(self.test_size_days >= 1, "test_size_days must be >= 1")
-        _require(self.validation_size_days >= 1, "validation_size_days must be >= 1")
-        _require(self.origin_stride_days >= 1, "origin_stride_days must be >= 1")
+        _filled(quantiles=self.quantiles)
+        _shares(True, **{f"quantile {q}": q for q in self.quantiles})
+        if any(a >= b for a, b in zip(self.quantiles, self.quantiles[1:], strict=False)):
+            _refuse("quantiles", self.quantiles, "each must exceed the one before")
+        if 0.5 not in self.quantiles:
+            _refuse("quantiles", self.quantiles, "the accuracy measures need the median")
 
     def trained_quantiles(self, costs: CostSpec) -> list[float]:
         return sorted({*self.quantiles, costs.critical_fractile})
@@ -162,19 +191,17 @@ class ReplaySpec:
     embargo_days: int = 0
 
     def __post_init__(self) -> None:
-        _require(0 < self.service_level < 1, "service_level must lie in (0, 1)")
-        _require(self.lead_time_days >= 1, "lead_time_days must be >= 1")
-        _require(self.review_period_days >= 1, "review_period_days must be >= 1")
-        _require(
-            self.demand_distribution in DISTRIBUTIONS,
-            f"demand_distribution must be one of {DISTRIBUTIONS}",
-        )
-        _require(self.n_simulations >= 1, "n_simulations must be >= 1")
-        _require(
-            self.baseline_window_days is None or self.baseline_window_days >= 1,
-            "baseline_window_days must be >= 1",
+        _shares(True, service_level=self.service_level)
+        _counts(
+            lead_time_days=self.lead_time_days,
+            review_period_days=self.review_period_days,
+            n_simulations=self.n_simulations,
+            baseline_window_days=1 if self.baseline_window_days is None else self.baseline_window_days,
         )
-        _require(self.embargo_days >= 0, "embargo_days must be >= 0")
+        if self.demand_distribution not in DISTRIBUTIONS:
+            _refuse("demand_distribution", self.demand_distribution, f"known are {', '.join(DISTRIBUTIONS)}")
+        if self.embargo_days < 0:
+            _refuse("embargo_days", self.embargo_days, "cannot reach into the test days")
 
     @property
     def window_days(self) -> int:

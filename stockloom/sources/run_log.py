@@ -22,14 +22,20 @@ def run_rows(
     run_id: str | None = None,
     started_at: datetime | None = None,
 ) -> DataFrame:
-    """Log rows of one run from its flat metrics (name, value) and its parameters."""
+    """Log rows of one run from its metrics (name, quantile, value) and its parameters."""
     run_id = run_id or uuid.uuid4().hex
     started_at = started_at or datetime.now(timezone.utc)
     listed = spark.createDataFrame(
         [(k, str(v)) for k, v in params.items()], "name string, param string"
-    ).select(F.lit("param").alias("kind"), "name", "param", F.lit(None).alias("metric"))
+    ).select(
+        F.lit("param").alias("kind"),
+        "name",
+        F.lit(None).cast("double").alias("quantile"),
+        "param",
+        F.lit(None).alias("metric"),
+    )
     measured = metrics.select(
-        F.lit("metric").alias("kind"), "name", F.lit(None).alias("param"), F.col("value")
+        F.lit("metric").alias("kind"), "name", "quantile", F.lit(None).alias("param"), "value"
     )
     return schemas.conform(
         listed.unionAll(measured).select(
@@ -58,5 +64,10 @@ def latest_run(log: DataFrame, experiment: str) -> DataFrame:
 
 
 def run_metrics(run: DataFrame) -> DataFrame:
-    """Flat metrics (name, value) of one run's log rows."""
-    return run.where("kind = 'metric'").select("name", F.col("metric").alias("value"))
+    """Metrics (name, quantile, value) of one run's log rows."""
+    return run.where("kind = 'metric'").select("name", "quantile", F.col("metric").alias("value"))
+
+
+def run_identity(run: DataFrame) -> DataFrame:
+    """run_id, started_at of one run's log rows; no row without a run."""
+    return run.select("run_id", "started_at").distinct()

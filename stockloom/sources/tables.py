@@ -1,13 +1,26 @@
-"""Named Parquet tables under one folder."""
+"""Named Parquet tables under one folder.
+
+A table that is replaced as a whole gets a new folder for each version. A manifest row, written
+last, makes the version the current one: a write that dies leaves the old version in place, and
+readers that have planned on it can finish. The version before the current one is kept, older ones
+are deleted. Tables that only grow are folders that are appended to.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockloom.session import delete_folder
+
+VERSIONS = "table_versions"
+_VERSION_SCHEMA = "name string, number int, folder string"
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -16,19 +29,27 @@ class Tables:
     spark: SparkSession
     root: str
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _versions(self, name: str) -> list:
+        """Number and folder of the table's versions, newest first; one row for each rewrite."""
+        rows = self._scan(f"{self.root}/{VERSIONS}", _VERSION_SCHEMA)
+        if rows is None:
+            return []
+        return rows.where(F.col("name") == name).orderBy(F.desc("number")).collect()
 
-    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
-        """A scan of the table, or None if it was never written."""
+    def _scan(self, path: str, schema: T.StructType | str | None) -> DataFrame | None:
         reader = self.spark.read if schema is None else self.spark.read.schema(schema)
         try:
-            return reader.parquet(self.path(name))
+            return reader.parquet(path)
         except AnalysisException as error:
             if any(c in str(error) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
                 return None
             raise
 
+    def read(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
+        """A scan of the table's current version, or None if it was never written."""
+        versions = self._versions(name)
+        return self._scan(f"{self.root}/{versions[0].folder if versions else name}", schema)
+
     def require(self, name: str) -> DataFrame:
         table = self.read(name)
         if table is None:
@@ -36,9 +57,16 @@ class Tables:
         return table
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the table anew and return a scan of it. ``df`` must not read the same table."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        """Write the table anew, make that its current version and return a scan of it."""
+        versions = self._versions(name)
+        folder = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{folder}")
+        number = versions[0].number + 1 if versions else 1
+        entry = self.spark.createDataFrame([(name, number, folder)], _VERSION_SCHEMA)
+        self.append(VERSIONS, entry.coalesce(1))
+        for old in versions[1:]:
+            delete_folder(self.spark, f"{self.root}/{old.folder}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
 
     def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self.path(name))
+        df.write.mode("append").parquet(f"{self.root}/{name}")

@@ -1,6 +1,7 @@
 """A local session and a small set of raw retail files with the defects that real ones have."""
 
 import csv
+import functools
 import sys
 import zlib
 from datetime import date, timedelta
@@ -10,6 +11,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from stockloom.operators.forest import ForestQuantiles  # noqa: E402
 from stockloom.plans import jobs  # noqa: E402
 from stockloom.session import local_session  # noqa: E402
 from stockloom.settings import ForecastSpec, ReplaySpec  # noqa: E402
@@ -19,6 +21,7 @@ from stockloom.sources.tables import Tables  # noqa: E402
 SMALL_FORECAST = ForecastSpec(
     horizon_days=5, test_size_days=3, validation_size_days=3, origin_stride_days=1
 )
+SMALL_FOREST = functools.partial(ForestQuantiles, trees=4, depths=(3,), min_leaf_rows=5)
 SMALL_REPLAY = ReplaySpec(service_level=0.9, lead_time_days=3, n_simulations=200)
 
 STATE = {"harbour": "WI", "market": "CA", "station": "NY"}

@@ -17,7 +17,7 @@ from stockloom.plans import jobs
 from stockloom.settings import CostSpec, ReplaySpec
 from stockloom.sources import snapshots
 from stockloom.sources.tables import Tables
-from tests.conftest import SERIES, SMALL_FORECAST, SMALL_REPLAY, lead_pairs, project_dataset
+from tests.conftest import SERIES, SMALL_FOREST, SMALL_FORECAST, SMALL_REPLAY, lead_pairs, project_dataset
 
 COSTS = CostSpec()
 PAIRS = lead_pairs()
@@ -204,9 +204,9 @@ def test_series_without_history_are_left_out_of_both(dataset):
 
 def test_impossible_parameters_raise(project, dataset):
     with pytest.raises(decisions.DecisionError, match="no rows available"):
-        jobs.simulate(project, replace(SMALL_REPLAY, lead_time_days=1000), forecast=SMALL_FORECAST)
+        jobs.simulate(project, replace(SMALL_REPLAY, lead_time_days=1000), forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
     with pytest.raises(decisions.DecisionError, match="no rows available"):
-        jobs.recommend(project, 1000, forecast=SMALL_FORECAST)
+        jobs.recommend(project, 1000, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
     with pytest.raises(decisions.DecisionError, match="no test rows survive"):
         spec = replace(SMALL_REPLAY, review_period_days=10_000)
         decisions.replay(dataset, spec, COSTS, SMALL_FORECAST, SeasonalQuantiles)
@@ -244,17 +244,18 @@ def test_report_before_and_after_the_other_jobs(spark, raw_dir, tmp_path):
     costs = early["cost_assumptions"].first()
     assert costs.currency == "USD" and costs.critical_fractile == pytest.approx(0.45 / 0.77)
 
-    jobs.train(tables, forecast=SMALL_FORECAST)
+    jobs.train(tables, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
     for validation in (3, 4):  # the second run replaces the first
         forecast = replace(SMALL_FORECAST, validation_size_days=validation)
-        advice = jobs.recommend(tables, 3, forecast=forecast)
-    results = jobs.simulate(tables, SMALL_REPLAY, forecast=SMALL_FORECAST)
+        advice = jobs.recommend(tables, 3, forecaster=SMALL_FOREST, forecast=forecast)
+    results = jobs.simulate(tables, SMALL_REPLAY, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
     tested = sorted({d for _, _, d in PAIRS})[-3:]
     assert advice.count() == len(ADVISED)
     assert results.count() == 2 * sum(d in tested for _, _, d in PAIRS)
     assert advice.select("snapshot_table").distinct().collect()[0][0] == "feature_store_v1"
 
     late = {k: v.collect() for k, v in jobs.report(tables).items()}
+    assert late["skipped_decisions"] == [] and len(late["forecast_run"]) == 1
     summary, tiles = late["recommendation_summary"][0], late["kpi_tiles"][0]
     assert summary.n_recommendations == len(ADVISED) and summary.snapshot_table == "feature_store_v1"
     assert tiles.total_order_quantity == pytest.approx(summary.total_order_quantity)
@@ -272,6 +273,29 @@ def test_report_before_and_after_the_other_jobs(spark, raw_dir, tmp_path):
     assert tiles.wape == pytest.approx(wape)
 
 
+def test_jobs_leave_no_intermediate_tables(spark, project):
+    from pathlib import Path
+
+    from stockloom.session import shared_folder
+
+    left = Path(shared_folder(spark)) / "stockloom"
+    before = set(left.iterdir())
+    jobs.recommend(project, 3, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
+    with pytest.raises(decisions.DecisionError):
+        jobs.recommend(project, 1000, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
+    assert set(left.iterdir()) == before
+
+
+def test_series_without_history_are_counted(dataset):
+    bounds = split.chronological_bounds(dataset, 3, 3)
+    known = F.col("origin_date") < F.lit(bounds.test_start)
+    new = (F.col("store_id") == "market") & (F.col("sku_id") == "rye")
+    skipped = decisions.skipped_decisions(dataset.where(~(known & new)), SMALL_REPLAY, SMALL_FORECAST)
+    tested = sorted({d for _, _, d in PAIRS})[-3:]
+    n = sum(k[:2] == ("market", "rye") and k[2] in tested for k in PAIRS)
+    assert [tuple(r) for r in skipped.collect()] == [("market", "rye", n)]
+
+
 def test_savings_need_both_policies(spark):
     rows = spark.createDataFrame([("ml_quantile", 3.0)], "policy string, cost double")
     assert reports.policy_savings(rows).first().savings is None
@@ -288,9 +312,9 @@ def test_recommend_uses_the_named_or_newest_snapshot(spark, raw_dir, tmp_path):
     jobs.ingest_raw(tables, str(raw_dir))
     jobs.build_features(tables)
     jobs.build_features(tables)
-    newest = jobs.recommend(tables, 3, forecast=SMALL_FORECAST)
+    newest = jobs.recommend(tables, 3, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST)
     assert newest.first().snapshot_table == "feature_store_v2"
-    named = jobs.recommend(tables, 3, forecast=SMALL_FORECAST, snapshot="feature_store_v1")
+    named = jobs.recommend(tables, 3, forecaster=SMALL_FOREST, forecast=SMALL_FORECAST, snapshot="feature_store_v1")
     assert named.first().snapshot_table == "feature_store_v1"
     with pytest.raises(snapshots.SnapshotError):
         jobs.simulate(tables, ReplaySpec(), snapshot="feature_store_v7")

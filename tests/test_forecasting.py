@@ -16,7 +16,7 @@ from stockloom.operators.seasonal import SeasonalQuantiles
 from stockloom.plans import jobs
 from stockloom.settings import CostSpec, FeatureSpec
 from stockloom.sources import run_log, snapshots
-from tests.conftest import SMALL_FORECAST, project_dataset
+from tests.conftest import SMALL_FOREST, SMALL_FORECAST, project_dataset
 
 SPEC = FeatureSpec()
 KEY = ["store_id", "sku_id", "origin_date", "horizon"]
@@ -169,12 +169,12 @@ def test_forest_quantiles_against_a_direct_computation(spark, project):
     model = ForestQuantiles(levels, trees=5, depths=(3,), min_leaf_rows=5).fit(train, train)
     predicted = {tuple(r[k] for k in KEY): r for r in model.predict(test).collect()}
 
-    def leaves(rows):
-        reached = model.forest.transform(forests._assembled(rows, SPEC, model.means))
+    def leaves(rows, training=False):
+        reached = model.forest.transform(forests._assembled(rows, SPEC, model.means, training))
         return reached.withColumn("leaves", vector_to_array("_leaf")).collect()
 
     per_leaf = {}
-    for row in leaves(train):
+    for row in leaves(train, training=True):
         for tree, leaf in enumerate(row.leaves):
             per_leaf.setdefault((tree, leaf), []).append(row.target)
     scored = leaves(test)
@@ -185,6 +185,22 @@ def test_forest_quantiles_against_a_direct_computation(spark, project):
         assert [got[quantile_column(q)] for q in levels] == pytest.approx(list(np.mean(own, axis=0)))
 
 
+def test_a_training_row_is_not_described_by_its_own_target(spark):
+    rows = [("s", "a", date(2021, 1, 1) + timedelta(days=i), i) for i in range(40)] + [("s", None, date(2021, 1, 1), 7)]
+    train = spark.createDataFrame(rows, "store_id string, sku_id string, origin_date date, target int")
+    keys = ("store_id", "sku_id", "origin_date")
+    means = forests.TargetMeans.fit(train, ["sku_id"], keys)
+    folds = {r.origin_date: r.f for r in train.where("sku_id = 'a'").select("origin_date", forests._fold(keys).alias("f")).collect()}
+    found = means.apply(train, training=True).collect()
+    assert len(found) == 41
+    for r in found:
+        others = [t for _, k, d, t in rows if k == r.sku_id and (k is None or folds[d] != folds[r.origin_date])]
+        expected = np.mean([t for *_, t in rows]) if r.sku_id is None else np.mean(others)
+        assert r.sku_id_mean == pytest.approx(expected)
+    scored = means.apply(train).collect()
+    assert {round(r.sku_id_mean, 6) for r in scored} == {19.5, 7.0}
+
+
 def test_forest_picks_a_depth_by_validation_loss(project):
     dataset = project_dataset(project)
     bounds = split.chronological_bounds(dataset, 3, 3)
@@ -194,34 +210,33 @@ def test_forest_picks_a_depth_by_validation_loss(project):
         maker = ForestQuantiles([0.5], trees=3, depths=depths, min_leaf_rows=5)
         losses[depths] = maker._loss(maker.fit(train, validation), validation)
     assert losses[1, 4] == pytest.approx(min(losses[(1,)], losses[(4,)]))
-    with pytest.raises(ValueError, match="exceed"):
-        ForestQuantiles([0.5], trees=1000, depths=(10,))
 
 
 def test_backtest_job_logs_a_run(project):
     metrics_of = {
-        r.name: r.value
-        for r in jobs.train(project, forecast=SMALL_FORECAST, experiment="one").collect()
+        (r.name, r.quantile): r.value
+        for r in jobs.train(project, forecast=SMALL_FORECAST, forecaster=SMALL_FOREST, experiment="one").collect()
     }
-    assert metrics_of["n_train_rows"] > 0 and metrics_of["n_test_rows"] > 0
+    assert metrics_of["n_train_rows", None] > 0 and metrics_of["n_test_rows", None] > 0
     levels = SMALL_FORECAST.trained_quantiles(CostSpec())
-    tags = [quantile_column(q)[2:] for q in levels]
-    assert all(metrics_of[f"pinball_q{t}"] >= 0 for t in tags)
-    assert all(0 <= metrics_of[f"coverage_q{t}"] <= 1 for t in tags)
+    assert all(metrics_of["pinball", q] >= 0 for q in levels)
+    assert all(0 <= metrics_of["coverage", q] <= 1 for q in levels)
     log = run_log.runs(project)
     run = run_log.latest_run(log, "one")
     params = {r.name: r.param for r in run.where("kind = 'param'").collect()}
     assert params["snapshot_table"] == "feature_store_v1" and params["horizon_days"] == "5"
     table = backtest.quantile_accuracy(run_log.run_metrics(run)).orderBy("quantile").collect()
     assert [r.quantile for r in table] == pytest.approx(levels)
-    assert [r.pinball for r in table] == pytest.approx([metrics_of[f"pinball_q{t}"] for t in tags])
-    jobs.train(project, forecast=SMALL_FORECAST, experiment="one")
+    assert [r.pinball for r in table] == pytest.approx([metrics_of["pinball", q] for q in levels])
+    jobs.train(project, forecast=SMALL_FORECAST, forecaster=SeasonalQuantiles, experiment="one")
     later = run_log.latest_run(run_log.runs(project), "one").first()
     assert later.run_id != run.first().run_id
+    (named,) = run_log.run_identity(run).collect()
+    assert named.run_id == run.first().run_id and named.started_at < later.started_at
     assert run_log.latest_run(log, "none").isEmpty()
 
 
 def test_missing_measure_is_nan(spark):
-    flat = spark.createDataFrame([("pinball_q0_5", 1.0), ("wape", 2.0)], "name string, value double")
+    flat = spark.createDataFrame([("pinball", 0.5, 1.0), ("wape", None, 2.0)], "name string, quantile double, value double")
     (row,) = backtest.quantile_accuracy(flat).collect()
     assert row.quantile == 0.5 and row.pinball == 1.0 and math.isnan(row.coverage)
