@@ -18,6 +18,7 @@ from stockloom.llm import (
     secrets,
     sentences,
 )
+from stockloom.llm.oracle import ORACLES  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -113,4 +114,3 @@ QUERIES = {
     "op9_decontaminate": decontaminate,
     "op10_quality": quality_scores,
 }
-ORACLES: dict[str, str] = {}
