@@ -12,10 +12,12 @@ frequent, so the largest come first, and a deletion neighbourhood replaces subse
 n-gram. Sets index all their segments in their own band only.
 
 Equal sets are one node. Rows with equal signatures meet; a bucket's first node is compared with all
-others, exactly, and what is linked becomes a component. In the buckets that still hold several
-components, all pairs across them are compared unless sizes or 256-bit parity sketches rule them out
-(a sketch differs in no more bits than the sets differ in n-grams). No pair inside a component is
-listed, so a group of copies costs its size, not its square; no link between components is lost.
+others, exactly, and what is linked becomes a component. Where a bucket still holds several
+components, each node is compared with the one of another component whose 512-bit parity sketch is
+nearest (a sketch differs in no more bits than the sets differ in n-grams). At last, in buckets with
+several components even then, all pairs across them are compared unless sizes or sketches rule them
+out. No pair inside a component is listed, so a group of copies costs its size, not its square; no
+link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from stockloom.llm.storage import Scratch
 
 DELETED = 2  # segments with indexed one-deletion neighbourhoods
 SEPARATORS = r"[\x20\x09-\x0D]"
-_WORDS = 4  # 64-bit words of a parity sketch
+_WORDS = 8  # 64-bit words of a parity sketch; a power of two
 
 
 @dataclass(frozen=True)
@@ -220,7 +222,7 @@ def sketch(own: np.ndarray) -> np.ndarray:
     bit = T.mix(own ^ np.uint64(77))
     words = np.zeros(_WORDS, np.uint64)
     np.bitwise_xor.at(
-        words, (bit >> np.uint64(62)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+        words, (bit >> np.uint64(61)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
     )
     return words
 
@@ -251,7 +253,8 @@ def _detail(n: int):
     return detail
 
 
-_DETAIL = "node long, n long, s0 long, s1 long, s2 long, s3 long, grams binary"
+_SKETCH = tuple(f"s{i}" for i in range(_WORDS))
+_DETAIL = f"node long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, grams binary"
 
 
 def _possible(threshold: Threshold) -> Column:
@@ -284,13 +287,15 @@ def _verify(pairs: DataFrame, details: DataFrame, threshold: Threshold) -> DataF
     return sets.select("a", "b", "grams_a", "grams_b").mapInArrow(_linked(threshold), "a long, b long")
 
 
-def _across(threshold: Threshold):
-    """Pairs of different components in a bucket, one of which asks, that sizes and sketches allow;
-    rows come sorted by signature."""
+def _across(threshold: Threshold, nearest: bool):
+    """Pairs of different components in a bucket, one of which asks, that sizes and sketches allow:
+    all of them, or for each node the one with the nearest sketch. Rows come sorted by signature."""
 
     def solve(columns: list[np.ndarray]):
         signature, node, asks, label, n = columns[:5]
         words = np.stack(columns[5:], axis=1).view(np.uint64)
+        best = np.full(len(node), np.iinfo(np.int64).max)
+        partner = np.full(len(node), -1)
         for step in range(1, len(signature)):
             left = np.flatnonzero(signature[step:] == signature[:-step])
             if not len(left):
@@ -301,11 +306,21 @@ def _across(threshold: Threshold):
             keep &= small * threshold.den >= large * threshold.num
             left, right, most = left[keep], right[keep], threshold.difference(small + large)[keep]
             bits = np.bitwise_count(words[left] ^ words[right]).sum(axis=1)
-            left, right = left[bits <= most], right[bits <= most]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(node[left], node[right])), pa.array(np.maximum(node[left], node[right]))],
-                names=["a", "b"],
-            )
+            near = bits <= most
+            left, right, bits = left[near], right[near], bits[near]
+            if not nearest:
+                yield pairs(node[left], node[right])
+                continue
+            for one, other in ((left, right), (right, left)):  # each row is there once a step
+                closer = bits < best[one]
+                best[one[closer]], partner[one[closer]] = bits[closer], other[closer]
+        if nearest:
+            found = np.flatnonzero(partner >= 0)
+            yield pairs(node[found], node[partner[found]])
+
+    def pairs(one: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
     def across(batches):
         held = None
@@ -409,7 +424,7 @@ def _components(
         .select("node", "text")
         .mapInArrow(_detail(words), _DETAIL)
     )
-    sizes = ("n", *(f"s{i}" for i in range(_WORDS)))
+    sizes = ("n", *_SKETCH)
     stars = scratch.store(
         shared.where("node != leader")
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
@@ -420,26 +435,32 @@ def _components(
         .select("a", "b")
     )
     links = scratch.store(_verify(stars, details, threshold))
-    labels = components(links, scratch)
-    labelled = (
-        shared.join(labels, "node", "left")
-        .select("signature", "node", "asks", F.coalesce("component", "node").alias("label"))
+    labels, compared = components(links, scratch), stars
+    for nearest in (True, False):
+        pairs = scratch.store(
+            _open_rows(shared, labels, details.select("node", *sizes))
+            .repartition("signature")
+            .sortWithinPartitions("signature")
+            .mapInArrow(_across(threshold, nearest), "a long, b long")
+            .distinct()
+            .join(compared, ["a", "b"], "left_anti")
+        )
+        more = scratch.store(_verify(pairs, details, threshold))
+        compared = compared.unionByName(pairs)
+        if not more.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = components(known.unionByName(more), scratch)
+    return labels
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with sizes and sketches."""
+    labelled = shared.join(labels, "node", "left").select(
+        "signature", "node", "asks", F.coalesce("component", "node").alias("label")
     )
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    open_rows = (
+    return (
         labelled.join(mixed.where("x != y").select("signature"), "signature", "left_semi")
-        .join(details.select("node", *sizes), "node")
-        .select("signature", "node", "asks", "label", *sizes)
-    )
-    pairs = (
-        open_rows.repartition("signature")
-        .sortWithinPartitions("signature")
-        .mapInArrow(_across(threshold), "a long, b long")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(sizes, "node")
+        .select("signature", "node", "asks", "label", *[c for c in sizes.columns if c != "node"])
     )
-    more = scratch.store(_verify(pairs, details, threshold))
-    if more.isEmpty():
-        return labels
-    known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(known.unionByName(more), scratch)
