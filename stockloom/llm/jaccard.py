@@ -18,6 +18,10 @@ nearest (a sketch differs in no more bits than the sets differ in n-grams). At l
 several components even then, all pairs across them are compared unless sizes or sketches rule them
 out. No pair inside a component is listed, so a group of copies costs its size, not its square; no
 link between components is lost.
+
+How many links a document has is counted afterwards inside each component, where all links lie: its
+sets are cut into blocks, every pair of blocks is one product of incidence matrices, and only sums
+per set leave the task.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from stockloom.llm.storage import Scratch
 
 DELETED = 2  # segments with indexed one-deletion neighbourhoods
 SEPARATORS = r"[\x20\x09-\x0D]"
+BLOCK = 256  # sets of a component in one block
+_COLUMNS = 4096  # n-grams that one product covers
 _WORDS = 8  # 64-bit words of a parity sketch; a power of two
 
 
@@ -352,18 +358,31 @@ def _by_size(columns: list[np.ndarray], solve):
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per row of ``docs``.
+    """``doc_id, n_shingles, component_id, n_links`` per row of ``docs``.
 
     A document's set holds its distinct shingles of ``words`` words (lower-cased A-Z, split at ASCII
     white space); with fewer words, the whole sequence. Documents link if their sets' Jaccard
     similarity reaches ``similarity`` (a fraction); ``component_id`` is the smallest ``doc_id``
-    reachable by links. A document without words (null, empty, blank) links with nothing and is its
+    reachable by links and ``n_links`` the number of rows it links with. A document without words (null, empty, blank) links with nothing and is its
     own component. Rows with one id are separate documents; a row without id takes part in links
     and is reported with the id of its component. Other columns are ignored.
     """
-    named, least = _labelled(docs, words, similarity)
-    return named.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least.doc_id", "doc_id").alias("component_id")
+    threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
+    info, labels, details = _joined(docs, words, threshold, scratch)
+    named, least = _labelled(info, labels)
+    copies = info.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    counted = copies.join(_links(details, labels, copies, threshold), "node", "left").select(
+        "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+    )
+    return (
+        named.join(least, "label", "left")
+        .join(counted, "node", "left")
+        .select(
+            "doc_id",
+            F.col("n").alias("n_shingles"),
+            F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+            F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"),
+        )
     )
 
 
@@ -371,7 +390,9 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80,
     """``docs`` with one row of each component of :func:`near_duplicates`: that of the smallest
     ``doc_id`` (null last, then by the text's hash). All columns stay, and so do documents without
     words. Of rows with the same id and text, one stays."""
-    named, least = _labelled(docs, words, similarity)
+    threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
+    info, labels, _ = _joined(docs, words, threshold, scratch)
+    named, least = _labelled(info, labels)
     gone = named.join(least, "label").where(
         ~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
     )
@@ -387,25 +408,111 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80,
     return left.select(*docs.columns)
 
 
-def _labelled(docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Per row its ``label`` (null without words), and per label its first row's id and text hash."""
-    threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
+def _joined(
+    docs: DataFrame, words: int, threshold: Threshold, scratch: Scratch
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per row its node and set size; components of the linked nodes; sets of the candidates."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     info = scratch.store(
         rows.mapInArrow(_describe(words), "doc_id long, text_key long, node long, n long")
     )
-    labels = _components(rows, info, words, threshold, scratch)
+    return info, *_components(rows, info, words, threshold, scratch)
+
+
+def _labelled(info: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per row its ``label`` (null without words), and per label its first row's id and text hash."""
     label = F.when(F.col("n") == 0, None).otherwise(F.coalesce("component", "node"))
-    named = info.join(labels, "node", "left").select("doc_id", "text_key", "n", label.alias("label"))
+    named = info.join(labels, "node", "left").select("doc_id", "text_key", "node", "n", label.alias("label"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("least"))
     return named, least
 
 
+def _links(
+    details: DataFrame, labels: DataFrame, copies: DataFrame, threshold: Threshold
+) -> DataFrame:
+    """``node, links``: the rows of other nodes that each node links with."""
+    members = labels.groupBy("component").agg(F.count("*").alias("members"))
+    own = labels.join(members, "component").select(
+        "node",
+        "component",
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+    )
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = (
+        details.select("node", "grams")
+        .join(own, "node")
+        .join(copies, "node")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "component",
+            F.least("block", "other").alias("i"),
+            F.greatest("block", "other").alias("j"),
+            "block",
+            "node",
+            "copies",
+            "grams",
+        )
+    )
+    pairs_of = ("component", "i", "j")
+    return (
+        rows.repartition(*pairs_of)
+        .sortWithinPartitions(*pairs_of)
+        .mapInArrow(_count_links(threshold), "node long, links long")
+        .groupBy("node")
+        .agg(F.sum("links").alias("links"))
+    )
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs."""
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    common = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2 ** 24
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for begin in range(0, int(place[-1]) + 1, _COLUMNS):
+        a, b = np.searchsorted(place, (begin, begin + _COLUMNS))
+        part = np.zeros((len(sets), _COLUMNS), np.float32)
+        part[owner[a:b], place[a:b] - begin] = 1
+        common += part @ part.T
+    return common.astype(np.int64)
+
+
+def _count_links(threshold: Threshold):
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        _, i, j, block, node, copies, grams = zip(*rows, strict=True)
+        sets = [np.frombuffer(g, np.uint64) for g in grams]
+        size, common = np.array([len(s) for s in sets]), _common(sets)
+        either = size[:, None] + size[None, :] - common
+        linked = threshold.den * common >= threshold.num * either
+        np.fill_diagonal(linked, False)
+        if i[0] != j[0]:  # pairs inside a block are counted where it meets itself
+            side = np.array(block)
+            linked &= side[:, None] != side[None, :]
+        return pa.RecordBatch.from_pydict(
+            {"node": pa.array(node, pa.int64()), "links": pa.array(linked @ np.array(copies))}
+        )
+
+    def count(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield solve(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield solve(held)
+
+    return count
+
+
 def _components(
     rows: DataFrame, info: DataFrame, words: int, threshold: Threshold, scratch: Scratch
-) -> DataFrame:
-    """``node, component`` of the nodes that have links."""
+) -> tuple[DataFrame, DataFrame]:
+    """``node, component`` of the nodes that have links, and sets and sketches of all candidates."""
     signed = rows.select("text").mapInArrow(
         _sign(words, threshold), "signature long, node long, asks boolean"
     )
@@ -450,7 +557,7 @@ def _components(
         if not more.isEmpty():
             known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(known.unionByName(more), scratch)
-    return labels
+    return labels, details
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:

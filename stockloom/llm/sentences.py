@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from stockloom.llm.storage import Scratch
 
 SPAN = 3
-WORDS = 50
+WORDS = 25
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+\s*|$)")
 _MASK = (1 << 64) - 1
 

@@ -13,7 +13,7 @@ from stockloom.llm import jaccard, repeats, sentences
 from stockloom.llm import text as T
 from stockloom.llm.components import components
 from stockloom.llm.storage import Scratch
-from tests.llm.conftest import messy_rows, prose
+from tests.llm.conftest import edited, messy_rows, prose
 
 
 def grams(text, n):
@@ -25,8 +25,9 @@ def grams(text, n):
 
 
 def direct_components(rows, n, num, den):
-    """(n_shingles, component) per row; the smallest id that links reach."""
+    """(id, n_shingles, component, links) per row; the component is the smallest id that links reach."""
     sets, group = [grams(r[1], n) for r in rows], list(range(len(rows)))
+    links = [0] * len(rows)
 
     def find(a):
         while group[a] != a:
@@ -38,12 +39,14 @@ def direct_components(rows, n, num, den):
             b = sets[j]
             if a and b and den * len(a & b) >= num * len(a | b):
                 group[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, row in enumerate(rows):
         if row[0] is not None:
             least[find(i)] = min(least.get(find(i), row[0]), row[0])
     return [
-        (row[0], len(s), least.get(find(i), row[0]) if s else row[0])
+        (row[0], len(s), least.get(find(i), row[0]) if s else row[0], links[i])
         for i, (row, s) in enumerate(zip(rows, sets, strict=True))
     ]
 
@@ -59,6 +62,17 @@ def test_jaccard_join_equals_all_pairs(messy, n, num, den):
     assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
 
 
+def test_links_are_counted_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    rows = [(i, edited(prose(70, 120), i, 1 + i % 9), None) for i in range(30)]
+    rows += [(100 + i, rows[i % 3][1], None) for i in range(7)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, 4, (85, 100)).collect()
+    expected = direct_components(rows, 4, 85, 100)
+    assert sorted(map(tuple, found)) == sorted(expected)
+    assert len({n for *_, n in expected}) > 3
+
+
 def test_jaccard_join_of_nothing(nothing):
     assert jaccard.near_duplicates(nothing).collect() == []
 
@@ -68,7 +82,7 @@ def test_keep_one_leaves_one_row_of_each_group(messy):
     assert kept.columns == messy.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     expected = direct_components(messy_rows(), 5, 80, 100)
-    groups = {(i, c) for i, size, c in expected if size and i == c}
+    groups = {(i, c) for i, size, c, _ in expected if size and i == c}
     assert sorted(i for i, t in rows if grams(t, 5) and i is not None) == sorted(
         [c for _, c in groups] + [6]  # the second text of id 6 is a document of its own
     )
@@ -226,7 +240,7 @@ def direct_sentences(rows, span, words):
 def test_sentence_runs(messy):
     for row in messy.selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS h").distinct().collect():
         TEXT_HASH[(row.doc_id, row.text)] = row.h
-    expected = direct_sentences(messy_rows(), 3, 50)
+    expected = direct_sentences(messy_rows(), sentences.SPAN, sentences.WORDS)
     found = sentences.remove_repeated_sentences(messy).collect()
     assert sorted(map(str, ((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in found))) == sorted(
         str((r[0], *expected[(r[0], r[1])])) for r in messy_rows()
