@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     """
     threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
     info, labels, details = _joined(docs, words, threshold, scratch)
-    named, least = _labelled(info, labels)
+    named, least = _labelled(info, labels, scratch)
     copies = info.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
     counted = copies.join(_links(details, labels, copies, threshold), "node", "left").select(
         "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
@@ -392,7 +392,7 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80,
     words. Of rows with the same id and text, one stays."""
     threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
     info, labels, _ = _joined(docs, words, threshold, scratch)
-    named, least = _labelled(info, labels)
+    named, least = _labelled(info, labels, scratch)
     gone = named.join(least, "label").where(
         ~(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
     )
@@ -419,13 +419,18 @@ def _joined(
     return info, *_components(rows, info, words, threshold, scratch)
 
 
-def _labelled(info: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row its ``label`` (null without words), and per label its first row's id and text hash."""
+def _labelled(
+    info: DataFrame, labels: DataFrame, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """Per row its ``label`` (null without words), and per label its first row's id and text hash.
+
+    The latter is stored, so that joins to it read plain shuffles, of which Spark can split a hot
+    label's."""
     label = F.when(F.col("n") == 0, None).otherwise(F.coalesce("component", "node"))
     named = info.join(labels, "node", "left").select("doc_id", "text_key", "node", "n", label.alias("label"))
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("least"))
-    return named, least
+    return named, scratch.store(least)
 
 
 def _links(

@@ -328,7 +328,8 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
         "doc_id", "text_key", "start", (F.col("start") + F.col("size") + (length - 1)).alias("end")
     )
     firsts = repeated.where("NOT later")
-    several = firsts.groupBy("meet").agg(F.count("*").alias("n")).where("n > 1")
+    # Stored, so that the join below reads plain shuffles, of which Spark can split a hot anchor's.
+    several = scratch.store(firsts.groupBy("meet").agg(F.count("*").alias("n")).where("n > 1"))
     listed = (
         firsts.join(several, "meet")
         .groupBy("doc_id", "text_key")

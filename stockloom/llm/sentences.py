@@ -107,7 +107,10 @@ def remove_repeated_sentences(docs: DataFrame, span: int = SPAN, words: int = WO
     found = scratch.store(
         rows.mapInArrow(_runs(span, words), "run long, doc_id long, text_key long, first int, end int")
     )
-    again = found.groupBy("run").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    # Stored, so that the join below reads plain shuffles, of which Spark can split a hot run's.
+    again = scratch.store(
+        found.groupBy("run").agg(F.min(place).alias("keep"), F.count("*").alias("n")).where("n > 1")
+    )
     later = found.join(again, "run").where(place != F.col("keep"))
     spans = later.groupBy("text_key").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     return (
