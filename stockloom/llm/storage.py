@@ -32,6 +32,9 @@ class Scratch:
         self._count += 1
         path = f"{self.path}/{self._count}"
         df.write.parquet(path)
+        # Spark deletes the shuffle files of this write once the driver collects garbage; done now,
+        # they don't add up over an operator's steps.
+        self._spark.sparkContext._jvm.System.gc()
         stored = self._spark.read.schema(df.schema).parquet(path)
         stored._scratch_path = path
         return stored
