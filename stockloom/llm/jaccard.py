@@ -153,12 +153,14 @@ def _describe(n: int):
     def describe(batches):
         for batch in batches:
             for rows, sets in _sets(batch, n):
+                words = np.array([sketch(own) for own in sets], np.uint64).reshape(-1, _WORDS)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(rows.start, rows.stop - rows.start),
                         "text_key": batch.column(1).slice(rows.start, rows.stop - rows.start),
                         "node": pa.array(_node_ids(sets)),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
+                        **{s: pa.array(T.signed(words[:, i].copy())) for i, s in enumerate(_SKETCH)},
                     }
                 )
 
@@ -234,7 +236,7 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def _detail(n: int):
-    """Sets and sketches of the texts of wanted nodes; repeated rows of a task count once."""
+    """Sets of the texts of wanted nodes; repeated rows of a task count once."""
 
     def detail(batches):
         seen: set[int] = set()
@@ -246,12 +248,9 @@ def _detail(n: int):
                     if node == want and node not in seen:
                         seen.add(node)
                         found.append((node, own))
-                words = np.array([sketch(own) for _, own in found], np.uint64).reshape(-1, _WORDS)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([node for node, _ in found], pa.int64()),
-                        "n": pa.array([len(own) for _, own in found], pa.int64()),
-                        **{f"s{i}": pa.array(T.signed(words[:, i].copy())) for i in range(_WORDS)},
                         "grams": pa.array([own.tobytes() for _, own in found], pa.binary()),
                     }
                 )
@@ -260,7 +259,7 @@ def _detail(n: int):
 
 
 _SKETCH = tuple(f"s{i}" for i in range(_WORDS))
-_DETAIL = f"node long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, grams binary"
+_INFO = f"doc_id long, text_key long, node long, n long, {', '.join(f'{s} long' for s in _SKETCH)}"
 
 
 def _possible(threshold: Threshold) -> Column:
@@ -328,6 +327,38 @@ def _across(threshold: Threshold, nearest: bool):
         both = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
+    return _by_bucket(solve)
+
+
+def _possible_nodes(threshold: Threshold):
+    """Nodes with a partner in a bucket, one of the two asking, that sizes and sketches allow."""
+
+    def solve(columns: list[np.ndarray]):
+        signature, node, asks, _, n = columns[:5]
+        words = np.stack(columns[5:], axis=1).view(np.uint64)
+        found = np.zeros(len(node), bool)
+        for step in range(1, len(signature)):
+            left = np.flatnonzero(signature[step:] == signature[:-step])
+            if not len(left):
+                break
+            left = left[~(found[left] & found[left + step])]  # both are known: a group ends early
+            right = left + step
+            small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
+            keep = (asks[left] | asks[right]) & (small * threshold.den >= large * threshold.num)
+            left, right, most = left[keep], right[keep], threshold.difference(small + large)[keep]
+            near = np.bitwise_count(words[left] ^ words[right]).sum(axis=1) <= most
+            found[left[near]] = True
+            found[right[near]] = True
+            if found.all():
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[found]))], names=["node"])
+
+    return _by_bucket(solve)
+
+
+def _by_bucket(solve):
+    """Apply ``solve`` to whole buckets of rows that come sorted by signature."""
+
     def across(batches):
         held = None
         for batch in batches:
@@ -414,7 +445,7 @@ def _joined(
     """Per row its node and set size; components of the linked nodes; sets of the candidates."""
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
     info = scratch.store(
-        rows.mapInArrow(_describe(words), "doc_id long, text_key long, node long, n long")
+        rows.mapInArrow(_describe(words), _INFO)
     )
     return info, *_components(rows, info, words, threshold, scratch)
 
@@ -517,7 +548,7 @@ def _count_links(threshold: Threshold):
 def _components(
     rows: DataFrame, info: DataFrame, words: int, threshold: Threshold, scratch: Scratch
 ) -> tuple[DataFrame, DataFrame]:
-    """``node, component`` of the nodes that have links, and sets and sketches of all candidates."""
+    """``node, component`` of the nodes that have links, and the sets of all that may have some."""
     signed = rows.select("text").mapInArrow(
         _sign(words, threshold), "signature long, node long, asks boolean"
     )
@@ -528,41 +559,56 @@ def _components(
     )
     missing = F.lit(-(1 << 63))
     row_key = (F.coalesce("doc_id", missing).alias("row_id"), F.col("text_key"))
-    first = info.groupBy("node").agg(F.min(F.struct(*row_key)).alias("first"))
-    wanted = shared.select("node").distinct().join(first, "node").select("node", "first.*")
-    details = scratch.store(
+    sizes = ("n", *_SKETCH)
+    # Of the nodes that met others, few have one that sizes and sketches allow.
+    met = shared.select("node").distinct()
+    sketches = scratch.store(
+        info.groupBy("node")
+        .agg(F.min(F.struct(*row_key)).alias("first"), *[F.first(c).alias(c) for c in sizes])
+        .join(met, "node")
+    )
+    possible = (
+        shared.select("signature", "node", "asks")
+        .join(sketches.select("node", *sizes), "node")
+        .select("signature", "node", "asks", F.col("node").alias("label"), *sizes)
+        .repartition("signature")
+        .sortWithinPartitions("signature")
+        .mapInArrow(_possible_nodes(threshold), "node long")
+        .distinct()
+    )
+    wanted = scratch.store(sketches.join(possible, "node").select("node", "first.*", *sizes))
+    sets = scratch.store(
         rows.select(*row_key, "text")
-        .join(wanted, ["row_id", "text_key"])
+        .join(wanted.select("row_id", "text_key", "node"), ["row_id", "text_key"])
         .select("node", "text")
-        .mapInArrow(_detail(words), _DETAIL)
+        .mapInArrow(_detail(words), "node long, grams binary")
     )
-    sizes = ("n", *_SKETCH)
     stars = scratch.store(
         shared.where("node != leader")
         .select(F.col("leader").alias("a"), F.col("node").alias("b"))
         .distinct()
-        .join(_side(details, "a", *sizes), "a")
-        .join(_side(details, "b", *sizes), "b")
+        .join(_side(wanted, "a", *sizes), "a")
+        .join(_side(wanted, "b", *sizes), "b")
         .where(_possible(threshold))
         .select("a", "b")
     )
-    links = scratch.store(_verify(stars, details, threshold))
+    links = scratch.store(_verify(stars, sets, threshold))
     labels, compared = components(links, scratch), stars
     for nearest in (True, False):
         pairs = scratch.store(
-            _open_rows(shared, labels, details.select("node", *sizes))
+            _open_rows(shared, labels, wanted.select("node", *sizes))
             .repartition("signature")
             .sortWithinPartitions("signature")
             .mapInArrow(_across(threshold, nearest), "a long, b long")
             .distinct()
             .join(compared, ["a", "b"], "left_anti")
         )
-        more = scratch.store(_verify(pairs, details, threshold))
+        more = scratch.store(_verify(pairs, sets, threshold))
         compared = compared.unionByName(pairs)
         if not more.isEmpty():
             known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(known.unionByName(more), scratch)
-    return labels, details
+    return labels, sets
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
