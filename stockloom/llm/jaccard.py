@@ -235,6 +235,22 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return words
 
 
+def wide_sketch(own: np.ndarray) -> bytes:
+    """A parity sketch with about as many bits as the set has n-grams, a power of two."""
+    bits = 1 << max(9, (len(own) - 1).bit_length())
+    place = (T.mix(own ^ np.uint64(78)) & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the longer is folded to the shorter one's width."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _detail(n: int):
     """Sets of the texts of wanted nodes; repeated rows of a task count once."""
 
@@ -251,6 +267,8 @@ def _detail(n: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([node for node, _ in found], pa.int64()),
+                        "n": pa.array([len(own) for _, own in found], pa.int64()),
+                        "wide": pa.array([wide_sketch(own) for _, own in found], pa.binary()),
                         "grams": pa.array([own.tobytes() for _, own in found], pa.binary()),
                     }
                 )
@@ -287,8 +305,28 @@ def _side(details: DataFrame, side: str, *columns: str) -> DataFrame:
     return details.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
+def _near(threshold: Threshold):
+    def near(batches):
+        for batch in batches:
+            _, _, n_a, a, n_b, b = (c.to_pylist() for c in batch.columns)
+            keep = [
+                sketch_distance(x, y) <= threshold.difference(i + j)
+                for i, x, j, y in zip(n_a, a, n_b, b, strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return near
+
+
 def _verify(pairs: DataFrame, details: DataFrame, threshold: Threshold) -> DataFrame:
-    sets = pairs.join(_side(details, "a", "grams"), "a").join(_side(details, "b", "grams"), "b")
+    """The pairs that are linked. Wide sketches, far smaller than the sets, go to the pairs first."""
+    narrowed = (
+        pairs.join(_side(details, "a", "n", "wide"), "a")
+        .join(_side(details, "b", "n", "wide"), "b")
+        .select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
+        .mapInArrow(_near(threshold), "a long, b long")
+    )
+    sets = narrowed.join(_side(details, "a", "grams"), "a").join(_side(details, "b", "grams"), "b")
     return sets.select("a", "b", "grams_a", "grams_b").mapInArrow(_linked(threshold), "a long, b long")
 
 
@@ -581,7 +619,7 @@ def _components(
         rows.select(*row_key, "text")
         .join(wanted.select("row_id", "text_key", "node"), ["row_id", "text_key"])
         .select("node", "text")
-        .mapInArrow(_detail(words), "node long, grams binary")
+        .mapInArrow(_detail(words), "node long, n long, wide binary, grams binary")
     )
     stars = scratch.store(
         shared.where("node != leader")

@@ -118,6 +118,10 @@ def test_sketches_never_differ_more_than_the_sets():
         b = np.unique(rng.integers(0, 500, 180, dtype=np.uint64))
         bits = np.bitwise_count(jaccard.sketch(T.mix(a)) ^ jaccard.sketch(T.mix(b))).sum()
         assert bits <= len(np.setxor1d(a, b))
+        long = np.unique(rng.integers(0, 2**62, int(rng.integers(200, 3000)), dtype=np.uint64))
+        short = long[: int(rng.integers(100, len(long) + 1))]
+        wide = jaccard.sketch_distance(jaccard.wide_sketch(long), jaccard.wide_sketch(short))
+        assert wide <= len(long) - len(short)
 
 
 def test_components_of_chains_and_stars(spark):
