@@ -1,8 +1,10 @@
 """Removal of sentences that repeat elsewhere in runs.
 
-From every sentence starts one run: the fewest consecutive sentences that are ``span`` in number or
-hold ``words`` words. Runs are hashed and joined over all texts; sentences inside any run that is
-not the first of its kind (smallest document, then place) are removed.
+From every sentence starts a run of ``span`` consecutive sentences, and a shorter one where fewer
+hold ``words`` words; a text of fewer than ``span`` sentences is one run. Every sentence thus lies in
+a run, and the later of two equal texts loses all of them. Runs are hashed and joined over all
+texts; sentences inside any run that is not the first of its kind (smallest document, then place)
+are removed.
 """
 
 from __future__ import annotations
@@ -29,28 +31,26 @@ def split(text: str | None) -> list[str]:
 
 
 def runs(sentences: list[str], span: int, words: int) -> list[tuple[int, int, int]]:
-    """(hash, first, end) of the run from each sentence that has words; case and spaces don't count.
+    """(hash, first, end) of the runs from each sentence that has words; case and spaces don't count.
 
-    Sentences without words are passed over. A text whose last sentences fall short has no run
-    from them.
+    Sentences without words are passed over. A run by words is given where it is shorter than the
+    run of ``span`` sentences, be it a single sentence.
     """
     keys = [s.lower().split() for s in sentences]
     use = [i for i, k in enumerate(keys) if any(c.isalnum() for w in k for c in w)]
     hashes = [xxhash.xxh3_64_intdigest(" ".join(keys[i])) for i in use]
     sizes = [len(keys[i]) for i in use]
-    found, end, total = [], 0, 0
+    found = []
     for at in range(len(use)):
-        while end < len(use) and end - at < span and total < words:
-            total += sizes[end]
-            end += 1
-        if end - at < span and total < words:
-            break
-        mixed = 0
-        for h in hashes[at:end]:
+        mixed = total = n = 0
+        for h, size in zip(hashes[at : at + span], sizes[at : at + span], strict=True):
             mixed = (mixed * 0x9E3779B97F4A7C15 + h + 1) & _MASK
             mixed ^= mixed >> 29
-        found.append((mixed - (1 << 63), use[at], use[end - 1] + 1))
-        total -= sizes[at]
+            n += 1
+            by_words = total < words <= total + size
+            total += size
+            if by_words or n == span or n == len(use):
+                found.append((mixed - (1 << 63), use[at], use[at + n - 1] + 1))
     return found
 
 

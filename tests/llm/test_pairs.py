@@ -252,6 +252,36 @@ def test_sentence_runs(messy):
     assert sum(r.n_removed for r in found) > 0
 
 
+def test_later_of_equal_texts_loses_every_sentence(spark):
+    """Also behind a sentence of many words, at the end and in texts of few sentences."""
+    long = "heating " + "the stone house " * 12 + "then. "
+    texts = [
+        f"A {long}River ready. House ready.",
+        f"Stone ready. River under. B {long}House under.",
+        f"C {long}Then river.",
+        f"D {long}",
+        "One two. Three four.",
+        "Five six",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    rows.append((200, f"New here. {texts[0]} Others here."))
+    found = {
+        r.doc_id: r.text
+        for r in sentences.remove_repeated_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert [found[100 + i] for i in range(len(texts))] == [""] * len(texts)
+    assert [found[i] for i in range(len(texts))] == texts
+    assert found[200] == "New here. Others here."
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a. ", "b c! ", "... ", "d " * 9 + ". ", "e " * 4 + "\n"]), max_size=9))
+def test_runs_cover_every_sentence_with_words(parts):
+    own = sentences.split("".join(parts))
+    covered = {i for _, a, b in sentences.runs(own, 3, 7) for i in range(a, b)}
+    assert covered >= {i for i, s in enumerate(own) if any(c.isalnum() for c in s)}
+
+
 def test_sentences_join_to_the_text():
     for text in ("", "a", "A b. C!\n\nD? ", "...", "x.y.z", "\n\n a", "Mr. X\tgoes."):
         assert "".join(sentences.split(text)) == text
