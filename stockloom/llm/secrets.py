@@ -6,9 +6,11 @@ alphabet, and three tests ask whether its signs look drawn from it evenly and in
 chi-squared uniformity, runs above and below the middle, and lag-one serial correlation. The
 smallest of the three p-values, times three, is the token's p-value; ordinary strings get tiny ones.
 
-The bar is set per band of lengths, since short tokens can look random by chance: runs of letters
-without digits, of the same lengths, pass through the same tests as decoys, and the lowest p-value
-is chosen at which decoys make up at most ``RATE`` of what passes. Counts cover all texts.
+The bar is set per band of lengths, since short tokens can look random by chance: the lowest p-value
+is chosen at which ordinary strings make up at most ``RATE`` of the tokens that pass. Tokens hold a
+digit, so how many of them are ordinary is seen where random ones hardly come, just below the least
+bar. How many of those there pass a bar is seen from decoys, runs of letters without digits of the
+same lengths, which take the same tests but are never reported. Counts cover all texts.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from stockloom.llm.storage import Scratch
 
 KINDS = ("assign", "access", "hex", "random")
-RATE = 0.05  # share of decoys among the tokens that pass
+RATE = 0.05  # share of ordinary strings among the tokens that pass
 LEAST_P = 0.01  # no token below this p-value passes in any band
+SIDE_P = 1e-4  # from here to LEAST_P the ordinary strings are counted
 LEAST_LENGTH = 20
 GRID = [10 ** (-i / 4) for i in range(8, -1, -1)]  # p-values that may become a bar: 0.01 to 1
 
@@ -157,13 +160,27 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, SCHEMA)
 
 
+def bar(tokens: np.ndarray, decoys: np.ndarray, rate: float = RATE) -> float | None:
+    """The lowest step of ``GRID`` at which at most ``rate`` of the passing tokens are ordinary.
+
+    Both arrays count p-values from ``SIDE_P`` to ``LEAST_P``, then from each grid step to the next.
+    A share ``LEAST_P`` of random tokens may fall short of the grid. What tokens have beyond that, over
+    what decoys have there, is the number of ordinary tokens for each decoy.
+    """
+    passing, false = (cells[:0:-1].cumsum()[::-1] for cells in (tokens, decoys))
+    ordinary = max(0.0, tokens[0] - LEAST_P * passing[0])
+    weight = ordinary / max(1.0, decoys[0] - LEAST_P * false[0])
+    good = (g for g, t, d in zip(GRID, passing.tolist(), false.tolist(), strict=True) if t and weight * d <= rate * t)
+    return next(good, None)
+
+
 def bars(scanned: DataFrame, rate: float = RATE) -> dict[int, float]:
-    """Per length band the lowest p-value at which at most ``rate`` of what passes is a decoy.
+    """The :func:`bar` of every length band that has one.
 
     Counts per band and grid step reach the driver: a few numbers for each factor 1.4 of length.
     """
     step = F.aggregate(
-        F.array(*[F.lit(g) for g in GRID]), F.lit(-1), lambda n, g: n + (F.col("p") >= g).cast("int")
+        F.array(*[F.lit(g) for g in (SIDE_P, *GRID)]), F.lit(-1), lambda n, g: n + (F.col("p") >= g).cast("int")
     )
     length_band = F.floor(F.log(F.col("length") / LEAST_LENGTH) / math.log(1.4)).cast("int")
     tokens = scanned.select(F.inline("tokens")).selectExpr("end - start AS length", "p", "1 AS hit")
@@ -176,16 +193,11 @@ def bars(scanned: DataFrame, rate: float = RATE) -> dict[int, float]:
     )
     levels = {}
     for row in counted:
-        cells = levels.setdefault(row.band, np.zeros((2, len(GRID)), np.int64))
+        cells = levels.setdefault(row.band, np.zeros((2, 1 + len(GRID)), np.int64))
         if row.step >= 0:
             cells[:, row.step] += (row.tokens, row.decoys)
-    chosen = {}
-    for at, cells in levels.items():
-        passing = cells[:, ::-1].cumsum(axis=1)[:, ::-1]
-        good = [g for g, t, d in zip(GRID, *passing.tolist(), strict=True) if t and d <= rate * (t + d)]
-        if good:
-            chosen[at] = good[0]
-    return chosen
+    chosen = {at: bar(*cells, rate) for at, cells in levels.items()}
+    return {at: lowest for at, lowest in chosen.items() if lowest is not None}
 
 
 def _spans(row_base, row_tokens, limits: dict[int, float]) -> list[tuple[int, int, int]]:

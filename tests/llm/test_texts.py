@@ -216,6 +216,46 @@ def test_ordinary_long_words_keep_their_bar(spark):
     assert all(r.spans == "" for r in found)
 
 
+def long_word(rng, length):
+    return re.sub("[^a-z]", "", prose(rng.randrange(10**6), 12))[:length]
+
+
+def test_short_keys_amid_many_long_words(spark):
+    """Words without digits are never reported and cost no key its report, however many there are."""
+    rng = random.Random(5)
+    keys = [random_token(200 + i, 20 + i, BASE64[:62]) for i in range(8)]
+    assert all(re.search("[0-9]", k) and secrets.token_p(k) >= secrets.LEAST_P for k in keys)
+    rows = [(i, f"see {k} there") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"the {long_word(rng, 20 + i % 8)} ready") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(d.p >= secrets.LEAST_P for r in secrets.scan(docs).collect() for d in r.decoys) > 40
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+    assert {i: v for i, v in found.items() if v} == {i: f"random:4:{4 + len(k)}" for i, k in enumerate(keys)}
+
+
+def test_long_words_with_digits_keep_their_bar(spark):
+    """Many ordinary strings that hold digits, as reported tokens do, raise the bar of their length."""
+    rng = random.Random(6)
+    rows = [(i, f"{long_word(rng, 18 + i % 6)}{rng.randrange(10, 100)}") for i in range(400)]
+    rows += [(1000 + i, long_word(rng, 20 + i % 6)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tested = [t.p for r in secrets.scan(docs).collect() for t in r.tokens]
+    assert sum(p >= secrets.LEAST_P for p in tested) > 40
+    assert sum(r.n_random for r in secrets.find_secrets(docs).collect()) <= 0.05 * len(tested)
+
+
+def test_bar_weighs_decoys_by_ordinary_tokens():
+    steps = len(secrets.GRID)
+    decoys = np.array([100, *[10] * steps])
+    keys = np.array([0, *[3] * steps])
+    assert secrets.bar(keys, decoys) == secrets.GRID[0]
+    ordinary = np.array([50, *[5] * steps])
+    assert secrets.bar(keys + ordinary, decoys) is None
+    assert secrets.bar(100 * keys + ordinary, decoys) == secrets.GRID[0]
+    assert secrets.bar(keys, 0 * decoys) == secrets.GRID[0]
+    assert secrets.bar(0 * keys, decoys) is None
+
+
 def test_secrets_of_messy_texts(messy, nothing):
     assert secrets.find_secrets(messy).count() == messy.count()
     assert secrets.find_secrets(nothing).collect() == []
