@@ -3,8 +3,10 @@
 The index is distributed by document: a task turns a block of texts into posting lists (term to word
 positions) of the benchmark's terms. Every benchmark window starts from the postings of its rarest
 term in that block and intersects the other terms' lists, shifted by their offsets, rarest first.
-What is left are exact phrase matches. A start that misses the phrase but has most of its terms
-within ``slop`` words of their place is a proximity match. No text is shuffled.
+What is left are exact phrase matches. A start that has most of a window's terms within ``slop`` words
+of their place is a proximity match; of as many of the rarest terms as may be missing and one more,
+absent ones included, one at least is there, so all such starts come from their postings. No text is
+shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from stockloom.llm import text as T
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"  # of the lower-cased text
 ITEM_BYTES = 8_000_000  # benchmark text that one pass holds in a task
+NEAR_STARTS = 1_000_000  # starts of proximity matches that are looked at together
 
 SCHEMA = (
     "doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, "
@@ -73,7 +76,7 @@ def phrases(items: list[tuple[str | None, str | None]], width: int) -> Phrases:
 def find(
     hashes: np.ndarray, per_text: np.ndarray, wanted: Phrases, slop: int, share: float
 ) -> tuple[np.ndarray, ...]:
-    """(window, start) of the exact matches, then of the proximity matches, in one block."""
+    """(window, start) of the exact matches, then (window, text) of the proximity matches, in one block."""
     none = np.zeros(0, np.int64)
     if not len(hashes) or not len(wanted.terms):
         return none, none, none, none
@@ -86,18 +89,15 @@ def find(
     rows = np.arange(len(wanted.terms))
     pivot = wanted.terms[rows, order[:, 0]]
 
-    used = np.zeros(len(wanted.vocabulary), bool)
-    used[pivot] = True
-    places = np.flatnonzero(used[ids] & (ids >= 0))
+    places = np.flatnonzero(ids >= 0)
     places = places[np.argsort(ids[places], kind="stable")]
-    first = np.searchsorted(ids[places], pivot)
+    first = np.cumsum(count) - count
     size = count[pivot]
     window = np.repeat(rows, size)
     within = np.arange(len(window)) - np.repeat(np.cumsum(size) - size, size)
-    start = places[np.repeat(first, size) + within] - order[window, 0]
+    start = places[np.repeat(first[pivot], size) + within] - order[window, 0]
     text = np.searchsorted(per_text, start + order[window, 0], side="right") - 1
     fits = (start >= per_text[text]) & (start + wanted.lengths[window] <= per_text[text + 1])
-    near_window, near_start, near_text = window, start, text
     window, start = window[fits], start[fits]
     for j in range(1, wanted.terms.shape[1]):
         offset = order[window, j]
@@ -105,21 +105,45 @@ def find(
         same = ids[np.where(inside, start + offset, 0)] == wanted.terms[window, offset]
         window, start = window[same | ~inside], start[same | ~inside]
 
-    width = wanted.terms.shape[1]
-    whole = wanted.lengths[near_window] == width
-    near_window, near_start, near_text = near_window[whole], near_start[whole], near_text[whole]
-    matched = np.zeros(len(near_window), np.int64)
-    for j in range(width):
-        term, there = wanted.terms[near_window, j], np.zeros(len(near_window), bool)
-        for shift in range(-slop, slop + 1):
-            at = near_start + j + shift
-            inside = (at >= per_text[near_text]) & (at < per_text[near_text + 1])
-            there |= inside & (ids[np.where(inside, at, 0)] == term)
-        matched += there
-        alive = matched + (width - 1 - j) >= share * width
-        near_window, near_start, near_text = near_window[alive], near_start[alive], near_text[alive]
-        matched = matched[alive]
-    return window, start, near_window, near_start
+    # Terms of each window that may be missing; more absent ones rule it out in this block.
+    spare = wanted.lengths - np.ceil(share * wanted.lengths - 1e-9).astype(np.int64)
+    possible = (present == 0).sum(axis=1) <= spare
+    near = [(none, none)]
+    for rank in range(min(int(spare.max()) + 1, wanted.terms.shape[1])):
+        # Starts whose terms of lower rank are missing; the others come from those terms.
+        own = rows[possible & (spare >= rank) & (rank < wanted.lengths)]
+        near += _near(ids, per_text, wanted, slop, order, spare, own, rank, places, first, count)
+    near_window, near_text = map(np.concatenate, zip(*near, strict=True))
+    return window, start, near_window, near_text
+
+
+def _near(ids, per_text, wanted, slop, order, spare, own, rank, places, first, count):
+    """(window, text) of the proximity matches of the windows ``own`` whose rarest term in its place
+    is that of rank ``rank``, each pair once in a yield."""
+    pivot = wanted.terms[own, order[own, rank]]
+    ends = np.cumsum(count[pivot])
+    shifts = np.arange(-slop, slop + 1)
+    step = max(1, NEAR_STARTS // len(shifts))
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        flat = np.arange(at, min(at + step, int(ends[-1])))
+        row = np.searchsorted(ends, flat, side="right")
+        place = places[first[pivot[row]] + flat - (ends[row] - count[pivot[row]])]
+        text = np.repeat(np.searchsorted(per_text, place, side="right") - 1, len(shifts))
+        window = np.repeat(own[row], len(shifts))
+        start = ((place - order[own[row], rank])[:, None] + shifts).ravel()
+        missing = np.full(len(window), rank)
+        for j in range(rank + 1, wanted.terms.shape[1]):
+            offset = order[window, j]
+            term, there = wanted.terms[window, offset], j >= wanted.lengths[window]
+            for shift in shifts.tolist():
+                spot = start + offset + shift
+                inside = (spot >= per_text[text]) & (spot < per_text[text + 1])
+                there |= inside & (ids[np.where(inside, spot, 0)] == term)
+            missing += ~there
+            alive = missing <= spare[window]
+            window, start, text, missing = window[alive], start[alive], text[alive], missing[alive]
+        pairs = np.unique(np.stack([window, text], axis=1), axis=0)
+        yield pairs[:, 0], pairs[:, 1]
 
 
 def _owners(wanted: Phrases, window: np.ndarray, text: np.ndarray) -> dict[int, list[str]]:
@@ -137,10 +161,9 @@ def _scan(wanted: Phrases, slop: int, share: float):
         for batch in batches:
             for rows, data, offsets in T.blocks(batch):
                 hashes, _, _, per_text = T.words(data, offsets, table)
-                window, start, near, near_start = find(hashes, per_text, wanted, slop, share)
-                place = lambda at, bounds=per_text: np.searchsorted(bounds, at, side="right") - 1
-                text = place(start)
-                exact, close = _owners(wanted, window, text), _owners(wanted, near, place(near_start))
+                window, start, near, near_text = find(hashes, per_text, wanted, slop, share)
+                text = np.searchsorted(per_text, start, side="right") - 1
+                exact, close = _owners(wanted, window, text), _owners(wanted, near, near_text)
                 spans: dict[int, list] = {}
                 for t, a, b in sorted(
                     zip(text.tolist(), start.tolist(), (start + wanted.lengths[window]).tolist(), strict=True)

@@ -331,6 +331,61 @@ def test_proximity_matches(spark):
     assert found[3].item_ids == found[3].near_ids == ["9"]
 
 
+def direct_near(text, items, width, slop=2, share=0.8):
+    own, named = words(text), set()
+    for name, item in items:
+        parts = words(item)
+        for at in range(max(1, len(parts) - width + 1) if parts else 0):
+            window = parts[at : at + width]
+            for start in range(-width - slop, len(own) + slop + 1):
+                there = sum(w in own[max(0, start + j - slop) : max(0, start + j + slop + 1)] for j, w in enumerate(window))
+                if there >= share * len(window) - 1e-9 and name is not None:
+                    named.add(str(name))
+    return sorted(named)
+
+
+def test_proximity_matches_with_any_word_replaced(spark):
+    """Near copies are found whichever words differ, alone in their partition or among others."""
+    passage = words(prose(51, 60))[:10]
+    texts = []
+    for at in range(10):
+        for new in ("unheardof", "the"):
+            texts.append(" ".join(["lead", *passage[:at], new, *passage[at + 1 :], "tail"]))
+        texts.append(" ".join(w for i, w in enumerate(passage) if i not in (at, (at + 4) % 10)))
+        texts.append(" ".join(w for i, w in enumerate(passage) if i not in (at, (at + 1) % 10, (at + 2) % 10)))
+    items = [(9, " ".join(passage)), (8, " ".join(passage[:4])), (7, prose(52, 40))]
+    rows = spark.createDataFrame(items, "item_id long, text string")
+    expected = {i: direct_near(t, items, 10) for i, t in enumerate(texts)}
+    assert all("9" in expected[i] for i in range(len(texts)) if i % 4 < 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, len(texts)):
+        found = decontam.benchmark_matches(docs.repartitionByRange(parts, "doc_id"), rows).collect()
+        assert {r.doc_id: r.near_ids for r in found} == expected
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=14), min_size=1, max_size=4),
+    st.lists(st.lists(st.sampled_from("abcdefgxyz"), max_size=9), min_size=1, max_size=3),
+    st.integers(0, 2),
+    st.sampled_from([0.5, 0.8, 1.0, 2.0]),
+    st.sampled_from([1, 7, 10**6]),
+)
+def test_proximity_matches_equal_a_direct_search(texts, items, slop, share, starts):
+    import pyarrow as pa
+
+    from stockloom.llm import text as T
+
+    texts, items = [" ".join(t) for t in texts], [(str(i), " ".join(t)) for i, t in enumerate(items)]
+    wanted = decontam.phrases(items, 5)
+    hashes, _, _, per_text = T.words(*T.texts_of(pa.array(texts)), T.byte_table(decontam.SEPARATORS))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontam, "NEAR_STARTS", starts)
+        _, _, window, text = decontam.find(hashes, per_text, wanted, slop, share)
+    found = decontam._owners(wanted, window, text)
+    assert [found.get(i, []) for i in range(len(texts))] == [direct_near(t, items, 5, slop, share) for t in texts]
+
+
 def test_hits_of_nothing(spark, messy, nothing):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.benchmark_matches(nothing, none).collect() == []
