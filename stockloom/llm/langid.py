@@ -153,13 +153,16 @@ def fit(docs: DataFrame, landmarks: int = LANDMARKS, sample: int = SAMPLE) -> Mo
     return Model(languages, codes, columns, (root @ solved).astype(np.float32))
 
 
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    return batch.column(batch.schema.get_field_index("text")).to_pylist()
+
+
 def _classifier(model: Model | None):
     """A function from a batch with a text column to its languages and scores."""
     column = model.columns() if model else None
 
     def classify(batch: pa.RecordBatch) -> tuple[list[str], np.ndarray]:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        known = [bool(model and t and _LETTER.search(t)) for t in texts]
+        known = [bool(model and t and _LETTER.search(t)) for t in _texts(batch)]
         best, score = np.zeros(len(known), int), np.zeros(len(known))
         for rows, data, offsets in T.blocks(batch) if model else ():
             for a in range(0, len(offsets) - 1, _ROWS):
@@ -175,9 +178,13 @@ def _classifier(model: Model | None):
 
 
 def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` without the rows that :func:`predict` calls ``und``; all columns stay."""
+    """``docs`` without null texts and those without letters, which :func:`predict` calls ``und``; all
+    columns stay. If nothing could be learned, texts with letters stay all the same.
+    """
 
     def decide():
+        if model is None:
+            return lambda batch: np.array([bool(t and _LETTER.search(t)) for t in _texts(batch)], bool)
         classify = _classifier(model)
         return lambda batch: np.array([n != UNKNOWN for n in classify(batch)[0]], bool)
 

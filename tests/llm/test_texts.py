@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stockloom.llm import decontam, langid, packing, quality, secrets
@@ -148,6 +149,15 @@ def test_languages_of_messy_texts(messy, nothing):
     )
 
 
+def test_texts_with_letters_stay_without_labels(messy):
+    assert langid.fit(messy.withColumn("lang", F.lit(None).cast("string"))) is None
+    kept = langid.keep_identified(messy, None)
+    assert kept.columns == messy.columns
+    assert text_sort(r.doc_id for r in kept.collect()) == text_sort(
+        r[0] for r in messy_rows() if r[1] and re.search(r"[^\W\d_]", r[1])
+    )
+
+
 # --- secrets ----------------------------------------------------------------------------------
 
 
