@@ -52,4 +52,53 @@ FROM prefix LEFT JOIN prompts USING (pair_id)
      LEFT JOIN chosen_text c USING (pair_id) LEFT JOIN rejected_text r USING (pair_id)
 """
 
-ORACLES = {"op7_chat_preferences": CHAT}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SEARCH = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term, n_docs
+),
+asked AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id,
+         unnest(regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+),
+scores AS (
+  SELECT item_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT)
+           AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+  FROM scores WHERE score > 0
+) WHERE rank <= 10
+"""
+
+LINES = f"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(string_split({_FOLDED}, chr(10))) AS folded,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+),
+keyed AS (
+  SELECT *, trim(folded, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines
+),
+frequent AS (SELECT key FROM keyed WHERE key != '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN frequent f USING (key) GROUP BY doc_id
+"""
+
+ORACLES = {"op7_chat_preferences": CHAT, "op11_lexical_search": SEARCH, "op12_line_dedup": LINES}

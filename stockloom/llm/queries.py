@@ -12,7 +12,10 @@ from stockloom.llm import (
     graph_search,
     jaccard,
     langid,
+    lexical,
+    line_runs,
     packing,
+    periodic,
     quality,
     repeats,
     secrets,
@@ -102,6 +105,36 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words or more; in a tenth of the documents periods are planted first."""
+    planted = periodic.rewrite_words(table(spark, sf_dir, "documents"), periodic.planted_period)
+    found = periodic.find_runs(planted, shortest=12)
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    start, length, period = -longest["start"], longest["length"], -longest["period"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.call_function("div", length * 1000, period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_ngram_jaccard": ngram_jaccard_join,
     "op2_repeated_substrings": repeated_substrings,
@@ -113,4 +146,7 @@ QUERIES = {
     "op8_secret_scan": secret_scan,
     "op9_decontaminate": decontaminate,
     "op10_quality": quality_scores,
+    "op11_lexical_search": lexical_search,
+    "op12_line_dedup": line_dedup,
+    "op13_periodic_runs": periodic_runs,
 }

@@ -42,5 +42,9 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete stored tables that no later step reads."""
         for table in tables:
-            hadoop = self._spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            hadoop.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            self.delete(table._scratch_path)
+
+    def delete(self, path: str) -> None:
+        """Delete a folder below the shared one."""
+        hadoop = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(hadoop, True)
