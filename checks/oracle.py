@@ -42,6 +42,19 @@ def _history(columns):
     )
 
 
+def _custom(w):
+    frame = f"(w ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+    seen, n = f"list(units_sold) OVER {frame}", f"count(*) OVER {frame}"
+    ramp = f"CAST(range(1, {n} + 1) AS DOUBLE[])"
+    weighted = f"list_inner_product(CAST({seen} AS DOUBLE[]), {ramp}) * 2 / ({n} * ({n} + 1))"
+    return [
+        f"round(avg(units_sold) OVER {frame}, 6) AS units_sold_roll_mean_{w}",
+        f"round(avg(CAST(units_sold = 0 AS INTEGER)) OVER {frame}, 6) AS units_sold_roll_idle_share_{w}",
+        f"max(units_sold) OVER {frame} - min(units_sold) OVER {frame} AS units_sold_roll_spread_{w}",
+        f"round({weighted}, 6) AS units_sold_roll_recent_mean_{w}",
+    ]
+
+
 DEFAULT_HISTORY = _lags((1, 7, 14, 28)) + _rolling(("mean", "std", "min", "max"))
 
 STORE = f"""
@@ -174,6 +187,7 @@ ORACLES: dict[str, str] = {
     "feature_store_from_view": panel("SELECT * FROM store", STORE),
     "lag_features": panel(_history(_lags((1, 2, 7, 14, 28, 364)))),
     "rolling_features": panel(_history(_rolling(_FIVE))),
+    "custom_aggregates": panel(_history(_custom(7) + _custom(28))),
     "rolling_features_in_blocks": panel(_history(_rolling(_FIVE))),
 }
 
@@ -351,9 +365,37 @@ ORACLES |= {
     ),
     "forest_quantiles": panel(
         "SELECT store_id, sku_id, origin_date, target_date, target, TRUE AS ordered, "
-        "TRUE AS within_outcomes FROM test",
+        "TRUE AS within_outcomes, TRUE AS as_by_tables FROM test",
         LEAD_ROWS, BOUNDS, TEST,
     ),
+    "boosted_quantiles": panel(
+        " UNION ALL ".join(
+            f"SELECT round({q!r}::DOUBLE, 6) AS quantile, count(*) AS n_rows, "
+            f"{_pinball(quantile_column(q), q)} AS seasonal_pinball, "
+            f"{_pinball('c_' + quantile_column(q), q)} AS constant_pinball, "
+            "TRUE AS boosted_no_worse_than_constant FROM scored CROSS JOIN start"
+            for q in LEVELS
+        ),
+        LEAD_ROWS, BOUNDS, TRAIN, TEST, _model(LEVELS), _scored(LEVELS),
+        "start AS (SELECT "
+        + ", ".join(f"round({quantile_column(q)} * 64) / 64 AS c_{quantile_column(q)}" for q in LEVELS)
+        + " FROM overall)",
+    ),
+    "report_cost_assumptions": panel(
+        f"""
+        SELECT '{COSTS.currency}' AS currency, round({COSTS.unit_cost_ratio!r}::DOUBLE, 6) AS unit_cost_ratio,
+               round({COSTS.salvage_ratio!r}::DOUBLE, 6) AS salvage_ratio,
+               round({COSTS.holding_cost_ratio!r}::DOUBLE, 6) AS holding_cost_ratio,
+               round({COSTS.stockout_penalty_ratio!r}::DOUBLE, 6) AS stockout_penalty_ratio,
+               round(1 - {COSTS.unit_cost_ratio!r}::DOUBLE + {COSTS.stockout_penalty_ratio!r}::DOUBLE, 6)
+                 AS understock_cost_ratio,
+               round({COSTS.unit_cost_ratio!r}::DOUBLE - {COSTS.salvage_ratio!r}::DOUBLE
+                     + {COSTS.holding_cost_ratio!r}::DOUBLE, 6) AS overstock_cost_ratio,
+               round({UNDER!r}::DOUBLE / ({UNDER!r}::DOUBLE + {OVER!r}::DOUBLE), 6) AS critical_fractile,
+               round(sum(units_sold * sell_price), 4) AS revenue
+        FROM sales
+        """
+    ),
     "run_metrics": panel(
         f"SELECT *, 'b' AS run_id, DATE '2024-05-02' AS started_at FROM ({_accuracy()})", *_BACKTEST
     ),

@@ -7,6 +7,7 @@ from dataclasses import replace
 from datetime import datetime, timezone
 from functools import cached_property
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +26,12 @@ from stockloom.operators import (
     split,
     summaries,
 )
-from stockloom.operators.forest import ForestQuantiles
+from stockloom.operators.boosting import BoostedQuantiles
+from stockloom.operators.forest import ForestQuantiles, assembled_features, score_by_tables
 from stockloom.operators.seasonal import SeasonalQuantiles
 from stockloom.plans import jobs
 from stockloom.session import fresh_folder, write_and_read
-from stockloom.settings import CostSpec, FeatureSpec, ForecastSpec, ReplaySpec
+from stockloom.settings import Aggregate, CostSpec, FeatureSpec, ForecastSpec, ReplaySpec
 from stockloom.sources import order_lines, raw_csv, run_log, snapshots
 from stockloom.sources.order_lines import OrderLinePanel
 from stockloom.sources.tables import Tables
@@ -42,6 +44,7 @@ QUERIES: dict[str, Query] = {}
 DIGITS = 6
 MONEY_DIGITS = 4
 MONEY_TOTALS = (
+    "revenue",
     "total_cost",
     "total_understock_cost",
     "total_overstock_cost",
@@ -126,10 +129,10 @@ class Star(OrderLinePanel):
     def dimensions(self) -> features.Dimensions:
         return features.Dimensions(self.sku_master, self.store_master, self.calendar)
 
-    @cached_property
-    def stored_history(self) -> DataFrame:
-        """Sales with history columns, stored: origins and targets are both drawn from it."""
-        return write_and_read(self.history(SPEC), "history")
+    def assembled_from(self, with_features: bool) -> tuple[DataFrame, features.Dimensions | None]:
+        """What horizons are assembled from: all features, or for forecasters that look at none of
+        them the sales alone."""
+        return (self.history(SPEC), self.dimensions) if with_features else (self.daily_sales, None)
 
 
 @query
@@ -286,35 +289,59 @@ def rolling_features(spark, sf):
 def rolling_features_in_blocks(spark, sf):
     """The same with blocks far shorter than the series."""
     spec = FeatureSpec(aggregations=("mean", "std", "min", "max", "sum"))
-    frame = features.history_features(Star(spark, sf).daily_sales, spec, block_rows=365)
+    frame = features.history_features(Star(spark, sf).daily_sales, spec, block_days=365)
     return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
 
 
-def lead_time(spark: SparkSession, sf: str) -> DataFrame:
-    """The lead-time dataset with all features."""
-    tables = Star(spark, sf)
-    return horizon.assemble_horizon(tables.stored_history, SPEC, LEAD, 1, tables.dimensions)
+@query
+def custom_aggregates(spark, sf):
+    """Rolling aggregates of one's own beside a named one: share of days without demand, spread, and
+    the mean with a row's weight growing towards the current day."""
+
+    def weighted(units, frame):
+        """Of the frame's values in order the n-th counts n-fold."""
+        seen = F.collect_list(units).over(frame)
+        total = F.aggregate(
+            F.zip_with(seen, F.sequence(F.lit(1), F.size(seen)), lambda u, n: u * n), F.lit(0), lambda a, b: a + b
+        )
+        n = F.count(units).over(frame)
+        return F.when(n > 0, total * 2 / (n * (n + 1)))
+
+    spec = FeatureSpec(
+        lags=(1,),
+        windows=(7, 28),
+        aggregations=(
+            "mean",
+            Aggregate("idle_share", lambda units, frame: F.avg((units == 0).cast("int")).over(frame)),
+            Aggregate("spread", lambda units, frame: F.max(units).over(frame) - F.min(units).over(frame)),
+            Aggregate("recent_mean", weighted),
+        ),
+    )
+    frame = Star(spark, sf).history(spec)
+    return rounded(frame.select(*spec.group_columns, spec.date_column, *spec.rolling_names))
 
 
-def multi_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    """All horizons from origins sampled at the stride, with all features."""
-    tables = Star(spark, sf)
+def lead_time(spark: SparkSession, sf: str, with_features: bool = True) -> DataFrame:
+    """The lead-time dataset."""
+    store, dimensions = Star(spark, sf).assembled_from(with_features)
+    return horizon.assemble_horizon(store, SPEC, LEAD, 1, dimensions)
+
+
+def multi_horizon(spark: SparkSession, sf: str, with_features: bool = True) -> DataFrame:
+    """All horizons from origins sampled at the stride."""
+    store, dimensions = Star(spark, sf).assembled_from(with_features)
     return horizon.assemble_horizons(
-        tables.stored_history,
-        SPEC,
-        FORECAST.horizon_days,
-        FORECAST.origin_stride_days,
-        tables.dimensions,
+        store, SPEC, FORECAST.horizon_days, FORECAST.origin_stride_days, dimensions
     )
 
 
-def lead_time_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored: several jobs read it."""
-    return write_and_read(lead_time(spark, sf), "lead-time")
+def lead_time_rows(spark: SparkSession, sf: str, forecaster=SeasonalQuantiles) -> DataFrame:
+    """The columns that the forecaster needs, stored: several jobs read them."""
+    return write_and_read(lead_time(spark, sf, forecaster.uses_features), "lead-time")
 
 
-def multi_horizon_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return write_and_read(multi_horizon(spark, sf), "multi-horizon")
+def multi_horizon_rows(spark: SparkSession, sf: str, forecaster=SeasonalQuantiles) -> DataFrame:
+    return write_and_read(multi_horizon(spark, sf, forecaster.uses_features), "multi-horizon")
 
 
 def bounds_of(dataset: DataFrame) -> split.Bounds:
@@ -353,7 +380,7 @@ def horizon_dataset(spark, sf):
 
 @query
 def origin_dates(spark, sf):
-    return split.origin_dates(lead_time(spark, sf)).orderBy("origin_date")
+    return split.origin_dates(lead_time(spark, sf, False)).orderBy("origin_date")
 
 
 @query
@@ -436,29 +463,80 @@ def run_metrics(spark, sf):
 def forest_quantiles(spark, sf):
     """The global model on all features, stated by what holds whatever the trees look like.
 
-    Every test row is scored once; its levels do not decrease and lie between the least and the
-    largest outcome of training. Accuracy is compared in the tests.
+    Every test row is scored once; its levels do not decrease, lie between the least and the
+    largest outcome of training, and equal what joins with the exported trees make of its features.
     """
-    rows = lead_time_rows(spark, sf)
+    rows = lead_time_rows(spark, sf, ForestQuantiles)
     bounds = bounds_of(rows)
-    scored = backtest.predict_test(rows, bounds, LEVELS, ForestQuantiles)
+    train, test = rows.where(bounds.is_train), rows.where(bounds.is_test)
+    maker = ForestQuantiles(LEVELS)
+    model = maker.fit(train, rows.where(bounds.is_validation))
+    key = ["store_id", "sku_id", "origin_date"]
+    features_of = assembled_features(test, SPEC, model.means).select(*key, vector_to_array("_features").alias("x"))
+    by_tables = score_by_tables(features_of, key, *model.tables(), max(maker.depths))
+    scored = model.predict(test).join(by_tables, key, "left")
     names = [F.col(quantile_column(q)) for q in LEVELS]
-    train = rows.where(bounds.is_train)
     low, high = (train.agg(f("target").cast("double")).scalar() for f in (F.min, F.max))
     ordered = F.lit(True)
     for a, b in zip(names, names[1:], strict=False):
         ordered &= a <= b
+    same = F.lit(True)
+    for i, name in enumerate(names):
+        same &= F.abs(name - F.get("levels", F.lit(i))) < 1e-9
     return scored.select(
-        "store_id",
-        "sku_id",
-        "origin_date",
+        *key,
         "target_date",
         "target",
         ordered.alias("ordered"),
         ((names[0] >= low) & (names[-1] <= high)).alias("within_outcomes"),
+        F.coalesce(same, F.lit(False)).alias("as_by_tables"),
     )
 
 
+@query
+def boosted_quantiles(spark, sf):
+    """One boosted model per level on all features, on the same split as the seasonal quantiles.
+
+    The losses of the seasonal quantiles and of the training quantile alone, where boosting starts
+    from, have SQL; of the boosted ones it is stated that no level does worse than its start.
+    """
+    rows = lead_time_rows(spark, sf, BoostedQuantiles)
+    bounds = bounds_of(rows)
+    parts = [rows.where(own) for own in (bounds.is_train, bounds.is_validation, bounds.is_test)]
+    model = BoostedQuantiles(LEVELS, rounds=8, patience=2).fit(*parts[:2])
+    constant = parts[2].select(
+        "target", *[F.lit(level.base).alias(quantile_column(level.quantile)) for level in model.levels]
+    )
+    scored = {
+        "boosted": model.predict(parts[2]),
+        "seasonal": SeasonalQuantiles(LEVELS).fit(parts[0]).predict(parts[2]),
+        "constant": constant,
+    }
+    losses = None
+    for name, predicted in scored.items():
+        own = backtest.quantile_accuracy(backtest.accuracy(predicted, LEVELS))
+        own = own.select("quantile", F.col("pinball").alias(name))
+        losses = own if losses is None else losses.join(own, "quantile")
+    n_rows = parts[2].agg(F.count("*")).scalar()
+    return rounded(
+        losses.select(
+            "quantile",
+            n_rows.alias("n_rows"),
+            F.col("seasonal").alias("seasonal_pinball"),
+            F.col("constant").alias("constant_pinball"),
+            (F.col("boosted") <= F.col("constant") + 1e-12).alias("boosted_no_worse_than_constant"),
+        )
+    )
+
+
+@query
+def report_cost_assumptions(spark, sf):
+    """The section of the report: ratios and what follows from them, with the sales they apply to."""
+    sales = Star(spark, sf).daily_sales
+    covered = sales.agg(F.sum(F.col("units_sold") * F.col("sell_price")).alias("revenue"))
+    return rounded(reports.cost_assumptions(spark, COSTS).join(covered))
+
+
 @query
 def cost_assumptions(spark, sf):
     """The economics in currency, at each category's mean price."""

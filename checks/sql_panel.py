@@ -53,9 +53,9 @@ calendar AS (
          CASE strftime(date, '%m-%d') WHEN '11-01' THEN 'Religious' END AS event_type_2,
          strftime(date, '%m-%d') IN ('02-14', '07-04', '11-01', '12-25') AS is_event,
          strftime(date, '%m-%d') IN ('07-04', '11-01', '12-25') AS is_holiday,
-         day(date) <= 10 AS snap_ca,
-         day(date) BETWEEN 5 AND 15 AS snap_tx,
-         day(date) >= 20 AS snap_wi
+         day(date) % 3 = 1 AS snap_ca,
+         (date - DATE '1970-01-01') % 14 < 5 AS snap_tx,
+         month(date) % 2 = 0 AND day(date) > 12 AS snap_wi
   FROM days
 ),
 weekly AS (

@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stockloom.session import write_and_read
-from stockloom.settings import FeatureSpec
+from stockloom.settings import Aggregate, FeatureSpec
 
 _AGGREGATE = {
     "mean": F.avg,
@@ -22,9 +21,6 @@ _AGGREGATE = {
     "sum": F.sum,
 }
 
-# Rows of one series that a single task sorts and scans in comfort.
-BLOCK_ROWS = 1_000_000
-
 
 def _history_expressions(spec: FeatureSpec, order: WindowSpec) -> list[Column]:
     lags = [
@@ -32,80 +28,55 @@ def _history_expressions(spec: FeatureSpec, order: WindowSpec) -> list[Column]:
         for n, name in zip(spec.lags, spec.lag_names, strict=True)
     ]
     frames = [
-        _AGGREGATE[a](spec.roll_column).over(order.rowsBetween(-w, -1))
+        _rolled(a, F.col(spec.roll_column), order.rowsBetween(-w, -1))
         for w in spec.windows
         for a in spec.aggregations
     ]
     return lags + [f.alias(n) for f, n in zip(frames, spec.rolling_names, strict=True)]
 
 
-def _month_blocks(sales: DataFrame, spec: FeatureSpec, block_rows: int) -> DataFrame:
-    """For each month of a series with more than ``block_rows`` rows: the block it belongs to, and
-    the later blocks whose first rows reach back into it.
-
-    A block is a run of whole months and ends once its rows pass a multiple of ``block_rows``. Rows
-    are counted with map-side combining. NULL keys and dates are values like others; a NULL date
-    comes first.
-    """
-    series = list(spec.group_columns)
-    counts = sales.groupBy(*series, F.trunc(spec.date_column, "month").alias("_month")).agg(
-        F.count("*").alias("_n")
-    )
-    whole = Window.partitionBy(*series)
-    in_order = whole.orderBy("_month")
-    before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = counts.select(
-        "*", F.sum("_n").over(whole).alias("_total"), F.coalesce(before, F.lit(0)).alias("_before")
-    ).withColumn("_block", F.floor(F.col("_before") / block_rows))
-    # Every month has a row at least, so what reaches back lies within ``reach`` months.
-    following = F.collect_list(F.struct("_block", "_before")).over(in_order.rowsBetween(1, spec.reach))
-    end = F.col("_before") + F.col("_n")
-    reaching = F.filter(
-        "_following", lambda b: (b["_block"] > F.col("_block")) & (b["_before"] - end < spec.reach)
-    )
-    return (
-        placed.withColumn("_following", following)
-        .where(F.col("_total") > block_rows)
-        .select(
-            *[F.col(c).alias(f"_of_{c}") for c in series],
-            "_month",
-            "_block",
-            F.array_distinct(F.transform(reaching, lambda b: b["_block"])).alias("_context_of"),
-        )
-    )
+def _rolled(aggregation: str | Aggregate, column: Column, frame: WindowSpec) -> Column:
+    if isinstance(aggregation, Aggregate):
+        return aggregation.over(column, frame)
+    return _AGGREGATE[aggregation](column).over(frame)
 
 
 def history_features(
-    sales: DataFrame, spec: FeatureSpec, block_rows: int = BLOCK_ROWS
+    sales: DataFrame, spec: FeatureSpec, block_days: int | None = None
 ) -> DataFrame:
     """All columns of ``sales`` plus one column per lag and per window and aggregate.
 
-    One shuffle by (series, block) and one sort serve every expression. A series is one block until
-    it has more than ``block_rows`` rows; then it is cut after whole months, and the last rows of a
-    block are also dealt to the next one, as context that is dropped again after the windows ran.
-    The rows are counted by one job first, whatever their number; its result has no row for
-    shorter series and is stored, so that Spark sees its size when it plans the join.
+    One shuffle by series and one sort serve every expression; none is needed where ``sales`` is
+    already clustered by series. A series with one row a day is as long as the calendar. For
+    longer ones, ``block_days`` cuts series into blocks of so many days, counted from the epoch,
+    and the shuffle deals out (series, block). A block's first rows, as many as features reach
+    back, lack their predecessors there; they are computed again among the first and last rows of
+    all blocks of the series, whatever the gaps between days. Both ways give the same features.
 
-    Rows of one day are ordered by their other columns. NULL keys form a series of their own.
+    Rows of one day are ordered by their other columns. NULL keys form a series of their own, a
+    NULL date comes first.
     """
-    series = list(spec.group_columns)
-    months = write_and_read(_month_blocks(sales, spec, block_rows), "month-blocks")
-    month = F.trunc(spec.date_column, "month")
-    same = month.eqNullSafe(F.col("_month"))
-    for column in series:
-        same &= F.col(column).eqNullSafe(F.col(f"_of_{column}"))
-    own = F.struct(F.coalesce("_block", F.lit(0)).alias("block"), F.lit(True).alias("own"))
-    context = F.transform(
-        F.coalesce("_context_of", F.array().cast("array<bigint>")),
-        lambda b: F.struct(b.alias("block"), F.lit(False).alias("own")),
-    )
-    dealt = sales.join(months, same, "left").select(
-        *sales.columns, F.inline(F.concat(F.array(own), context)).alias("_in_block", "_own")
+    series, day = list(spec.group_columns), spec.date_column
+    ties = [c for c in sales.columns if c not in (*series, day)]
+    if block_days is None:
+        order = Window.partitionBy(*series).orderBy(day, *ties)
+        return sales.select(*sales.columns, *_history_expressions(spec, order))
+
+    first = F.lit(-(1 << 31)).cast("long")
+    block = F.coalesce(F.floor(F.unix_date(day) / block_days).cast("long"), first)
+    order = Window.partitionBy(*series, "_block").orderBy(day, *ties)
+    # Dealt out by name, so that both uses of the blocks read one and the same shuffle.
+    inside = sales.withColumn("_block", block).repartition(*series, "_block").select(
+        "*",
+        *_history_expressions(spec, order),
+        F.lag(F.lit(True), spec.reach).over(order).isNull().alias("_head"),
+        F.lead(F.lit(True), spec.reach).over(order).isNull().alias("_tail"),
     )
-    ties = [c for c in sales.columns if c not in (*series, spec.date_column)]
-    order = Window.partitionBy(*series, "_in_block").orderBy(spec.date_column, *ties)
-    computed = dealt.select("*", *_history_expressions(spec, order)).where("_own")
-    return computed.select(*sales.columns, *spec.history_names)
+    names = [*sales.columns, *spec.history_names]
+    edges = inside.where("_head OR _tail").select(*sales.columns, "_block", "_head")
+    across = Window.partitionBy(*series).orderBy("_block", day, *ties)
+    heads = edges.select(*sales.columns, "_head", *_history_expressions(spec, across)).where("_head")
+    return inside.where("NOT _head").select(*names).unionAll(heads.select(*names))
 
 
 def snap_flag(state: Column) -> Column:

@@ -2,11 +2,14 @@
 
 ``store`` is a feature store or a projection of one: feature columns it lacks are left out. With
 ``dimensions``, it may be sales with history columns alone; what describes a target day is then
-joined to the assembled rows, and only keys, price and units travel to the origin.
+joined to the assembled rows. Rows without a series key or a day are left out.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,31 +26,43 @@ def _present(store: DataFrame, names: list[str]) -> list[str]:
     return [name for name in names if name in store.columns]
 
 
-def _origins(store: DataFrame, spec: FeatureSpec, stride: int) -> DataFrame:
-    return store.where(on_cadence(spec.date_column, stride)).select(
-        *spec.group_columns,
-        F.col(spec.date_column).alias("origin_date"),
-        *_present(store, spec.history_names),
-    )
-
-
-def _targets(store: DataFrame, spec: FeatureSpec) -> DataFrame:
-    return store.select(
-        *spec.group_columns,
-        F.col(spec.date_column).alias("target_date"),
-        *_present(store, spec.future_names),
-        F.col(spec.target).alias("target"),
-    )
-
-
 def _assembled(
     store: DataFrame,
-    targets: DataFrame,
     spec: FeatureSpec,
+    nearest: int,
+    furthest: int,
     stride: int,
     dimensions: Dimensions | None,
 ) -> DataFrame:
-    rows = targets.join(_origins(store, spec, stride), [*spec.group_columns, "origin_date"])
+    """Every row as a target, once for each sampled origin ``nearest`` to ``furthest`` days before it.
+
+    A frame over the days before the target gathers the origins that the series has there, at most
+    ``furthest / stride`` of them, so that no row travels to another: the frame works on the same
+    clustering by series as the history windows, or needs one shuffle by series where there is none.
+    """
+    day, known = spec.date_column, [F.col(c).isNotNull() for c in spec.group_columns]
+    origin = F.struct(F.col(day).alias("origin_date"), *_present(store, spec.history_names))
+    # Stated as SQL: only there may a range of days be taken of a date, whose order the rows have.
+    gathered = F.expr(
+        f"collect_list(_origin) OVER (PARTITION BY {', '.join(f'`{c}`' for c in spec.group_columns)} "
+        f"ORDER BY `{day}` RANGE BETWEEN {furthest} PRECEDING AND {nearest} PRECEDING)"
+    )
+    rows = (
+        store.where(functools.reduce(operator.and_, known))
+        .select(
+            *spec.group_columns,
+            day,
+            *_present(store, spec.future_names),
+            F.col(spec.target).alias("target"),
+            F.when(on_cadence(day, stride), origin).alias("_origin"),
+        )
+        .withColumn("_origins", gathered)
+        .drop("_origin")
+        .withColumnRenamed(day, "target_date")
+        .select("*", F.inline("_origins"))
+        .drop("_origins")
+        .withColumn("horizon", F.datediff("target_date", "origin_date"))
+    )
     if dimensions is not None:
         rows = dimensions.describe(rows, "target_date")
     return rows.select(
@@ -72,14 +87,7 @@ def assemble_horizon(
 
     Days are matched by date: an origin without a row on its target day yields nothing.
     """
-    targets = _targets(store, spec).select(
-        "*",
-        F.date_sub("target_date", horizon).alias("origin_date"),
-        F.lit(horizon).alias("horizon"),
-    )
-    if stride > 1:
-        targets = targets.where(on_cadence("origin_date", stride))
-    return _assembled(store, targets, spec, stride, dimensions)
+    return _assembled(store, spec, horizon, horizon, stride, dimensions)
 
 
 def assemble_horizons(
@@ -89,20 +97,5 @@ def assemble_horizons(
     stride: int = 1,
     dimensions: Dimensions | None = None,
 ) -> DataFrame:
-    """Rows for all horizons 1..max_horizon from a single join.
-
-    Each target row lists the sampled origins that reach it, so about max_horizon / stride copies
-    of the target columns are shuffled (with ``dimensions`` only keys, price and units); the wide
-    history columns move once per origin.
-    """
-    residue = F.pmod(F.unix_date("target_date"), F.lit(stride))
-    nearest = F.when(residue == 0, F.lit(stride)).otherwise(residue)
-    reachable = F.when(
-        nearest <= max_horizon, F.sequence(nearest, F.lit(max_horizon), F.lit(stride))
-    )
-    targets = (
-        _targets(store, spec)
-        .withColumn("horizon", F.explode(reachable))
-        .withColumn("origin_date", F.date_sub("target_date", F.col("horizon")))
-    )
-    return _assembled(store, targets, spec, stride, dimensions)
+    """Rows for all horizons 1..max_horizon in one pass over the series."""
+    return _assembled(store, spec, 1, max_horizon, stride, dimensions)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,7 @@ class SeasonalQuantiles:
 
     quantiles: list[float]
     spec: FeatureSpec = field(default_factory=FeatureSpec)
+    uses_features: ClassVar[bool] = False
 
     def fit(self, train: DataFrame, validation: DataFrame | None = None) -> SeasonalModel:
         """Fit on ``train``; there is nothing to stop early, so ``validation`` is not used."""

@@ -82,10 +82,9 @@ def train(
     """Backtest on a snapshot and log the run; returns the flat metrics."""
     spec, forecast, costs = spec or FeatureSpec(), forecast or ForecastSpec(), costs or CostSpec()
     name = snapshots.snapshot_name(tables, snapshot)
+    store = _needed(tables.require(name), spec, forecaster)
     dataset = write_and_read(
-        horizon.assemble_horizons(
-            tables.require(name), spec, forecast.horizon_days, forecast.origin_stride_days
-        ),
+        horizon.assemble_horizons(store, spec, forecast.horizon_days, forecast.origin_stride_days),
         "train",
     )
     bounds = splits.chronological_bounds(
@@ -103,11 +102,22 @@ def train(
     return metrics
 
 
+def _needed(store: DataFrame, spec: FeatureSpec, forecaster: backtest.Forecaster) -> DataFrame:
+    """The feature store, or its sales columns alone if the forecaster looks at no features."""
+    if forecaster([0.5]).uses_features:
+        return store
+    return store.select(*spec.group_columns, spec.date_column, spec.target, *spec.numeric_features)
+
+
 def _lead_time_dataset(
-    tables: Tables, spec: FeatureSpec, lead_time_days: int, snapshot: str
+    tables: Tables,
+    spec: FeatureSpec,
+    lead_time_days: int,
+    snapshot: str,
+    forecaster: backtest.Forecaster,
 ) -> DataFrame:
-    assembled = horizon.assemble_horizon(tables.require(snapshot), spec, lead_time_days)
-    return write_and_read(assembled, "lead-time")
+    store = _needed(tables.require(snapshot), spec, forecaster)
+    return write_and_read(horizon.assemble_horizon(store, spec, lead_time_days), "lead-time")
 
 
 @cleans_up
@@ -123,7 +133,7 @@ def recommend(
     """Write the recommendations table anew and return it."""
     spec, forecast, costs = spec or FeatureSpec(), forecast or ForecastSpec(), costs or CostSpec()
     name = snapshots.snapshot_name(tables, snapshot)
-    dataset = _lead_time_dataset(tables, spec, lead_time_days, name)
+    dataset = _lead_time_dataset(tables, spec, lead_time_days, name, forecaster)
     rows = decisions.recommend(dataset, lead_time_days, costs, forecast, forecaster)
     return tables.replace(RECOMMENDATIONS, rows.withColumn("snapshot_table", F.lit(name)))
 
@@ -143,7 +153,7 @@ def simulate(
     spec, forecast, costs = spec or FeatureSpec(), forecast or ForecastSpec(), costs or CostSpec()
     replay_spec = replay_spec or ReplaySpec()
     name = snapshots.snapshot_name(tables, snapshot)
-    dataset = _lead_time_dataset(tables, spec, replay_spec.lead_time_days, name)
+    dataset = _lead_time_dataset(tables, spec, replay_spec.lead_time_days, name, forecaster)
     rows = write_and_read(
         decisions.replay(dataset, replay_spec, costs, forecast, forecaster), "replay"
     )

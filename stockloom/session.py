@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stockloom-"))
     return context.getCheckpointDir().rstrip("/")

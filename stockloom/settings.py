@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import Column, WindowSpec
 
 from stockloom.functions import newsvendor
 
@@ -40,9 +45,27 @@ def _filled(**values: tuple) -> None:
             _refuse(name, value, "nothing to work with")
 
 
+@dataclass(frozen=True)
+class Aggregate:
+    """A rolling aggregate of one's own: what ``over`` makes of the rolled column and a frame.
+
+    The frame ends one row before the current one. ``name`` becomes part of the column's name.
+    """
+
+    name: str
+    over: Callable[[Column, WindowSpec], Column]
+
+    def __post_init__(self) -> None:
+        if not self.name.isidentifier() or self.name in AGGREGATIONS:
+            _refuse("aggregate name", self.name, "not a new name")
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
-    """Which columns identify a series and which history features to derive from it."""
+    """Which columns identify a series and which history features to derive from it.
+
+    ``aggregations`` holds names of :data:`AGGREGATIONS` and :class:`Aggregate` objects.
+    """
 
     target: str = "units_sold"
     date_column: str = "date"
@@ -51,7 +74,7 @@ class FeatureSpec:
     lags: tuple[int, ...] = (1, 7, 14, 28)
     roll_column: str = "units_sold"
     windows: tuple[int, ...] = (7, 14, 28)
-    aggregations: tuple[str, ...] = ("mean", "std", "min", "max")
+    aggregations: tuple[str | Aggregate, ...] = ("mean", "std", "min", "max")
     calendar_features: tuple[str, ...] = (
         "day_of_week",
         "week_of_year",
@@ -73,16 +96,23 @@ class FeatureSpec:
         )
         # A lag or window of zero rows would let a row see its own day.
         _counts(**{f"lag {n}": n for n in self.lags}, **{f"window {n}": n for n in self.windows})
-        for name in {*self.aggregations} - {*AGGREGATIONS}:
-            _refuse("aggregations", name, f"known are {', '.join(AGGREGATIONS)}")
+        for entry in self.aggregations:
+            if not isinstance(entry, Aggregate) and entry not in AGGREGATIONS:
+                _refuse("aggregations", entry, f"known are {', '.join(AGGREGATIONS)}; or pass an Aggregate")
+        if len({*self.aggregation_names}) < len(self.aggregations):
+            _refuse("aggregations", self.aggregation_names, "each name can stand for one column only")
 
     @property
     def lag_names(self) -> list[str]:
         return [f"{self.lag_column}_lag_{n}" for n in self.lags]
 
+    @property
+    def aggregation_names(self) -> list[str]:
+        return [a.name if isinstance(a, Aggregate) else a for a in self.aggregations]
+
     @property
     def rolling_names(self) -> list[str]:
-        return [f"{self.roll_column}_roll_{a}_{w}" for w in self.windows for a in self.aggregations]
+        return [f"{self.roll_column}_roll_{a}_{w}" for w in self.windows for a in self.aggregation_names]
 
     @property
     def history_names(self) -> list[str]:
@@ -104,8 +134,8 @@ class FeatureSpec:
         return max(*self.lags, *self.windows)
 
     def fingerprint(self) -> str:
-        """Short stable hash, recorded with each snapshot."""
-        text = json.dumps(asdict(self), sort_keys=True)
+        """Short stable hash, recorded with each snapshot. Functions count by their names."""
+        text = json.dumps(asdict(self), sort_keys=True, default=lambda f: f"{f.__module__}.{f.__qualname__}")
         return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 

@@ -249,7 +249,7 @@ class OrderLinePanel:
             f"{event(3, 1)} AS event_type_1",
             f"{event(2, 2)} AS event_name_2",
             f"{event(3, 2)} AS event_type_2",
-            "cast(int(day <= 10) AS string) AS snap_CA",
-            "cast(int(day BETWEEN 5 AND 15) AS string) AS snap_TX",
-            "cast(int(day >= 20) AS string) AS snap_WI",
+            "cast(int(day % 3 = 1) AS string) AS snap_CA",
+            "cast(int(number % 14 < 5) AS string) AS snap_TX",
+            "cast(int(month % 2 = 0 AND day > 12) AS string) AS snap_WI",
         )

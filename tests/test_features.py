@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 from datetime import date, timedelta
 
@@ -66,23 +67,23 @@ def test_features_count_rows_and_never_see_the_current_day(spark):
     assert_features(features.history_features(sales, FIVE), expected_features(rows, FIVE))
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 20, 64, 500])
-def test_blocks_give_the_same_features(spark, block_rows):
-    rows, sales = panel(spark, seed=block_rows)
-    blocked = features.history_features(sales, FIVE, block_rows=block_rows)
+@pytest.mark.parametrize("block_days", [1, 7, 20, 64, 500])
+def test_blocks_give_the_same_features(spark, block_days):
+    rows, sales = panel(spark, seed=block_days)
+    blocked = features.history_features(sales, FIVE, block_days)
     assert_features(blocked, expected_features(rows, FIVE))
     assert blocked.columns == features.history_features(sales, FIVE).columns
 
 
-@pytest.mark.parametrize("block_rows", [3, 10, 10_000])
-def test_null_keys_and_repeated_days(spark, block_rows):
+@pytest.mark.parametrize("block_days", [3, 10, 10_000, None])
+def test_null_keys_and_repeated_days(spark, block_days):
     """NULL keys form a series, a NULL date comes first, rows of one day go by their values."""
     rows, _ = panel(spark, seed=9)
     messy = [(None if k == "b" else s, k, d, u, p) for s, k, d, u, p in rows]
     messy += [("S", "a", None, 4, 1.0), ("S", "a", None, 2, 1.0), (None, None, None, 1, None)]
     messy += [("S", "a", rows[i][2], rows[i][3] + 1, 2.0) for i in (5, 6, 40)]
     schema = "store_id string, sku_id string, date date, units_sold int, sell_price double"
-    found = features.history_features(spark.createDataFrame(messy, schema), FIVE, block_rows).collect()
+    found = features.history_features(spark.createDataFrame(messy, schema), FIVE, block_days).collect()
     assert len(found) == len(messy)
     last = date(1, 1, 1)
     for key in {(r[0], r[1]) for r in messy}:
@@ -102,21 +103,23 @@ def test_null_keys_and_repeated_days(spark, block_rows):
         assert got == sorted(expected, key=str)
 
 
-def test_no_task_gets_a_whole_long_series(spark):
-    """Through the default arguments but for the block size: blocks end after whole months."""
+def test_no_task_gets_a_whole_long_series(spark, tmp_path):
+    """One scan and one shuffle deal out (series, block); besides, only block ends travel again."""
     start = date(2000, 1, 1)
     rows = [("S", "long", start + timedelta(days=i), i % 9, 1.0) for i in range(4000)]
     schema = "store_id string, sku_id string, date date, units_sold int, sell_price double"
-    sales = spark.createDataFrame(rows, schema)
-    months = features._month_blocks(sales, FeatureSpec(), 500).collect()
-    size = {}
-    for r in months:
-        days = sum(d.replace(day=1) == r._month for _, _, d, _, _ in rows)
-        size[r._block] = size.get(r._block, 0) + days
-    assert sum(size.values()) == 4000 and len(size) == 8 and max(size.values()) <= 500 + 31
-    assert all(len(r._context_of) <= 1 for r in months)
-    assert sum(len(r._context_of) for r in months) <= 2 * len(size)
-    assert features._month_blocks(sales, FeatureSpec(), features.BLOCK_ROWS).isEmpty()
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sales")
+    sales = spark.read.parquet(f"{tmp_path}/sales")
+    spec = FeatureSpec(lags=(1, 7), windows=(7,))
+    blocked = features.history_features(sales, spec, block_days=500)
+    whole = features.history_features(sales, spec)
+    assert blocked.exceptAll(whole).isEmpty() and blocked.count() == 4000
+    blocked = features.history_features(sales, spec, block_days=500)
+    blocked.collect()
+    plan = blocked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+    by_block, by_series = (re.findall(rf"Exchange hashpartitioning\(store_id#\d+, sku_id#\d+{x}, \d+\)", plan) for x in (r", _block#\d+L", ""))
+    assert len(by_block) == 2 and len(by_series) == 1  # one is what the other reuses
 
 
 def test_one_shuffle_and_one_sort_for_all_windows(spark):

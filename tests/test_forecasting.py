@@ -170,7 +170,7 @@ def test_forest_quantiles_against_a_direct_computation(spark, project):
     predicted = {tuple(r[k] for k in KEY): r for r in model.predict(test).collect()}
 
     def leaves(rows, training=False):
-        reached = model.forest.transform(forests._assembled(rows, SPEC, model.means, training))
+        reached = model.forest.transform(forests.assembled_features(rows, SPEC, model.means, training))
         return reached.withColumn("leaves", vector_to_array("_leaf")).collect()
 
     per_leaf = {}
