@@ -41,13 +41,14 @@ def snapshot_statistics(snapshot: DataFrame) -> DataFrame:
 def build_snapshot(
     tables: Tables, store: DataFrame, spec: FeatureSpec, git_commit: str | None = None
 ) -> Row:
-    """Freeze ``store`` as the next version and list it. Returns the manifest row.
+    """Freeze ``store`` as the next version, clustered by series, and list it. Returns the manifest
+    row.
 
     A build always makes a new version, also when nothing changed.
     """
     version = manifest(tables).agg(F.coalesce(F.max("version"), F.lit(0)) + 1).first()[0]
     name = f"{PREFIX}{version}"
-    written = tables.replace(name, store)
+    written = tables.replace(name, store, spec.group_columns)
     statistics = snapshot_statistics(written).first()
     entry = (
         version,

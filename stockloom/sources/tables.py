@@ -4,11 +4,15 @@ A table that is replaced as a whole gets a new folder for each version. A manife
 last, makes the version the current one: a write that dies leaves the old version in place, and
 readers that have planned on it can finish. The version before the current one is kept, older ones
 are deleted. Tables that only grow are folders that are appended to.
+
+A version can be clustered: hash-bucketed and sorted by key columns, one file per bucket. The manifest
+keeps keys and number of buckets, and readers get a scan that Spark knows to be dealt out by them.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -19,7 +23,16 @@ from pyspark.sql import types as T
 from stockloom.session import delete_folder
 
 VERSIONS = "table_versions"
-_VERSION_SCHEMA = "name string, number int, folder string"
+_VERSION_SCHEMA = "name string, number int, folder string, keys array<string>, buckets int"
+
+
+def _quoted(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
+def _definition(folder: str) -> str:
+    """The name of the session's definition of a clustered version."""
+    return f"clustered_{folder.rsplit('/', 1)[-1]}"
 
 
 @dataclass(frozen=True)
@@ -48,25 +61,54 @@ class Tables:
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame | None:
         """A scan of the table's current version, or None if it was never written."""
         versions = self._versions(name)
+        if versions and versions[0].buckets:
+            return self._clustered(versions[0])
         return self._scan(f"{self.root}/{versions[0].folder if versions else name}", schema)
 
+    def _clustered(self, version) -> DataFrame:
+        """A scan by a table definition of this session, which knows the buckets."""
+        path, table = f"{self.root}/{version.folder}", _definition(version.folder)
+        if not self.spark.catalog.tableExists(table):
+            schema = self.spark.read.parquet(path).schema
+            columns = ", ".join(f"{_quoted(f.name)} {f.dataType.simpleString()}" for f in schema)
+            keys = ", ".join(map(_quoted, version.keys))
+            self.spark.sql(
+                f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) "
+                f"INTO {version.buckets} BUCKETS LOCATION '{path}'"
+            )
+        return self.spark.table(table)
+
     def require(self, name: str) -> DataFrame:
         table = self.read(name)
         if table is None:
             raise LookupError(f"table {name!r} not found under {self.root}")
         return table
 
-    def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Write the table anew, make that its current version and return a scan of it."""
+    def replace(self, name: str, df: DataFrame, cluster_by: Sequence[str] = ()) -> DataFrame:
+        """Write the table anew, make that its current version and return a scan of it.
+
+        With ``cluster_by``, rows are dealt out by these columns once, into as many buckets as the
+        session has shuffle partitions; windows and joins by them need no shuffle afterwards.
+        """
         versions = self._versions(name)
         folder = f"{name}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
+        path, buckets = f"{self.root}/{folder}", None
+        if cluster_by:
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            dealt = df.repartition(buckets, *cluster_by).sortWithinPartitions(*cluster_by)
+            writer = dealt.write.bucketBy(buckets, *cluster_by).sortBy(*cluster_by)
+            writer.option("path", path).saveAsTable(_definition(folder))
+        else:
+            df.write.parquet(path)
         number = versions[0].number + 1 if versions else 1
-        entry = self.spark.createDataFrame([(name, number, folder)], _VERSION_SCHEMA)
+        entry = self.spark.createDataFrame(
+            [(name, number, folder, list(cluster_by) or None, buckets)], _VERSION_SCHEMA
+        )
         self.append(VERSIONS, entry.coalesce(1))
         for old in versions[1:]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {_definition(old.folder)}")
             delete_folder(self.spark, f"{self.root}/{old.folder}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}")
+        return self.spark.table(_definition(folder)) if buckets else self.spark.read.schema(df.schema).parquet(path)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(f"{self.root}/{name}")

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import features
+from stockloom.operators import features, horizon
 from stockloom.plans import jobs
 from stockloom.settings import FeatureSpec
 from stockloom.sources import snapshots
@@ -199,3 +199,26 @@ def test_unlisted_data_is_ignored_and_replaced(project, spark, tmp_path):
         snapshots.read_snapshot(tables)
     assert snapshots.build_snapshot(tables, store, FeatureSpec()).version == 1
     assert snapshots.read_snapshot(tables).count() == N
+
+
+def test_horizons_of_a_snapshot_need_no_shuffle(project, spark):
+    """Snapshots are clustered by series, for every session that reads them."""
+    sales = "store_id string, sku_id string, date date, units_sold int"
+    for tables in (project, Tables(spark.newSession(), project.root)):
+        store = snapshots.read_snapshot(tables)
+        rows = horizon.assemble_horizons(store, FeatureSpec(), 5)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert rows.count() > 0
+        again = features.history_features(store.select(*[c.split()[0] for c in sales.split(", ")]), FIVE)
+        assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_clustered_table_is_replaced_like_others(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    for n in range(4):
+        rows = spark.range(10 * (n + 1)).selectExpr("id % 7 AS `the key`", "id", "named_struct('a b', array(id)) AS s")
+        written = tables.replace("t", rows, ["the key"] if n != 2 else ())
+        assert written.count() == tables.require("t").count() == 10 * (n + 1)
+        assert tables.require("t").select("s.`a b`").first()[0] is not None
+    assert len(list((tmp_path / "t").iterdir())) == 2
