@@ -1,35 +1,39 @@
-"""Benchmark passages in training texts, found with a positional inverted index.
-
-The index is distributed by document: a task turns a block of texts into posting lists (term to word
-positions) of the benchmark's terms. Every benchmark window starts from the postings of its rarest
-term in that block and intersects the other terms' lists, shifted by their offsets, rarest first.
-What is left are exact phrase matches. A start that has most of a window's terms within ``slop`` words
-of their place is a proximity match; of as many of the rarest terms as may be missing and one more,
-absent ones included, one at least is there, so all such starts come from their postings. No text is
-shuffled.
+"""Benchmark passages in training texts, found with a distributed positional inverted index.
+
+The index is a table in the shared folder: for each term of the benchmark and each document that holds
+it the word positions, and for each document its number of words. It is dealt into shards of documents of
+bounded size, the benchmark's windows into blocks, and each block meets each shard once; neither passes
+through the driver. There a window starts from the posting list of its rarest term and intersects the
+other terms' lists, shifted by their offsets, rarest first. What is left are exact phrase matches. A start
+that has most of a window's terms within ``slop`` words of their place is a proximity match; of as many of
+the rarest terms as may be missing and one more, absent ones included, one at least is there, so all such
+starts come from their postings. No text is shuffled.
+
+:func:`keep_clean` needs exact matches alone and makes its postings per block of texts instead.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm import text as T
+from stockloom.llm.storage import Scratch
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"  # of the lower-cased text
-ITEM_BYTES = 8_000_000  # benchmark text that one pass holds in a task
+ITEM_BYTES = 8_000_000  # benchmark text that one pass of keep_clean holds in a task
+SHARD_WORDS = 4_000_000  # words of the documents in a shard, about
+BLOCK_WINDOWS = 20_000  # windows of the benchmark in a block, about
 NEAR_STARTS = 1_000_000  # starts of proximity matches that are looked at together
 
-SCHEMA = (
-    "doc_id long, n_words long, spans array<struct<start:int,end:int>>, item_ids array<string>, "
-    "near_ids array<string>"
-)
+_INDEX = "term long, row long, id long, n long, places array<int>"
+_FOUND = "row long, id long, n long, spans array<struct<start:int,end:int>>, windows array<long>, near array<long>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 @dataclass(frozen=True)
@@ -76,13 +80,26 @@ def phrases(items: list[tuple[str | None, str | None]], width: int) -> Phrases:
 def find(
     hashes: np.ndarray, per_text: np.ndarray, wanted: Phrases, slop: int, share: float
 ) -> tuple[np.ndarray, ...]:
-    """(window, start) of the exact matches, then (window, text) of the proximity matches, in one block."""
+    """:func:`find_terms` in texts given as word hashes."""
+    if len(wanted.vocabulary):
+        ids = np.searchsorted(wanted.vocabulary, hashes)
+        ids[ids == len(wanted.vocabulary)] = 0
+        ids[wanted.vocabulary[ids] != hashes] = -2
+    else:
+        ids = np.full(len(hashes), -2)
+    return find_terms(ids, per_text, wanted, slop, share)
+
+
+def find_terms(
+    ids: np.ndarray, per_text: np.ndarray, wanted: Phrases, slop: int, share: float
+) -> tuple[np.ndarray, ...]:
+    """(window, start) of the exact matches, then (window, text) of the proximity matches.
+
+    ``ids`` has a place in the vocabulary for each word of the texts, -2 for other words.
+    """
     none = np.zeros(0, np.int64)
-    if not len(hashes) or not len(wanted.terms):
+    if not len(ids) or not len(wanted.terms):
         return none, none, none, none
-    ids = np.searchsorted(wanted.vocabulary, hashes)
-    ids[ids == len(wanted.vocabulary)] = 0
-    ids[wanted.vocabulary[ids] != hashes] = -2
     count = np.bincount(ids[ids >= 0], minlength=len(wanted.vocabulary))
     present = np.where(wanted.terms >= 0, count[wanted.terms], np.iinfo(np.int64).max)
     order = np.argsort(present, axis=1, kind="stable")  # offsets of a window, rarest term first
@@ -154,40 +171,131 @@ def _owners(wanted: Phrases, window: np.ndarray, text: np.ndarray) -> dict[int,
     return {t: [wanted.names[i] for i in sorted(found)] for t, found in named.items()}
 
 
-def _scan(wanted: Phrases, slop: int, share: float):
-    table = T.byte_table(SEPARATORS)
-
-    def scan(batches):
+def _post(batches):
+    """A posting with its positions for each distinct term of a text, and a row without term for the
+    text itself."""
+    table, base = T.byte_table(SEPARATORS), T.row_base()
+    for batch in batches:
+        for rows, data, offsets in T.blocks(batch):
+            hashes, _, _, per_text = T.words(data, offsets, table)
+            count = rows.stop - rows.start
+            own, words = batch.column(0).slice(rows.start, count), np.diff(per_text)
+            text = np.repeat(np.arange(count), words)
+            order = np.lexsort((hashes, text))
+            first = np.ones(len(order), bool)
+            first[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (text[order[1:]] != text[order[:-1]])
+            begins = np.flatnonzero(first)
+            holder = text[order[begins]]
+            places = pa.array((order - per_text[text[order]]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(T.signed(hashes[order[begins]])),
+                    pa.array(base + holder),
+                    own.take(pa.array(holder, pa.int64())),
+                    pa.array(words[holder]),
+                    pa.ListArray.from_arrays(pa.array(np.append(begins, len(order)), pa.int32()), places),
+                ],
+                names=["term", "row", "id", "n", "places"],
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.nulls(count, pa.int64()),
+                    pa.array(base + np.arange(count)),
+                    own,
+                    pa.array(words),
+                    pa.nulls(count, pa.list_(pa.int32())),
+                ],
+                names=["term", "row", "id", "n", "places"],
+            )
+            base += count
+
+
+def _windows_of(width: int):
+    """The windows of each item: a number by their terms, the item's name, and the term hashes."""
+
+    def cut(batches):
+        table = T.byte_table(SEPARATORS)
         for batch in batches:
             for rows, data, offsets in T.blocks(batch):
                 hashes, _, _, per_text = T.words(data, offsets, table)
-                window, start, near, near_text = find(hashes, per_text, wanted, slop, share)
-                text = np.searchsorted(per_text, start, side="right") - 1
-                exact, close = _owners(wanted, window, text), _owners(wanted, near, near_text)
-                spans: dict[int, list] = {}
-                for t, a, b in sorted(
-                    zip(text.tolist(), start.tolist(), (start + wanted.lengths[window]).tolist(), strict=True)
-                ):
-                    a, b, own = a - int(per_text[t]), b - int(per_text[t]), spans.setdefault(t, [])
-                    if own and a <= own[-1]["end"]:
-                        own[-1]["end"] = max(b, own[-1]["end"])
-                    else:
-                        own.append({"start": a, "end": b})
-                n = rows.stop - rows.start
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column(0).slice(rows.start, n),
-                        "n_words": pa.array(np.diff(per_text)),
-                        "spans": pa.array(
-                            [spans.get(i, []) for i in range(n)],
-                            pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])),
-                        ),
-                        "item_ids": pa.array([exact.get(i, []) for i in range(n)], pa.list_(pa.string())),
-                        "near_ids": pa.array([close.get(i, []) for i in range(n)], pa.list_(pa.string())),
-                    }
+                number, name, terms = [], [], []
+                for own, a, b in zip(batch.column(0)[rows.start : rows.stop].to_pylist(), per_text[:-1], per_text[1:], strict=True):
+                    for at in range(a, max(b - width + 1, a + (b > a))):
+                        window = hashes[at : min(at + width, b)]
+                        name.append(own)
+                        terms.append(T.signed(window))
+                        mixed = np.uint64(len(window))
+                        for h in window:
+                            mixed = T.mix(np.array([mixed ^ h]))[0]
+                        number.append(int(mixed.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number, pa.int64()), pa.array(name, pa.string()), pa.array(terms, pa.list_(pa.int64()))],
+                    names=["window", "name", "terms"],
                 )
 
-    return scan
+    return cut
+
+
+def _meet(slop: int, share: float):
+    """The matches of one block's windows in one shard of the index."""
+
+    def meet(index: pa.Table, windows: pa.Table) -> pa.Table:
+        index = index.combine_chunks()
+        whole = index.filter(index["term"].is_null()).sort_by("row")
+        rows, n = whole["row"].to_numpy(), whole["n"].to_numpy()
+        per_text = np.append(0, np.cumsum(n))
+        terms = windows["terms"].combine_chunks()
+        lengths = np.diff(terms.offsets.to_numpy())
+        flat = terms.flatten().to_numpy()
+        vocabulary = np.unique(flat)
+        matrix = np.full((len(lengths), int(lengths.max()) if len(lengths) else 0), -1, np.int64)
+        matrix[np.arange(matrix.shape[1]) < lengths[:, None]] = np.searchsorted(vocabulary, flat)
+        wanted = Phrases(vocabulary, matrix, lengths.astype(np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), [])
+
+        postings = index.filter(index["term"].is_valid())
+        ids = np.full(int(per_text[-1]), -2, np.int64)
+        if postings.num_rows and len(vocabulary):
+            places = postings["places"].combine_chunks()
+            sizes = np.diff(places.offsets.to_numpy())
+            term = np.searchsorted(vocabulary, postings["term"].to_numpy())
+            start = per_text[np.searchsorted(rows, postings["row"].to_numpy())]
+            ids[np.repeat(start, sizes) + places.flatten().to_numpy()] = np.repeat(term, sizes)
+        window, start, near, near_text = find_terms(ids, per_text, wanted, slop, share)
+        text = np.searchsorted(per_text, start, side="right") - 1
+        numbers = windows["window"].to_numpy()
+        spans = _spans_of(text, start - per_text[text], wanted.lengths[window])
+        return pa.table(
+            [
+                whole["row"],
+                whole["id"],
+                whole["n"],
+                pa.array([spans.get(i, []) for i in range(len(rows))], _SPANS),
+                _per_text(text, numbers[window], len(rows)),
+                _per_text(near_text, numbers[near], len(rows)),
+            ],
+            names=["row", "id", "n", "spans", "windows", "near"],
+        )
+
+    return meet
+
+
+def _per_text(text: np.ndarray, numbers: np.ndarray, rows: int) -> pa.Array:
+    """The distinct numbers of each text, as lists."""
+    pairs = np.unique(np.stack([text, numbers], axis=1), axis=0)
+    ends = np.append(0, np.cumsum(np.bincount(pairs[:, 0], minlength=rows)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[:, 1].copy(), pa.int64()))
+
+
+def _spans_of(text: np.ndarray, start: np.ndarray, length: np.ndarray) -> dict[int, list]:
+    """Per text the unions of the word ranges of its matches."""
+    spans: dict[int, list] = {}
+    for t, a, b in sorted(zip(text.tolist(), start.tolist(), (start + length).tolist(), strict=True)):
+        own = spans.setdefault(t, [])
+        if own and a <= own[-1]["end"]:
+            own[-1]["end"] = max(b, own[-1]["end"])
+        else:
+            own.append({"start": a, "end": b})
+    return spans
 
 
 def benchmark_matches(
@@ -202,26 +310,55 @@ def benchmark_matches(
 
     A null text has no words, a null or wordless item no window; an item without id marks words but
     is not named. Repeated items and documents count as they stand: one row per input row. Other
-    columns are ignored. Benchmarks beyond ``ITEM_BYTES`` are matched in several passes, each with
-    a part of the items, whose results are merged per document row.
+    columns are ignored. Terms and windows are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = _parts(items, window)
-    if len(parts) == 1:
-        return rows.mapInArrow(_scan(parts[0], slop, share), SCHEMA)
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.col("doc_id").alias("_own"))
-    scans = [rows.mapInArrow(_scan(wanted, slop, share), SCHEMA) for wanted in parts]
-    found = functools.reduce(DataFrame.unionByName, scans)
-    merged = found.groupBy("doc_id").agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_ids")))).alias("near_ids"),
+    scratch = Scratch(docs.sparkSession, "positions")
+    asked = scratch.store(
+        items.select(F.col("item_id").cast("string"), "text").mapInArrow(
+            _windows_of(window), "window long, name string, terms array<long>"
+        )
     )
-    return (
-        merged.withColumnRenamed("doc_id", "_row")
-        .join(rows.select(F.col("doc_id").alias("_row"), "_own"), "_row")
-        .select(F.col("_own").alias("doc_id"), "n_words", _merged_spans("spans").alias("spans"), "item_ids", "near_ids")
+    owners = scratch.store(asked.where("name IS NOT NULL").select("window", "name").distinct())
+    windows = scratch.store(asked.groupBy("window").agg(F.first("terms").alias("terms")))
+    vocabulary = scratch.store(windows.select(F.explode("terms").alias("term")).distinct().withColumn("asked", F.lit(True)))
+    index = scratch.store(
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .mapInArrow(_post, _INDEX)
+        .join(vocabulary, "term", "left")
+        .where("asked OR term IS NULL")
+        .drop("asked")
+    )
+    words = index.where("term IS NULL").agg(F.sum("n")).first()[0] or 0
+    shards, blocks = -(-max(words, 1) // SHARD_WORDS), -(-max(windows.count(), 1) // BLOCK_WINDOWS)
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("long").alias("shard")
+    blocked = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)).cast("long"))
+    needed = scratch.store(blocked.select(F.explode("terms").alias("term"), "block").distinct())
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    postings = index.where("term IS NOT NULL").join(needed, "term").select("term", "row", "id", "n", "places", "block", shard)
+    texts = index.where("term IS NULL").select("term", "row", "id", "n", "places", every).select("*", shard)
+    dealt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard")
+    found = scratch.store(
+        postings.unionByName(texts)
+        .groupBy("shard", "block")
+        .cogroup(blocked.select("window", "terms", "block", dealt).groupBy("shard", "block"))
+        .applyInArrow(_meet(slop, share), _FOUND)
+    )
+    whole = found.groupBy("row").agg(
+        F.first("id").alias("doc_id"),
+        F.first("n").alias("n_words"),
+        _merged_spans(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"),
+    )
+    for matches, column in (("windows", "item_ids"), ("near", "near_ids")):
+        named = (
+            found.select("row", F.explode(matches).alias("window"))
+            .join(owners, "window")
+            .groupBy("row")
+            .agg(F.sort_array(F.collect_set("name")).alias(column))
+        )
+        whole = whole.join(named, "row", "left")
+    none = F.array().cast("array<string>")
+    return whole.select(
+        "doc_id", "n_words", "spans", *[F.coalesce(c, none).alias(c) for c in ("item_ids", "near_ids")]
     )
 
 
@@ -257,7 +394,7 @@ def _parts(items: DataFrame, window: int) -> list[Phrases]:
     ]
 
 
-def _merged_spans(spans: str):
+def _merged_spans(spans: Column):
     """Unions of overlapping or touching ranges of a sorted array."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
 

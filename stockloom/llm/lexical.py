@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +30,6 @@ _POSTINGS = "term long, row long, id long, tf long, n long"
 _FOUND = "item long, item_id string, doc_id long, row long, score long"
 
 
-def _row_base() -> int:
-    """Rows of a task are numbered from here, so that equal ids stay apart."""
-    return TaskContext.get().partitionId() << 40
-
-
 def _term_counts(batch: pa.RecordBatch):
     """Runs of rows: (rows, row of each distinct term, its hash, its count, words per row)."""
     table = T.byte_table(SEPARATORS)
@@ -54,7 +48,7 @@ def _term_counts(batch: pa.RecordBatch):
 def _post(batches):
     """A posting for each distinct term of a text, and for each run of texts one row without term:
     in ``tf`` the texts with terms, in ``n`` their terms."""
-    base = _row_base()
+    base = T.row_base()
     for batch in batches:
         ids = batch.column(0)
         for rows, owner, hashes, counts, words in _term_counts(batch):
@@ -72,7 +66,7 @@ def _post(batches):
 
 
 def _ask(batches):
-    base = _row_base()
+    base = T.row_base()
     for batch in batches:
         for rows, owner, hashes, _, _ in _term_counts(batch):
             own = batch.column(0).slice(rows.start, rows.stop - rows.start).take(pa.array(owner, pa.int64()))

@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 1_000_000  # text processed by one round of array operations
@@ -58,6 +59,11 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def row_base() -> int:
+    """Rows of a task are numbered from here, so that rows with equal ids stay apart."""
+    return TaskContext.get().partitionId() << 40
+
+
 def byte_table(separators: str, lower: bool = True) -> np.ndarray:
     """A byte-to-byte table: 0 for bytes whose (lower-cased) value is in the character class
     ``separators``, else that value."""

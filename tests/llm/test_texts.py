@@ -313,6 +313,8 @@ def items():
 @pytest.mark.parametrize("limit", [decontam.ITEM_BYTES, 400])
 def test_hits_equal_a_direct_search(spark, messy, items, limit, monkeypatch):
     monkeypatch.setattr(decontam, "ITEM_BYTES", limit)
+    monkeypatch.setattr(decontam, "SHARD_WORDS", limit * 5)
+    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", limit // 4)
     rows = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
     found = decontam.benchmark_matches(messy, rows).select(
         "doc_id", "n_words", decontam.hit_words().alias("n_hit"), "item_ids"
