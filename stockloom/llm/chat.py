@@ -94,6 +94,35 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column) -> DataFram
     )
 
 
+def with_other_replies(turns: DataFrame) -> DataFrame:
+    """The conversations (``conv_id, turn, role, text``) with the last assistant turn's text taken from
+    that of the conversation with the next id: replies that don't answer what was said.
+
+    The reply is empty where there is no such conversation or it has no assistant turn. Without an
+    assistant turn a conversation stays as it is. The last turn is that of the greatest number, then
+    text; equal rows change alike. Nulls are read as in :func:`preference_pairs`; rows without
+    ``conv_id`` give nothing.
+    """
+    said = turns.where("conv_id IS NOT NULL").select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", F.lit("unknown")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    last = said.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
+    is_last = (
+        (F.col("role") == "assistant")
+        & F.col("turn").eqNullSafe(F.col("last.turn"))
+        & (F.col("text") == F.col("last.text"))
+    )
+    return (
+        said.join(last.join(other, "conv_id", "left"), "conv_id", "left")
+        .withColumn("text", F.when(is_last, F.coalesce("other", F.lit(""))).otherwise(F.col("text")))
+        .select("conv_id", "turn", "role", "text")
+    )
+
+
 def mask_text(spans: Column) -> Column:
     """Ranges as ``start:end`` joined by commas."""
     return F.array_join(

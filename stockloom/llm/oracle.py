@@ -23,13 +23,28 @@ def _side(name: str, even: int) -> str:
 
 
 CHAT = f"""
-WITH turns AS (
-  SELECT conv_id, conv_id // 2 AS pair_id, conv_id % 2 AS side, coalesce(role, 'unknown') AS role,
-         coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
-                            coalesce(text, '')) AS i
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL
 ),
+last AS (
+  SELECT conv_id, turn, text FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC) AS back
+    FROM said WHERE role = 'assistant'
+  ) WHERE back = 1
+),
+sides AS (
+  SELECT conv_id AS pair_id, 0 AS side, turn, role, text FROM said
+  UNION ALL
+  SELECT s.conv_id, 1, s.turn, s.role,
+         CASE WHEN s.role = 'assistant' AND s.turn IS NOT DISTINCT FROM l.turn AND s.text = l.text
+              THEN coalesce(o.text, '') ELSE s.text END
+  FROM said s LEFT JOIN last l ON l.conv_id = s.conv_id LEFT JOIN last o ON o.conv_id = s.conv_id + 1
+),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM sides
+),
 whole AS (SELECT pair_id FROM turns GROUP BY pair_id HAVING count(DISTINCT side) = 2),
 prefix AS (
   SELECT pair_id, coalesce(min(CASE WHEN same THEN NULL ELSE i END), max(i) + 1) - 1 AS n_prefix
@@ -44,7 +59,7 @@ prompts AS (
 ),
 {_side("chosen", 0)},
 {_side("rejected", 1)}
-SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id,
+SELECT pair_id, pair_id AS chosen_id, pair_id AS rejected_id,
        CAST(n_prefix AS INTEGER) AS n_prefix, coalesce(prompt, '') AS prompt,
        coalesce(c.completion, '') AS chosen, coalesce(r.completion, '') AS rejected,
        coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask

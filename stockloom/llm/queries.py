@@ -69,9 +69,12 @@ def sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2n and 2n + 1 are the chosen and the rejected side of pair n."""
-    turns = table(spark, sf_dir, "conversations")
-    pairs = chat.preference_pairs(turns, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    """Every conversation as chosen; as rejected the same with the last reply of the next one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sides = turns.withColumn("chosen", F.lit(True)).unionByName(
+        chat.with_other_replies(turns).withColumn("chosen", F.lit(False))
+    )
+    pairs = chat.preference_pairs(sides, F.col("conv_id"), F.col("chosen"))
     return pairs.withColumns(
         {side: chat.mask_text(F.col(side)) for side in ("chosen_mask", "rejected_mask")}
     )

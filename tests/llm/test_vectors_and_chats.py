@@ -113,3 +113,30 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(frame.limit(0), F.col("conv_id"), F.lit(True)).collect() == []
     texts = made.select(chat.mask_text(F.col("chosen_mask")).alias("m")).collect()
     assert all("," not in r.m or ":" in r.m for r in texts)
+
+
+def test_rejected_sides_answer_with_the_next_conversations_reply(spark):
+    conversations = {
+        0: [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")],
+        1: [("user", "e"), ("assistant", "f")],
+        2: [("user", "g")],
+        3: [("assistant", "h"), ("assistant", "h")],
+        5: [(None, None), ("assistant", None), ("user", "end")],
+    }
+    rows = [(c, i, r, t) for c, turns in conversations.items() for i, (r, t) in enumerate(turns)]
+    rows += [(3, 1, "assistant", "h"), (7, None, "assistant", "x"), (None, 0, "user", "nobody")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, last string")
+    found = sorted(map(str, map(tuple, chat.with_other_replies(frame).collect())))
+    replies = {(0, 3): "f", (1, 1): "", (3, 1): "", (5, 1): "", (7, None): ""}
+    expected = [
+        (c, i, r or "unknown", replies.get((c, i), t or "") if r == "assistant" else t or "")
+        for c, i, r, t in rows
+        if c is not None
+    ]
+    assert found == sorted(map(str, expected))
+    sides = frame.select("conv_id", "turn", "role", "text").withColumn("side", F.lit(True)).unionByName(
+        chat.with_other_replies(frame).withColumn("side", F.lit(False))
+    )
+    pairs = {r.pair_id: r for r in chat.preference_pairs(sides, F.col("conv_id"), F.col("side")).collect()}
+    assert {c: r.n_prefix for c, r in pairs.items()} == {0: 3, 1: 1, 2: 1, 3: 1, 5: 3, 7: 0}
+    assert chat.with_other_replies(frame.limit(0)).collect() == []
