@@ -11,17 +11,19 @@ difference of one is found as well. The allocation takes the cheapest segments:
 frequent, so the largest come first, and a deletion neighbourhood replaces subsets of at most one
 n-gram. Sets index all their segments in their own band only.
 
-Equal sets are one node. Rows with equal signatures meet; a bucket's first node is compared with all
-others, exactly, and what is linked becomes a component. Where a bucket still holds several
-components, each node is compared with the one of another component whose 512-bit parity sketch is
-nearest (a sketch differs in no more bits than the sets differ in n-grams). At last, in buckets with
+Equal sets are one node. Rows with equal signatures meet, and buckets of the same nodes become one.
+Rows without a partner that sizes and parity sketches allow are left out: a sketch differs in no more
+bits than the sets differ in n-grams, and the long ones have about as many bits as the set has n-grams,
+so that they tell related texts from linked ones. A bucket's first node is compared with all others,
+exactly, and what is linked becomes a component. Where a bucket still holds several components, each
+node is compared with the one of another component whose sketch is nearest. At last, in buckets with
 several components even then, all pairs across them are compared unless sizes or sketches rule them
-out. No pair inside a component is listed, so a group of copies costs its size, not its square; no
-link between components is lost.
+out. No pair inside a component is listed, so a group of copies costs its size, not its square;
+no link between components is lost.
 
-How many links a document has is counted afterwards inside each component, where all links lie: its
+How many links a document has is counted on demand inside each component, where all links lie: its
 sets are cut into blocks, every pair of blocks is one product of incidence matrices, and only sums
-per set leave the task.
+per set leave the task. That takes the square of a component's size.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.llm import text as T
@@ -41,7 +43,10 @@ DELETED = 2  # segments with indexed one-deletion neighbourhoods
 SEPARATORS = r"[\x20\x09-\x0D]"
 BLOCK = 256  # sets of a component in one block
 _COLUMNS = 4096  # n-grams that one product covers
-_WORDS = 8  # 64-bit words of a parity sketch; a power of two
+_WORDS = 8  # 64-bit words of the short parity sketch of every set; a power of two
+_LONGEST = 1 << 13  # bits that a long sketch is folded to before it travels with a signature
+_FILTER_BITS = 1 << 23  # a filter of texts has a megabyte, whatever their number
+_HELD_PAIRS = 1 << 18  # pairs that a task holds to tell repeated ones
 
 
 @dataclass(frozen=True)
@@ -153,14 +158,14 @@ def _describe(n: int):
     def describe(batches):
         for batch in batches:
             for rows, sets in _sets(batch, n):
-                words = np.array([sketch(own) for own in sets], np.uint64).reshape(-1, _WORDS)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(rows.start, rows.stop - rows.start),
                         "text_key": batch.column(1).slice(rows.start, rows.stop - rows.start),
                         "node": pa.array(_node_ids(sets)),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
-                        **{s: pa.array(T.signed(words[:, i].copy())) for i, s in enumerate(_SKETCH)},
+                        "short": pa.array([sketch(own).tobytes() for own in sets], pa.binary()),
+                        "wide": pa.array([wide_sketch(own) for own in sets], pa.binary()),
                     }
                 )
 
@@ -191,8 +196,11 @@ def _sign(n: int, threshold: Threshold):
 
 
 def _meet(batches):
-    """Buckets of two or more nodes of which one asks, from rows sorted by signature and node."""
-    names = ["signature", "node", "asks", "leader"]
+    """Buckets of two or more nodes of which one asks, from rows sorted by signature and node.
+
+    A bucket is renamed by a hash of its nodes: the many signatures that the same nodes share become
+    one bucket. (Should two be named alike, their union only adds pairs to check.)"""
+    names = ["signature", "node", "asks"]
     held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
 
     def shared(signature, node, asks) -> pa.RecordBatch:
@@ -207,10 +215,9 @@ def _meet(batches):
         size = np.bincount(bucket)
         asked = np.bincount(bucket, weights=asks) > 0
         keep = (size[bucket] > 1) & asked[bucket]
-        leader = node[np.flatnonzero(begins)][bucket] if len(node) else node
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c[keep]) for c in (signature, node, asks, leader)], names=names
-        )
+        name = np.add.reduceat(T.mix(node.view(np.uint64)), np.flatnonzero(begins)) if len(node) else node
+        name = T.signed(T.mix(name.view(np.uint64) + size.astype(np.uint64)))[bucket]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (name, node, asks)], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -236,8 +243,8 @@ def sketch(own: np.ndarray) -> np.ndarray:
 
 
 def wide_sketch(own: np.ndarray) -> bytes:
-    """A parity sketch with about as many bits as the set has n-grams, a power of two."""
-    bits = 1 << max(9, (len(own) - 1).bit_length())
+    """A parity sketch with about as many bits as the set has n-grams, a power of two up to a limit."""
+    bits = min(1 << max(9, (len(own) - 1).bit_length()), _LONGEST)
     place = (T.mix(own ^ np.uint64(78)) & np.uint64(bits - 1)).astype(np.int64)
     odd = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").tobytes()
@@ -251,6 +258,30 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _key_filter(keys: DataFrame) -> bytes:
+    """Bits that are set where a text key of ``keys`` falls; of a fixed number."""
+    place = F.col("text_key").bitwiseAND(F.lit(_FILTER_BITS - 1))
+    bits = keys.groupBy(F.shiftright(place, 15).cast("int").alias("part")).agg(
+        F.bitmap_construct_agg(place % 32768).alias("bits")
+    )
+    out = bytearray(_FILTER_BITS // 8)
+    for row in bits.collect():  # at most _FILTER_BITS / 32768 rows
+        out[row.part * 4096 : (row.part + 1) * 4096] = row.bits
+    return bytes(out)
+
+
+def _with_keys_in(bits: bytes):
+    """Rows whose text key, the second column, falls on a set bit: all wanted ones and a few more."""
+
+    def keep(batches):
+        table = np.frombuffer(bits, np.uint8)
+        for batch in batches:
+            place = batch.column(1).to_numpy() & (_FILTER_BITS - 1)
+            yield batch.filter(pa.array(table[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0))
+
+    return keep
+
+
 def _detail(n: int):
     """Sets of the texts of wanted nodes; repeated rows of a task count once."""
 
@@ -267,8 +298,6 @@ def _detail(n: int):
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array([node for node, _ in found], pa.int64()),
-                        "n": pa.array([len(own) for _, own in found], pa.int64()),
-                        "wide": pa.array([wide_sketch(own) for _, own in found], pa.binary()),
                         "grams": pa.array([own.tobytes() for _, own in found], pa.binary()),
                     }
                 )
@@ -276,16 +305,7 @@ def _detail(n: int):
     return detail
 
 
-_SKETCH = tuple(f"s{i}" for i in range(_WORDS))
-_INFO = f"doc_id long, text_key long, node long, n long, {', '.join(f'{s} long' for s in _SKETCH)}"
-
-
-def _possible(threshold: Threshold) -> Column:
-    """Whether sizes and sketches of the two sides allow a link."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    bits = sum(F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(_WORDS))
-    most = F.floor((threshold.den - threshold.num) * (small + large) / (threshold.den + threshold.num))
-    return (small * threshold.den >= large * threshold.num) & (bits <= most)
+_INFO = "doc_id long, text_key long, node long, n long, short binary, wide binary"
 
 
 def _linked(threshold: Threshold):
@@ -318,25 +338,60 @@ def _near(threshold: Threshold):
     return near
 
 
-def _verify(pairs: DataFrame, details: DataFrame, threshold: Threshold) -> DataFrame:
-    """The pairs that are linked. Wide sketches, far smaller than the sets, go to the pairs first."""
-    narrowed = (
+def _narrowed(pairs: DataFrame, details: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs that long sketches, far smaller than the sets, don't rule out."""
+    return (
         pairs.join(_side(details, "a", "n", "wide"), "a")
         .join(_side(details, "b", "n", "wide"), "b")
         .select("a", "b", "n_a", "wide_a", "n_b", "wide_b")
         .mapInArrow(_near(threshold), "a long, b long")
     )
-    sets = narrowed.join(_side(details, "a", "grams"), "a").join(_side(details, "b", "grams"), "b")
+
+
+def _verify(pairs: DataFrame, details: DataFrame, threshold: Threshold) -> DataFrame:
+    """The pairs that are linked."""
+    sets = pairs.join(_side(details, "a", "grams"), "a").join(_side(details, "b", "grams"), "b")
     return sets.select("a", "b", "grams_a", "grams_b").mapInArrow(_linked(threshold), "a long, b long")
 
 
+class _Sketches:
+    """Long sketches of the rows of a bucket, of 2 ** level bits each."""
+
+    def __init__(self, column: pa.Array):
+        data, ends = T.texts_of(column)
+        self._words, self._at = data.view(np.uint64), ends[:-1] // 8
+        self.level = np.log2(np.maximum(np.diff(ends) * 8, 1)).round().astype(np.int64)
+
+    def _folded(self, rows: np.ndarray, level: int) -> np.ndarray:
+        out = np.zeros((len(rows), 1 << (level - 6)), np.uint64)
+        for own in np.unique(self.level[rows]).tolist():
+            at = np.flatnonzero(self.level[rows] == own)
+            width = 1 << (own - 6)
+            words = self._words[self._at[rows[at]][:, None] + np.arange(width)]
+            while words.shape[1] > out.shape[1]:
+                half = words.shape[1] // 2
+                words = words[:, :half] ^ words[:, half:]
+            out[at] = words
+        return out
+
+    def distances(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of pairs of rows differ, the longer one folded."""
+        common, out = np.minimum(self.level[left], self.level[right]), np.zeros(len(left), np.int64)
+        for level in np.unique(common).tolist():
+            at = np.flatnonzero(common == level)
+            step = max(1, (1 << 18) >> (level - 6))
+            for part in (at[i : i + step] for i in range(0, len(at), step)):
+                differing = self._folded(left[part], level) ^ self._folded(right[part], level)
+                out[part] = np.bitwise_count(differing).sum(axis=1)
+        return out
+
+
 def _across(threshold: Threshold, nearest: bool):
     """Pairs of different components in a bucket, one of which asks, that sizes and sketches allow:
-    all of them, or for each node the one with the nearest sketch. Rows come sorted by signature."""
+    all of them, or for each row the one with the nearest sketch. Rows come sorted by signature."""
 
-    def solve(columns: list[np.ndarray]):
-        signature, node, asks, label, n = columns[:5]
-        words = np.stack(columns[5:], axis=1).view(np.uint64)
+    def solve(columns: list[np.ndarray], sketches: _Sketches):
+        signature, node, asks, label, n = columns
         best = np.full(len(node), np.iinfo(np.int64).max)
         partner = np.full(len(node), -1)
         for step in range(1, len(signature)):
@@ -348,32 +403,78 @@ def _across(threshold: Threshold, nearest: bool):
             keep = (label[left] != label[right]) & (asks[left] | asks[right])
             keep &= small * threshold.den >= large * threshold.num
             left, right, most = left[keep], right[keep], threshold.difference(small + large)[keep]
-            bits = np.bitwise_count(words[left] ^ words[right]).sum(axis=1)
+            bits = sketches.distances(left, right)
             near = bits <= most
             left, right, bits = left[near], right[near], bits[near]
             if not nearest:
-                yield pairs(node[left], node[right])
+                yield node[left], node[right]
                 continue
             for one, other in ((left, right), (right, left)):  # each row is there once a step
                 closer = bits < best[one]
                 best[one[closer]], partner[one[closer]] = bits[closer], other[closer]
         if nearest:
             found = np.flatnonzero(partner >= 0)
-            yield pairs(node[found], node[partner[found]])
+            yield node[found], node[partner[found]]
+
+    def across(batches):
+        held = [np.zeros((0, 2), np.int64)]
+        for columns, sketches in _buckets(batches):
+            for one, other in solve(columns, sketches):
+                held.append(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1))
+            if sum(map(len, held)) > _HELD_PAIRS:
+                held = [np.unique(np.concatenate(held), axis=0)]
+                if len(held[0]) > _HELD_PAIRS // 2:
+                    yield _pair_batch(held[0])
+                    held = []
+        if held:
+            yield _pair_batch(np.unique(np.concatenate(held), axis=0))
+
+    return across
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
 
-    def pairs(one: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
-        both = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+def _buckets(batches):
+    """Whole buckets of rows that come sorted by signature: plain columns, and sketches of the last
+    one. Small buckets come together, a large one alone."""
+    held: list[pa.RecordBatch] = []
 
-    return _by_bucket(solve)
+    def parts(rows: pa.Table):
+        signature = rows.column(0).to_numpy()
+        begins = np.flatnonzero(np.diff(signature, prepend=signature[0] - 1))
+        size = np.diff(np.append(begins, len(signature)))
+        small = np.repeat(size <= 64, size)
+        groups = [rows.filter(pa.array(small))] if small.any() else []
+        groups += [rows.slice(b, n) for b, n in zip(begins.tolist(), size.tolist(), strict=True) if n > 64]
+        for group in groups:
+            plain = [c.to_numpy() for c in group.columns[:-1]]
+            yield plain, _Sketches(group.column(group.num_columns - 1))
 
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        signature = batch.column(0).to_numpy()
+        open_from = int(np.searchsorted(signature, signature[-1]))
+        if held and signature[0] != held[-1].column(0)[held[-1].num_rows - 1].as_py():
+            yield from parts(pa.Table.from_batches(held))
+            held = []
+        if open_from:
+            held.append(batch.slice(0, open_from))
+            yield from parts(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(open_from))
+    if held:
+        yield from parts(pa.Table.from_batches(held))
 
-def _possible_nodes(threshold: Threshold):
-    """Nodes with a partner in a bucket, one of the two asking, that sizes and sketches allow."""
 
-    def solve(columns: list[np.ndarray]):
-        signature, node, asks, _, n = columns[:5]
-        words = np.stack(columns[5:], axis=1).view(np.uint64)
+def _possible_rows(threshold: Threshold):
+    """Rows that have a partner in their bucket, one of the two asking, that sizes and sketches allow;
+    with each the first such node of the bucket."""
+
+    def solve(columns: list[np.ndarray], sketches: _Sketches) -> pa.RecordBatch:
+        signature, node, asks, n = columns
         found = np.zeros(len(node), bool)
         for step in range(1, len(signature)):
             left = np.flatnonzero(signature[step:] == signature[:-step])
@@ -384,75 +485,55 @@ def _possible_nodes(threshold: Threshold):
             small, large = np.minimum(n[left], n[right]), np.maximum(n[left], n[right])
             keep = (asks[left] | asks[right]) & (small * threshold.den >= large * threshold.num)
             left, right, most = left[keep], right[keep], threshold.difference(small + large)[keep]
-            near = np.bitwise_count(words[left] ^ words[right]).sum(axis=1) <= most
+            near = sketches.distances(left, right) <= most
             found[left[near]] = True
             found[right[near]] = True
             if found.all():
                 break
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(node[found]))], names=["node"])
-
-    return _by_bucket(solve)
-
-
-def _by_bucket(solve):
-    """Apply ``solve`` to whole buckets of rows that come sorted by signature."""
-
-    def across(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(pair) for pair in zip(held, columns, strict=True)]
-            open_from = int(np.searchsorted(columns[0], columns[0][-1]))
-            yield from _by_size([c[:open_from] for c in columns], solve)
-            held = [c[open_from:] for c in columns]
-        if held is not None:
-            yield from _by_size(held, solve)
-
-    return across
+        signature, node, asks = signature[found], node[found], asks[found]
+        begins = np.flatnonzero(np.diff(signature, prepend=signature[0] - 1)) if len(node) else []
+        leader = np.repeat(node[begins], np.diff(np.append(begins, len(node)))) if len(node) else node
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c) for c in (signature, node, asks, leader)], names=["signature", "node", "asks", "leader"]
+        )
 
+    def possible(batches):
+        for columns, sketches in _buckets(batches):
+            yield solve(columns, sketches)
 
-def _by_size(columns: list[np.ndarray], solve):
-    """Solve small buckets together and each large one alone."""
-    if not len(columns[0]):
-        return
-    begins = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0] - 1))
-    size = np.diff(np.append(begins, len(columns[0])))
-    large = size > 64
-    yield from solve([c[~np.repeat(large, size)] for c in columns])
-    for begin, length in zip(begins[large].tolist(), size[large].tolist(), strict=True):
-        yield from solve([c[begin : begin + length] for c in columns])
+    return possible
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` per row of ``docs``.
+def near_duplicates(
+    docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), count_links: bool = False
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` per row of ``docs``; with ``count_links`` also ``n_links``.
 
     A document's set holds its distinct shingles of ``words`` words (lower-cased A-Z, split at ASCII
     white space); with fewer words, the whole sequence. Documents link if their sets' Jaccard
     similarity reaches ``similarity`` (a fraction); ``component_id`` is the smallest ``doc_id``
-    reachable by links and ``n_links`` the number of rows it links with. A document without words (null, empty, blank) links with nothing and is its
-    own component. Rows with one id are separate documents; a row without id takes part in links
+    reachable by links and ``n_links`` the number of rows it links with, whose count compares all
+    pairs of different texts of a component. A document without words (null, empty, blank) links
+    with nothing and is its own component. Rows with one id are separate documents; a row without id takes part in links
     and is reported with the id of its component. Other columns are ignored.
     """
     threshold, scratch = Threshold(*similarity), Scratch(docs.sparkSession, "jaccard")
     info, labels, details = _joined(docs, words, threshold, scratch)
     named, least = _labelled(info, labels, scratch)
-    copies = info.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
-    counted = copies.join(_links(details, labels, copies, threshold), "node", "left").select(
-        "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    )
-    return (
-        named.join(least, "label", "left")
-        .join(counted, "node", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("least.doc_id", "doc_id").alias("component_id"),
-            F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"),
+    found = named.join(least, "label", "left")
+    columns = [
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+    ]
+    if count_links:
+        copies = info.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+        counted = copies.join(_links(details, labels, copies, threshold), "node", "left").select(
+            "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         )
-    )
+        found = found.join(counted, "node", "left")
+        columns.append(F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+    return found.select(*columns)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -469,12 +550,13 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80,
     gone = gone.select(key).distinct()
     again = named.where("label IS NOT NULL").groupBy(key).count().where("count > 1")
     row_key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    left = docs.withColumn("row_key", row_key).join(gone, "row_key", "left_anti")
+    rows = docs.select(row_key.alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    left = rows.join(gone, "row_key", "left_anti")
     if not again.isEmpty():
         blank = left.join(named.where("label IS NULL").select(key).distinct(), "row_key", "left_semi")
         left = left.join(blank.select("row_key").distinct(), "row_key", "left_anti")
         left = left.dropDuplicates(["row_key"]).unionByName(blank)
-    return left.select(*docs.columns)
+    return left.select("row.*")
 
 
 def _joined(
@@ -593,48 +675,61 @@ def _components(
     shared = scratch.store(
         signed.repartition("signature")
         .sortWithinPartitions("signature", "node")
-        .mapInArrow(_meet, "signature long, node long, asks boolean, leader long")
+        .mapInArrow(_meet, "signature long, node long, asks boolean")
+        .groupBy("signature", "node")
+        .agg(F.max("asks").alias("asks"))
     )
     missing = F.lit(-(1 << 63))
     row_key = (F.coalesce("doc_id", missing).alias("row_id"), F.col("text_key"))
-    sizes = ("n", *_SKETCH)
-    # Of the nodes that met others, few have one that sizes and sketches allow.
+    # Of the nodes that met others, few have one that sizes and sketches allow: short sketches say so
+    # of most rows, long ones of what is left.
     met = shared.select("node").distinct()
     sketches = scratch.store(
         info.groupBy("node")
-        .agg(F.min(F.struct(*row_key)).alias("first"), *[F.first(c).alias(c) for c in sizes])
+        .agg(
+            F.min(F.struct(*row_key)).alias("first"),
+            F.first("n").alias("n"),
+            F.first("short").alias("short"),
+            F.first("wide").alias("wide"),
+        )
         .join(met, "node")
     )
-    possible = (
-        shared.select("signature", "node", "asks")
-        .join(sketches.select("node", *sizes), "node")
-        .select("signature", "node", "asks", F.col("node").alias("label"), *sizes)
-        .repartition("signature")
-        .sortWithinPartitions("signature")
-        .mapInArrow(_possible_nodes(threshold), "node long")
-        .distinct()
+    rows_left, possible = shared, "signature long, node long, asks boolean, leader long"
+    for sketch_column in ("short", "wide"):
+        rows_left = scratch.store(
+            rows_left.select("signature", "node", "asks")
+            .join(sketches.select("node", "n", sketch_column), "node")
+            .select("signature", "node", "asks", "n", sketch_column)
+            .repartition("signature")
+            .sortWithinPartitions("signature")
+            .mapInArrow(_possible_rows(threshold), possible)
+        )
+    scratch.drop(shared)
+    wanted = scratch.store(
+        sketches.join(rows_left.select("node").distinct(), "node").select("node", "first.*", "n", "wide")
     )
-    wanted = scratch.store(sketches.join(possible, "node").select("node", "first.*", *sizes))
-    sets = scratch.store(
-        rows.select(*row_key, "text")
-        .join(wanted.select("row_id", "text_key", "node"), ["row_id", "text_key"])
-        .select("node", "text")
-        .mapInArrow(_detail(words), "node long, n long, wide binary, grams binary")
+    scratch.drop(sketches)
+    # Few texts are wanted: most are left out by a filter of bounded size before they travel. They are
+    # stored, so that no task runs two Python workers.
+    texts = scratch.store(
+        rows.select(*row_key, "text").mapInArrow(
+            _with_keys_in(_key_filter(wanted)), "row_id long, text_key long, text string"
+        )
     )
-    stars = scratch.store(
-        shared.where("node != leader")
-        .select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        .distinct()
-        .join(_side(wanted, "a", *sizes), "a")
-        .join(_side(wanted, "b", *sizes), "b")
-        .where(_possible(threshold))
-        .select("a", "b")
+    sets = scratch.store_by(
+        texts.join(wanted.select("row_id", "text_key", "node"), ["row_id", "text_key"])
+        .select("node", "text")
+        .mapInArrow(_detail(words), "node long, grams binary"),
+        "node",
     )
-    links = scratch.store(_verify(stars, sets, threshold))
-    labels, compared = components(links, scratch), stars
+    scratch.drop(texts)
+    stars = rows_left.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    compared = scratch.store(_narrowed(stars, wanted, threshold))
+    links = scratch.store(_verify(compared, sets, threshold))
+    labels = components(links, scratch)
     for nearest in (True, False):
         pairs = scratch.store(
-            _open_rows(shared, labels, wanted.select("node", *sizes))
+            _open_rows(rows_left, labels, wanted)
             .repartition("signature")
             .sortWithinPartitions("signature")
             .mapInArrow(_across(threshold, nearest), "a long, b long")
@@ -646,17 +741,18 @@ def _components(
         if not more.isEmpty():
             known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             labels = components(known.unionByName(more), scratch)
-    return labels, sets
+    scratch.drop(rows_left, wanted)
+    return scratch.store(labels), sets
 
 
-def _open_rows(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with sizes and sketches."""
-    labelled = shared.join(labels, "node", "left").select(
+def _open_rows(rows: DataFrame, labels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with sizes and long sketches."""
+    labelled = rows.join(labels, "node", "left").select(
         "signature", "node", "asks", F.coalesce("component", "node").alias("label")
     )
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"))
     return (
         labelled.join(mixed.where("x != y").select("signature"), "signature", "left_semi")
-        .join(sizes, "node")
-        .select("signature", "node", "asks", "label", *[c for c in sizes.columns if c != "node"])
+        .join(wanted.select("node", "n", "wide"), "node")
+        .select("signature", "node", "asks", "label", "n", "wide")
     )

@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stockloom.llm import jaccard, repeats, sentences
 from stockloom.llm import text as T
@@ -57,7 +59,7 @@ def key(row):
 
 @pytest.mark.parametrize(("n", "num", "den"), [(4, 85, 100), (5, 80, 100), (2, 1, 2)])
 def test_jaccard_join_equals_all_pairs(messy, n, num, den):
-    found = jaccard.near_duplicates(messy, n, (num, den)).collect()
+    found = jaccard.near_duplicates(messy, n, (num, den), count_links=True).collect()
     expected = direct_components(messy_rows(), n, num, den)
     assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
 
@@ -67,7 +69,7 @@ def test_links_are_counted_across_blocks(spark, monkeypatch):
     rows = [(i, edited(prose(70, 120), i, 1 + i % 9), None) for i in range(30)]
     rows += [(100 + i, rows[i % 3][1], None) for i in range(7)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    found = jaccard.near_duplicates(docs, 4, (85, 100)).collect()
+    found = jaccard.near_duplicates(docs, 4, (85, 100), count_links=True).collect()
     expected = direct_components(rows, 4, 85, 100)
     assert sorted(map(tuple, found)) == sorted(expected)
     assert len({n for *_, n in expected}) > 3
@@ -78,8 +80,9 @@ def test_jaccard_join_of_nothing(nothing):
 
 
 def test_keep_one_leaves_one_row_of_each_group(messy):
-    kept = jaccard.keep_one(messy, 5, (80, 100))
-    assert kept.columns == messy.columns
+    kept = jaccard.keep_one(messy.withColumn("row_key", F.concat(F.lit("mine "), F.col("doc_id"))), 5, (80, 100))
+    assert kept.dtypes == messy.dtypes
+    assert all(r.row_key == (None if r.doc_id is None else f"mine {r.doc_id}") for r in kept.collect())
     rows = [(r.doc_id, r.text) for r in kept.collect()]
     expected = direct_components(messy_rows(), 5, 80, 100)
     groups = {(i, c) for i, size, c, _ in expected if size and i == c}
@@ -124,6 +127,27 @@ def test_sketches_never_differ_more_than_the_sets():
         assert wide <= len(long) - len(short)
 
 
+def test_families_of_related_long_texts(spark):
+    """Many texts of one family, most pairs of which just miss the similarity, in every length."""
+    rows = []
+    for family, size in enumerate((30, 200, 900, 3000)):
+        base = prose(500 + family, size)
+        rows += [(100 * family + i, edited(base, i, max(1, size * (i % 7) // 90))) for i in range(14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for n, num in ((4, 85), (5, 80)):
+        found = jaccard.near_duplicates(docs, n, (num, 100), count_links=True).collect()
+        assert sorted(map(tuple, found)) == sorted(direct_components(rows, n, num, 100))
+
+
+def test_folded_sketches_in_buckets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**62, int(n), dtype=np.uint64)) for n in rng.integers(1, 20_000, 40)]
+    wide = [jaccard.wide_sketch(own) for own in sets]
+    left, right = np.divmod(np.arange(1600), 40)
+    found = jaccard._Sketches(pa.array(wide, pa.binary())).distances(left, right)
+    assert found.tolist() == [jaccard.sketch_distance(wide[i], wide[j]) for i, j in zip(left, right, strict=True)]
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(5)
     chain = [(i, i + 1) for i in range(100, 160)]
