@@ -35,6 +35,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of every document, a null text as an empty one, into sequences of 2048."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), 2048)
 
 
