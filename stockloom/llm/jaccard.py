@@ -428,6 +428,7 @@ def _across(threshold: Threshold, nearest: bool):
                     held = []
         if held:
             yield _pair_batch(np.unique(np.concatenate(held), axis=0))
+        T.release()
 
     return across
 
@@ -500,6 +501,7 @@ def _possible_rows(threshold: Threshold):
     def possible(batches):
         for columns, sketches in _buckets(batches):
             yield solve(columns, sketches)
+        T.release()
 
     return possible
 

@@ -6,6 +6,7 @@ that a task's cost per byte stays small and its memory is bounded by the block,
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -92,6 +93,22 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return whole[offsets[0] : offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
 
 
+@cache
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Python workers live on from stage to stage, beside the
+    executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
 def blocks(
     batch: pa.RecordBatch, text: str = "text", size: int = BLOCK_BYTES
 ) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -107,6 +124,7 @@ def blocks(
             offsets[row : last + 1] - offsets[row],
         )
         row = last
+    release()
 
 
 def run_bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
