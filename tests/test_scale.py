@@ -34,3 +34,12 @@ def test_the_panel_has_as_many_tasks_as_its_days_need(spark, monkeypatch):
     assert (small.partitions, large.partitions) == (4, 16)
     assert large.daily_sales.rdd.getNumPartitions() == 16
     assert large.daily_sales.count() == 40 * 4 * 7
+
+
+def test_blocks_are_not_put_together_by_the_size_of_narrow_rows(spark):
+    spec = FeatureSpec(lags=(1,), windows=(2,), aggregations=("sum",))
+    rows = [("S", "I", date(2022, 1, d), d, 1.0) for d in range(1, 11)]
+    sales = spark.createDataFrame(rows, "store_id string, sku_id string, date date, units_sold int, sell_price double")
+    cut = features.history_features(sales, spec, block_days=3, partitions=7)
+    assert "_block" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and "7), REPARTITION_BY_NUM" in plan
+    assert sorted(cut.collect()) == sorted(features.history_features(sales, spec).collect())
