@@ -43,3 +43,14 @@ def test_blocks_are_not_put_together_by_the_size_of_narrow_rows(spark):
     cut = features.history_features(sales, spec, block_days=3, partitions=7)
     assert "_block" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and "7), REPARTITION_BY_NUM" in plan
     assert sorted(cut.collect()) == sorted(features.history_features(sales, spec).collect())
+
+
+def test_a_copy_of_a_clustered_table_has_one_file_for_each_bucket(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    rows = spark.range(0, 1000, 1, 6).selectExpr("id % 97 AS k", "id")
+    tables.replace("a", rows, ("k",), 5)
+    tables.replace("b", tables.require("a"), ("k",), 5)
+    for name in ("a", "b"):
+        files = [f.name for f in Path(tmp_path, name).rglob("part-*.parquet")]
+        assert len(files) == 5
+        assert sorted(r.id for r in tables.require(name).collect()) == list(range(1000))
