@@ -54,3 +54,13 @@ def test_a_copy_of_a_clustered_table_has_one_file_for_each_bucket(spark, tmp_pat
         files = [f.name for f in Path(tmp_path, name).rglob("part-*.parquet")]
         assert len(files) == 5
         assert sorted(r.id for r in tables.require(name).collect()) == list(range(1000))
+
+
+def test_horizons_are_assembled_from_rounded_rows(spark, monkeypatch):
+    rows = [("S", "I", date(2022, 1, d), d, 1.00000049) for d in range(1, 29)]
+    sales = spark.createDataFrame(rows, "store_id string, sku_id string, date date, units_sold int, sell_price double")
+    monkeypatch.setattr(queries.Star, "assembled_from", lambda self, with_features: (sales, None))
+    found = queries.horizon_dataset(spark, "nowhere")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("round(")
+    assert {r.sell_price for r in found.collect()} == {1.0}
