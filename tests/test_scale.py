@@ -4,7 +4,7 @@ from datetime import date
 from pathlib import Path
 
 from checks import queries
-from stockloom.operators import features
+from stockloom.operators import features, ingest
 from stockloom.settings import FeatureSpec
 from stockloom.sources import order_lines
 from stockloom.sources.order_lines import OrderLinePanel
@@ -64,3 +64,14 @@ def test_horizons_are_assembled_from_rounded_rows(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("round(")
     assert {r.sell_price for r in found.collect()} == {1.0}
+
+
+def test_the_wide_file_is_packed_into_one_column(spark):
+    rows = [("a_S", "a", "d", "c", "S", "CA", 1, None, 3), ("b_S", "b", "d", "c", "S", "CA", None, None, 0)]
+    names = "id string, item_id string, dept_id string, cat_id string, store_id string, state_id string"
+    wide = spark.createDataFrame(rows, f"{names}, d_9 int, d_10 int, d_11 int")
+    packed = ingest.packed_days(wide)
+    assert packed.columns == [*wide.columns[:6], "units"]
+    long = ingest.long_packed(packed, ingest.day_columns(wide))
+    assert sorted(long.collect()) == sorted(ingest.long_sales(wide).collect())
+    assert sorted(long.collect()) == [("S", "a", "d_11", 3), ("S", "a", "d_9", 1), ("S", "b", "d_11", 0)]
