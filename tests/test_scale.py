@@ -4,7 +4,7 @@ from datetime import date
 from pathlib import Path
 
 from checks import queries
-from stockloom.operators import features, ingest
+from stockloom.operators import features, forest, ingest
 from stockloom.settings import FeatureSpec
 from stockloom.sources import order_lines
 from stockloom.sources.order_lines import OrderLinePanel
@@ -75,3 +75,13 @@ def test_the_wide_file_is_packed_into_one_column(spark):
     long = ingest.long_packed(packed, ingest.day_columns(wide))
     assert sorted(long.collect()) == sorted(ingest.long_sales(wide).collect())
     assert sorted(long.collect()) == [("S", "a", "d_11", 3), ("S", "a", "d_9", 1), ("S", "b", "d_11", 0)]
+
+
+def test_category_means_are_known_to_be_small(spark):
+    """Rows to describe are not shuffled towards the means, whatever Spark would find out on the way."""
+    days = [("S", f"I{i}", date(2022, 1, d), d) for i in range(50) for d in range(1, 9)]
+    train = spark.createDataFrame(days, "store_id string, sku_id string, origin_date date, target int")
+    means = forest.TargetMeans.fit(train, ["store_id", "sku_id"], ("store_id", "sku_id", "origin_date"))
+    for training in (True, False):
+        plan = means.apply(train, training)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
