@@ -3,8 +3,12 @@
 from datetime import date
 from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
 from checks import queries
-from stockloom.operators import features, forest, ingest
+from stockloom.operators import boosting, features, forest, ingest, trees
 from stockloom.settings import FeatureSpec
 from stockloom.sources import order_lines
 from stockloom.sources.order_lines import OrderLinePanel
@@ -85,3 +89,21 @@ def test_category_means_are_known_to_be_small(spark):
     for training in (True, False):
         plan = means.apply(train, training)._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("store", [lambda rows: boosting._Stored(rows).rows])
+def test_readers_of_stored_blocks_hold_a_few_at_a_time(spark, store):
+    """A task reads a group of rows of a file at once; blocks are large, and a file holds any number of them."""
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        rows = spark.range(0, 1000, 1, 1).selectExpr("cast(id AS double) AS a", "cast(id % 7 AS double) AS target")
+        kept = store(trees.blocks(rows, ["a"], [[float(i) for i in range(0, 1000, 40)]]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    (file,) = [pq.ParquetFile(f.removeprefix("file:")) for f in kept.inputFiles()]
+    groups = [file.metadata.row_group(i).num_rows for i in range(file.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) <= 16
+    found = [c for row in kept.collect() for c in trees.unpacked([trees.block({"target": np.frombuffer(row.target), "bins": np.frombuffer(row.bins, np.uint8)})])]
+    assert [t for c in found for t in c["target"]] == [i % 7 for i in range(1000)]
+    assert [b for c in found for b in c["bins"][:, 0]] == [-(-i // 40) for i in range(961)] + [25] * 39
