@@ -9,6 +9,7 @@ import pytest
 
 from checks import queries
 from stockloom.operators import boosting, features, forest, ingest, trees
+from stockloom.session import write_and_read
 from stockloom.settings import FeatureSpec
 from stockloom.sources import order_lines
 from stockloom.sources.order_lines import OrderLinePanel
@@ -91,7 +92,7 @@ def test_category_means_are_known_to_be_small(spark):
         assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
 
 
-@pytest.mark.parametrize("store", [lambda rows: boosting._Stored(rows).rows])
+@pytest.mark.parametrize("store", [lambda rows: boosting._Stored(rows).rows, lambda rows: write_and_read(rows, "blocks")])
 def test_readers_of_stored_blocks_hold_a_few_at_a_time(spark, store):
     """A task reads a group of rows of a file at once; blocks are large, and a file holds any number of them."""
     usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
